@@ -114,12 +114,12 @@ def distinct_by_entity(
     """
     per_entity = df.groupBy(*keys, entity).agg(
         F.max(producing.cast("int")).alias("_producing"),
-        *[F.sum(c).alias(o) for o, c in sums.items()],
+        *[F.sum(c).alias(o) for c, o in sums.items()],
     )
     return per_entity.groupBy(*keys).agg(
         F.count(entity).alias("wells"),
         F.count_if((F.col("_producing") == 1) & F.col(entity).isNotNull()).alias("wells_producing"),
-        *[F.sum(o).alias(o) for o in sums],
+        *[F.sum(o).alias(o) for o in sums.values()],
     )
 
 
