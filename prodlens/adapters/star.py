@@ -148,25 +148,23 @@ class StarPanel:
 
     @cached_property
     def jobs(self) -> DataFrame:
-        bal, flag = F.col("s_acctbal"), F.col("l_returnflag")
+        """Line items as jobs of their supplier; a length is reported on few of them."""
+        flag, qty, price = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_extendedprice")
+        reported = (F.col("l_tax") >= 0.08) & (F.col("l_discount") >= 0.1)
         ship = F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd")
-        return (
-            self.table("lineitem")
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(
-                F.col("l_suppkey").alias("idpozo"),
-                F.when(bal < 0, F.lit(None)).when(bal < 1000, 0.0).otherwise(bal / 4).alias("longitud_rama_horizontal_m"),
-                F.col("l_quantity").cast("int").alias("cantidad_fracturas"),
-                F.col("l_extendedprice").alias("arena_bombeada_nacional_tn"),
-                F.when(flag != "N", F.round(F.col("l_tax") * 100)).alias("arena_bombeada_importada_tn"),
-                F.when(flag != "R", F.col("l_quantity") * 10).alias("agua_inyectada_m3"),
-                F.col("l_extendedprice").alias("presion_maxima_psi"),
-                F.when(flag == "A", F.col("l_quantity")).alias("potencia_equipos_fractura_hp"),
-                F.when(F.col("l_linestatus") == "O", ship).otherwise("sin fecha").alias("fecha_inicio_fractura"),
-                ship.alias("fecha_fin_fractura"),
-                F.when(flag == "A", "Punzado").when(flag == "N", "Tapón disparo").otherwise("Jetteo").alias("tipo_terminacion"),
-                F.col("l_linestatus").alias("formacion_productiva"),
-            )
+        return self.table("lineitem").select(
+            F.col("l_suppkey").alias("idpozo"),
+            F.when(reported & (qty <= 4), price / 100).when(reported & (qty <= 5), 0.0).alias("longitud_rama_horizontal_m"),
+            qty.cast("int").alias("cantidad_fracturas"),
+            price.alias("arena_bombeada_nacional_tn"),
+            F.when(flag != "N", F.round(F.col("l_tax") * 100)).alias("arena_bombeada_importada_tn"),
+            F.when(flag != "R", qty * 10).alias("agua_inyectada_m3"),
+            price.alias("presion_maxima_psi"),
+            F.when(flag == "A", qty).alias("potencia_equipos_fractura_hp"),
+            F.when(F.col("l_linestatus") == "O", ship).otherwise("sin fecha").alias("fecha_inicio_fractura"),
+            ship.alias("fecha_fin_fractura"),
+            F.when(flag == "A", "Punzado").when(flag == "N", "Tapón disparo").otherwise("Jetteo").alias("tipo_terminacion"),
+            F.col("l_linestatus").alias("formacion_productiva"),
         )
 
     @cached_property
@@ -195,16 +193,25 @@ class StarPanel:
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("s_suppkey", "r_name")
         )
-        price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
-        return (
+        # summed per supplier before the join: a supplier with very many items sends few rows
+        sums = (
             self.table("lineitem")
             .where(F.col("l_linestatus") == status)
-            .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy(year_month(F.col("l_shipdate").cast("date")).alias("indice_tiempo"))
+            .groupBy(
+                "l_suppkey",
+                "l_returnflag",
+                year_month(F.col("l_shipdate").cast("date")).alias("indice_tiempo"),
+            )
+            .agg(F.sum("l_extendedprice").alias("price"))
+        )
+        price = F.col("price")
+        return (
+            sums.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy("indice_tiempo")
             .agg(
                 _money(price).alias(total),
                 *[_money(F.when(F.col("r_name") == r, price)).alias(column.format(s)) for r, s in REGIONS.items()],
-                *[_money(F.when(flag == f, price)).alias(c) for f, c in subtypes.items()],
+                *[_money(F.when(F.col("l_returnflag") == f, price)).alias(c) for f, c in subtypes.items()],
             )
         )
 

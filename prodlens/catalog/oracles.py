@@ -67,7 +67,8 @@ PARTS = {
         QUALIFY row_number() OVER (PARTITION BY idpozo, event_date ORDER BY event_id DESC) = 1""",
     "jobs": """
         SELECT l_suppkey AS idpozo,
-               CASE WHEN s_acctbal < 0 THEN NULL WHEN s_acctbal < 1000 THEN 0 ELSE s_acctbal / 4 END AS lateral_m,
+               CASE WHEN l_tax >= 0.08 AND l_discount >= 0.1 AND l_quantity <= 4 THEN l_extendedprice / 100
+                    WHEN l_tax >= 0.08 AND l_discount >= 0.1 AND l_quantity <= 5 THEN 0 END AS lateral_m,
                l_quantity::INTEGER AS stages, l_extendedprice AS sand_a,
                CASE WHEN l_returnflag <> 'N' THEN round(l_tax * 100) END AS sand_b,
                CASE WHEN l_returnflag <> 'R' THEN l_quantity * 10 END AS water,
@@ -76,7 +77,7 @@ PARTS = {
                strftime(l_shipdate, '%Y-%m-%d') AS d1,
                CASE l_returnflag WHEN 'A' THEN 'Punzado' WHEN 'N' THEN 'Tapón disparo' ELSE 'Jetteo' END AS completion,
                l_linestatus AS formation
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
+        FROM lineitem""",
     "mode_completion": """
         SELECT idpozo, completion AS completion_type FROM (
             SELECT idpozo, completion, count(*) AS c FROM jobs GROUP BY 1, 2)
@@ -492,7 +493,7 @@ BODIES = {
         UNION ALL SELECT 'well_events', count(*), NULL, NULL FROM wevents""",
     "referential_orphans": """
         SELECT count(DISTINCT c.idpozo) AS orphans FROM (
-            SELECT stages::BIGINT AS idpozo FROM jobs UNION ALL SELECT user_id * 20 FROM events) c
+            SELECT idpozo FROM jobs UNION ALL SELECT user_id * 20 FROM events) c
         LEFT JOIN wells w ON w.idpozo = c.idpozo WHERE w.idpozo IS NULL""",
     "grain_duplicates": """
         SELECT 'panel' AS table_name, count(*) AS duplicates FROM (SELECT 1 FROM production GROUP BY idpozo, fecha HAVING count(*) > 1)

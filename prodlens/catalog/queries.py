@@ -58,10 +58,24 @@ class Panel(StarPanel):
     def slim(self) -> DataFrame:
         return cubes.wells_slim(self.attrs)
 
+    # Written once, for operators that read their input more than once.
+
+    @cached_property
+    def cube_table(self) -> DataFrame:
+        return pin(self.cube)
+
+    @cached_property
+    def well_table(self) -> DataFrame:
+        return pin(self.slim)
+
+    @cached_property
+    def curve_rows(self) -> DataFrame:
+        return pin(curves.curve_rows(self.fact, self.attrs))
+
     @cached_property
     def curve(self) -> DataFrame:
         keys = ["trajectory", "subtype", "cuenca", "vintage", "month_on_prod"]
-        return curves.type_curve(curves.curve_rows(self.fact, self.attrs), keys, digits=4)
+        return pin(curves.type_curve(self.curve_rows, keys, digits=4))
 
 
 def rounded(df: DataFrame, digits: int = 2, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -213,7 +227,7 @@ def entity_slim(p: Panel) -> DataFrame:
 
 @query
 def label_tables(p: Panel) -> DataFrame:
-    return encode.label_table(pin(p.cube), cubes.CUBE_DIMS)
+    return encode.label_table(p.cube, cubes.CUBE_DIMS)
 
 
 @query
@@ -288,14 +302,13 @@ def unconventional_monthly(p: Panel) -> DataFrame:
 
 @query
 def type_curve(p: Panel) -> DataFrame:
-    return curves.type_curve(curves.curve_rows(p.fact, p.attrs), digits=4)
+    return curves.type_curve(p.curve_rows, digits=4)
 
 
 @query
 def type_curve_exact(p: Panel) -> DataFrame:
     """Exact percentiles pooled over everything but basin and month."""
-    rows = curves.curve_rows(p.fact, p.attrs)
-    return curves.type_curve(rows, ["cuenca", "month_on_prod"], digits=4)
+    return curves.type_curve(p.curve_rows, ["cuenca", "month_on_prod"], digits=4)
 
 
 @query
@@ -390,7 +403,7 @@ def filter_report(p: Panel) -> DataFrame:
         "operator": [],
         "formation": ["F0", "F9"],
     }
-    return filters.filter_report(p.cube, asked)
+    return filters.filter_report(p.cube_table, asked)
 
 
 # --- breakdowns and overview ----------------------------------------------------------
@@ -398,18 +411,18 @@ def filter_report(p: Panel) -> DataFrame:
 
 @query
 def top8_other_series(p: Panel) -> DataFrame:
-    return rounded(views.breakdown_series(p.cube, "provincia", "oil_m3", {}))
+    return rounded(views.breakdown_series(p.cube_table, "provincia", "oil_m3", {}))
 
 
 @query
 def top6_dense_series(p: Panel) -> DataFrame:
-    series = aggregates.dense_top_series(p.cube, MONTH, "provincia", "gas_e3m3", 6)
+    series = aggregates.dense_top_series(p.cube_table, MONTH, "provincia", "gas_e3m3", 6)
     return rounded(series)
 
 
 @query
 def share_of_total(p: Panel) -> DataFrame:
-    return rounded(views.breakdown_table(p.cube, "operator", {}), 4)
+    return rounded(views.breakdown_table(p.cube_table, "operator", {}), 4)
 
 
 @query
@@ -420,13 +433,13 @@ def breakdown_sort(p: Panel) -> DataFrame:
 
 @query
 def subtype_share_month(p: Panel) -> DataFrame:
-    return rounded(views.unconventional_share(p.cube, {"sub_tipo_recurso": ["SHALE", "TIGHT", "No informado"]}), 6)
+    return rounded(views.unconventional_share(p.cube_table, {"sub_tipo_recurso": ["SHALE", "TIGHT", "No informado"]}), 6)
 
 
 @query
 def overview_totals(p: Panel) -> DataFrame:
     chosen = {"cuenca": ["ASIA", "AFRICA"]}
-    return rounded(views.overview_totals(p.cube, p.slim, chosen, chosen), 4)
+    return rounded(views.overview_totals(p.cube_table, p.well_table, chosen, chosen), 4)
 
 
 @query
@@ -458,7 +471,7 @@ def scatter_points(p: Panel) -> DataFrame:
 @query
 def map_points(p: Panel) -> DataFrame:
     points = classify.map_points(
-        p.slim, WELL, "lon", "lat", "tipo_recurso", "cum_oil_m3", highlight="CONVENCIONAL"
+        p.well_table, WELL, "lon", "lat", "tipo_recurso", "cum_oil_m3", highlight="CONVENCIONAL"
     )
     return rounded(points, 6)
 
@@ -474,7 +487,8 @@ def row_counts(p: Panel) -> DataFrame:
 
 @query
 def referential_orphans(p: Panel) -> DataFrame:
-    return quality.orphans(p.jobs.select(F.col("cantidad_fracturas").cast("long").alias(WELL)).unionByName(p.user_events.select((F.col("user_id") * 20).alias(WELL))), p.wells, WELL)
+    children = p.jobs.select(WELL).unionByName(p.user_events.select((F.col("user_id") * 20).alias(WELL)))
+    return quality.orphans(children, p.wells, WELL)
 
 
 @query
@@ -544,7 +558,7 @@ def cube_vs_source(p: Panel) -> DataFrame:
 
 @query
 def two_cubes_agree(p: Panel) -> DataFrame:
-    found = quality.cubes_match(p.cube, p.block)
+    found = quality.cubes_match(p.cube_table, p.block)
     return found.select("measure", F.round("left_total", 2).alias("cube_total"), F.round("right_total", 2).alias("block_total"), F.round("rel_diff", 6).alias("rel_diff"), "ok")
 
 
@@ -560,7 +574,8 @@ def coordinate_bounds(p: Panel) -> DataFrame:
 
 @query
 def coord_agreement(p: Panel) -> DataFrame:
-    return rounded(quality.coordinate_agreement(p.wells, quality.registry_points(p.registry)), 6)
+    points = quality.registry_points(p.registry)
+    return rounded(quality.coordinate_agreement(p.wells, points), 6)
 
 
 @query
@@ -573,67 +588,67 @@ def threshold_bands(p: Panel) -> DataFrame:
 
 @query
 def describe(p: Panel) -> DataFrame:
-    return stats.describe(p.attrs, "cum_oil_m3", digits=4)
+    return stats.describe(p.well_table, "cum_oil_m3", digits=4)
 
 
 @query
 def describe_by_group(p: Panel) -> DataFrame:
     return stats.describe_by_group(
-        p.attrs, "cum_gas_e3m3", "sub_tipo_recurso", "All selected wells", text.NO_DATA, digits=4
+        p.well_table, "cum_gas_e3m3", "sub_tipo_recurso", "All selected wells", text.NO_DATA, digits=4
     )
 
 
 @query
 def median_by_group(p: Panel) -> DataFrame:
-    q = ranking.exact_quantiles(p.monthly_production, ["anio"], ["prod_pet", "prod_gas"], [0.5], digits=4)
-    return q
+    rows = pin(p.monthly_production.select("anio", "prod_pet", "prod_gas"))
+    return ranking.exact_quantiles(rows, ["anio"], ["prod_pet", "prod_gas"], [0.5], digits=4)
 
 
 @query
 def histogram_fd(p: Panel) -> DataFrame:
-    return rounded(stats.histogram(p.attrs, "cum_oil_m3"), 5)
+    return rounded(stats.histogram(p.well_table, "cum_oil_m3"), 5)
 
 
 @query
 def histogram_fd_log(p: Panel) -> DataFrame:
-    return rounded(stats.histogram(p.attrs, "cum_oil_m3", log=True), 9)
+    return rounded(stats.histogram(p.well_table, "cum_oil_m3", log=True), 9)
 
 
 @query
 def lorenz_gini(p: Panel) -> DataFrame:
-    return rounded(stats.gini(p.attrs, "cum_oil_m3"), 9)
+    return rounded(stats.gini(p.well_table, "cum_oil_m3"), 9)
 
 
 @query
 def lorenz_curve(p: Panel) -> DataFrame:
-    return rounded(stats.lorenz_curve(p.attrs, "cum_oil_m3"), 8)
+    return rounded(stats.lorenz_curve(p.well_table, "cum_oil_m3"), 8)
 
 
 @query
 def top_share(p: Panel) -> DataFrame:
-    return rounded(stats.top_share(p.attrs, "cum_oil_m3"), 8)
+    return rounded(stats.top_share(p.well_table, "cum_oil_m3"), 8)
 
 
 @query
 def top_share_floor(p: Panel) -> DataFrame:
-    asia = p.attrs.where(F.col("cuenca") == "ASIA")
+    asia = p.well_table.where(F.col("cuenca") == "ASIA")
     return rounded(stats.top_share(asia, "cum_oil_m3", floor_rule=True), 8)
 
 
 @query
 def average_ranks(p: Panel) -> DataFrame:
-    r = ranking.average_ranks(p.attrs, ["cuenca"], "producing_months")
+    r = ranking.average_ranks(p.well_table, ["cuenca"], "producing_months")
     return r.select("cuenca", F.col("producing_months").cast("long").alias("producing_months"), "n", "n_total", "avg_rank")
 
 
 @query
 def pearson_matrix(p: Panel) -> DataFrame:
-    return rounded(stats.pearson_matrix(p.slim, CORR_VARS), 8)
+    return rounded(stats.pearson_matrix(p.well_table, CORR_VARS), 8)
 
 
 @query
 def spearman_matrix(p: Panel) -> DataFrame:
-    return rounded(stats.spearman_matrix(p.slim, CORR_VARS), 8)
+    return rounded(stats.spearman_matrix(p.well_table, CORR_VARS), 8)
 
 
 # --- labels, scalars, lookups, files --------------------------------------------------

@@ -30,9 +30,11 @@ def finite(c: Column | str) -> Column:
     return F.when((F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v), v)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a bounded count proves it small; otherwise leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, rows: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if its row count, given or counted up to the limit, proves it small;
+    otherwise leave the join to the adaptive planner."""
+    rows = df.limit(max_rows + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -53,11 +55,18 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_work_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no earlier run has used."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no earlier run has used. The folder carries the
+    application's id, so what an application left behind can be told apart and removed."""
+    app = spark.sparkContext.applicationId
+    return f"{work_dir(spark).rstrip('/')}/prodlens-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so later passes see the same rows in the same partitions."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and return the table.
+
+    Operators that pass over their input several times then read a pruned Parquet scan
+    instead of repeating the plan, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = new_work_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -146,15 +146,19 @@ def require_labels(labels: DataFrame, dims: list[str]) -> DataFrame:
     return labels
 
 
+def _sizes(table: DataFrame) -> dict[str, int]:
+    """Rows per dimension: one number for each dimension, from one pass."""
+    return {r.dim: r.n for r in table.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+
+
 def encode(df: DataFrame, dims: list[str], labels: DataFrame, prefix: str = "") -> DataFrame:
     """Replace dimension values by codes; a value without a label becomes -1."""
-    columns = df.columns
+    columns, sizes = df.columns, _sizes(labels)
     for d in dims:
-        side = broadcast_if_small(
-            labels.where(F.col("dim") == prefix + d).select(
-                F.col("value").alias(f"_v_{d}"), F.col("code").alias(f"_c_{d}")
-            )
+        side = labels.where(F.col("dim") == prefix + d).select(
+            F.col("value").alias(f"_v_{d}"), F.col("code").alias(f"_c_{d}")
         )
+        side = broadcast_if_small(side, sizes.get(prefix + d, 0))
         df = df.join(side, F.col(d).cast("string") == F.col(f"_v_{d}"), "left")
     return df.select(
         *[
@@ -166,13 +170,12 @@ def encode(df: DataFrame, dims: list[str], labels: DataFrame, prefix: str = "")
 
 def decode(df: DataFrame, dims: list[str], labels: DataFrame, prefix: str = "") -> DataFrame:
     """Replace codes by values; -1 becomes NULL."""
-    columns = df.columns
+    columns, sizes = df.columns, _sizes(labels)
     for d in dims:
-        side = broadcast_if_small(
-            labels.where(F.col("dim") == prefix + d).select(
-                F.col("code").alias(f"_c_{d}"), F.col("value").alias(f"_v_{d}")
-            )
+        side = labels.where(F.col("dim") == prefix + d).select(
+            F.col("code").alias(f"_c_{d}"), F.col("value").alias(f"_v_{d}")
         )
+        side = broadcast_if_small(side, sizes.get(prefix + d, 0))
         df = df.join(side, F.col(d) == F.col(f"_c_{d}"), "left")
     return df.select(*[F.col(f"_v_{c}").alias(c) if c in dims else F.col(c) for c in columns])
 
@@ -198,14 +201,13 @@ def has_gloss(dim: str) -> bool:
 def gloss(df: DataFrame, dims: list[str], glosses: DataFrame) -> DataFrame:
     """Append ``value (gloss)`` to each named column; values without a gloss stay as they are."""
     glosses = pin(glosses)
-    columns = df.columns
+    columns, sizes = df.columns, _sizes(glosses)
     for d in dims:
-        side = broadcast_if_small(
-            glosses.where(F.col("dim") == ALIASES.get(d, d)).select(
-                F.col("value").alias(f"_v_{d}"), F.col("gloss").alias(f"_g_{d}")
-            )
+        key = ALIASES.get(d, d)
+        side = glosses.where(F.col("dim") == key).select(
+            F.col("value").alias(f"_v_{d}"), F.col("gloss").alias(f"_g_{d}")
         )
-        df = df.join(side, F.col(d) == F.col(f"_v_{d}"), "left")
+        df = df.join(broadcast_if_small(side, sizes.get(key, 0)), F.col(d) == F.col(f"_v_{d}"), "left")
     shown = lambda c: F.when(
         F.col(f"_g_{c}").isNotNull(), F.concat(F.col(c), F.lit(" ("), F.col(f"_g_{c}"), F.lit(")"))
     ).otherwise(F.col(c))

@@ -217,8 +217,8 @@ def exact_quantiles(
 def ordered_index(df: DataFrame, keys: list[str], value: str, partitions: int | None = None) -> DataFrame:
     """Zero-based place of every distinct value inside its group, for any sortable type.
 
-    Values are range-partitioned by (keys, value) and written to the checkpoint folder, so
-    the partition number is fixed; per-partition counts then give the offsets.
+    Values are range-partitioned by (keys, value) and written with their partition number,
+    so that number is fixed; per-partition counts then give the offsets.
     """
     n = partitions or default_buckets(df)
     blocks = pin(
@@ -237,6 +237,5 @@ def ordered_index(df: DataFrame, keys: list[str], value: str, partitions: int |
         .drop("c")
     )
     within = Window.partitionBy(*keys, "_p").orderBy(value)
-    return blocks.join(offsets, [*keys, "_p"]).select(
-        *keys, value, (F.col("offset") + F.row_number().over(within) - 1).cast("int").alias("code")
-    )
+    place = F.col("offset") + F.row_number().over(within) - 1
+    return pin(blocks.join(offsets, [*keys, "_p"]).select(*keys, value, place.cast("int").alias("code")))

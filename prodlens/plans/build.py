@@ -69,9 +69,9 @@ def build(
         inputs.wells, inputs.history, inputs.events, inputs.register, inputs.production,
         inputs.jobs, event_tie_break=event_tie_break,
     )
-    write_sorted(attrs, at("well_attrs"), [WELL])
+    attrs.write.mode("overwrite").parquet(at("well_attrs"))
     fact = prod_monthly(inputs.production, inputs.history, inputs.events, event_tie_break)
-    write_sorted(fact, at("prod_monthly"), [WELL, MONTH])
+    fact.write.mode("overwrite").parquet(at("prod_monthly"))
     attrs, fact = spark.read.parquet(at("well_attrs")), spark.read.parquet(at("prod_monthly"))
 
     tables = {
@@ -82,7 +82,7 @@ def build(
     labels = None
     for name, df in tables.items():
         dims, prefix = CODED[name]
-        write_sorted(df, at(f"plain/{name}"), ORDERS[name])
+        df.write.mode("overwrite").parquet(at(f"plain/{name}"))
         plain = spark.read.parquet(at(f"plain/{name}"))
         tables[name] = plain
         found = label_table(plain, dims, prefix)
