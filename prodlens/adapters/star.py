@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prodlens.functions.dates import date_from_parts, days_in_month, month_start, year_month
 from prodlens.functions.units import M3_TO_BBL
@@ -19,6 +20,8 @@ from prodlens.functions.units import M3_TO_BBL
 REGIONS = {"AFRICA": "africa", "AMERICA": "america", "ASIA": "asia", "EUROPE": "europe", "MIDDLE EAST": "middle_east"}
 EVENT_TIE_BREAK = ["event_id"]
 
+_SCHEMAS: dict[str, StructType] = {}
+
 
 def _money(c):
     """Sums of cents, free of the order in which doubles were added."""
@@ -32,7 +35,11 @@ class StarPanel:
         self.spark, self.root = spark, root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """The footers are read once per file; later reads are given the schema."""
+        path = f"{self.root}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def coordinates(self) -> DataFrame:
@@ -151,7 +158,7 @@ class StarPanel:
         """Line items as jobs of their supplier; a length is reported on few of them."""
         flag, qty, price = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_extendedprice")
         reported = (F.col("l_tax") >= 0.08) & (F.col("l_discount") >= 0.1)
-        ship = F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd")
+        ship = F.col("l_shipdate").cast("date").cast("string")
         return self.table("lineitem").select(
             F.col("l_suppkey").alias("idpozo"),
             F.when(reported & (qty <= 4), price / 100).when(reported & (qty <= 5), 0.0).alias("longitud_rama_horizontal_m"),

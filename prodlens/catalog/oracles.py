@@ -272,8 +272,8 @@ def pairs_sql(one: str) -> str:
     return " UNION ALL ".join(one.format(x=x, y=y) for x, y in combinations(CORR_VARS, 2))
 
 
-PEARSON = pairs_sql("SELECT '{x}' AS var_x, '{y}' AS var_y, round(corr({x}, {y}), 8) AS pearson FROM slim")
-SPEARMAN = pairs_sql("""SELECT '{x}' AS var_x, '{y}' AS var_y, count(*) AS n, round(corr(rx, ry), 8) AS spearman FROM (
+PEARSON = pairs_sql("SELECT '{x}' AS var_x, '{y}' AS var_y, CASE WHEN count({x} + {y}) >= 3 THEN round(corr({x}, {y}), 8) END AS pearson FROM slim")
+SPEARMAN = pairs_sql("""SELECT '{x}' AS var_x, '{y}' AS var_y, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(rx, ry), 8) END AS spearman FROM (
     SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rx,
            rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS ry
     FROM slim WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""")
@@ -310,9 +310,14 @@ def reconcile_sql() -> str:
             SELECT cuenca AS series, strftime(fecha, '%Y-%m') AS ym,
                    unnest([{'fluid': 'oil', 'mine': sum(prod_pet)}, {'fluid': 'gas', 'mine': sum(prod_gas)}], recursive := true)
             FROM production JOIN wells USING (idpozo) GROUP BY 1, 2),
-        theirs AS (
+        sums AS (
             SELECT ym, series, CASE st WHEN 'F' THEN 'oil' ELSE 'gas' END AS fluid, round(sum(price), 2) AS theirs
-            FROM official GROUP BY 1, 2, 3)
+            FROM official GROUP BY 1, 2, 3),
+        -- the published table is wide: a month that occurs has a cell for every series
+        theirs AS (
+            SELECT m.ym, m.fluid, s.series, theirs FROM (SELECT DISTINCT ym, fluid FROM sums) m
+            CROSS JOIN (SELECT r_name AS series FROM region) s
+            LEFT JOIN sums ON sums.ym = m.ym AND sums.fluid = m.fluid AND sums.series = s.series)
         SELECT fluid, series, count(*) AS months, round(sum(mine), 4) AS own_total,
                round(sum(theirs), 4) AS official_total,
                round((sum(mine) - sum(theirs)) / nullif(sum(theirs), 0) * 100, 4) AS diff_pct,
@@ -326,9 +331,10 @@ def subtype_sql() -> str:
                    unnest([{'fluid': 'oil', 'mine': sum(prod_pet)}, {'fluid': 'gas', 'mine': sum(prod_gas)}], recursive := true)
             FROM production JOIN wells USING (idpozo) WHERE sub_tipo_recurso IN ('SHALE', 'TIGHT') GROUP BY 1, 2),
         theirs AS (
-            SELECT ym, CASE flag WHEN 'A' THEN 'SHALE' ELSE 'TIGHT' END AS series,
-                   CASE st WHEN 'F' THEN 'oil' ELSE 'gas' END AS fluid, round(sum(price), 2) AS theirs
-            FROM official WHERE flag IN ('A', 'R') GROUP BY 1, 2, 3)
+            SELECT ym, s.series, CASE st WHEN 'F' THEN 'oil' ELSE 'gas' END AS fluid,
+                   round(sum(price) FILTER (WHERE flag = s.flag_of), 2) AS theirs
+            FROM official CROSS JOIN (VALUES ('SHALE', 'A'), ('TIGHT', 'R')) AS s(series, flag_of)
+            GROUP BY 1, 2, 3)
         SELECT fluid, series, count(*) AS months, round(sum(mine), 4) AS own_total,
                round(sum(theirs), 4) AS official_total,
                round((sum(mine) - sum(theirs)) / nullif(sum(theirs), 0) * 100, 4) AS diff_pct

@@ -21,12 +21,9 @@ def domain_counts(df: DataFrame, dims: list[str], no_data: str | None = None) ->
 
 def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     """The commonest value per key; of equally common ones the first in order."""
-    counted = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(
-        F.count("*").alias("c")
-    )
-    return counted.groupBy(key).agg(
-        F.min_by(value, F.struct((-F.col("c")).alias("c"), F.col(value))).alias(value)
-    )
+    known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    counted = known.groupBy(key, value).agg((-F.count("*")).alias("_n"))
+    return counted.groupBy(key).agg(F.min_by(value, F.struct("_n", value)).alias(value))
 
 
 def code_names(df: DataFrame, code: str, name: str) -> DataFrame:

@@ -90,23 +90,24 @@ def ranked_values(
     """
     times = F.col(weight) if weight else F.lit(1)
     src = df.select(
-        pack(keys).alias("_k"), finite(value).alias(value), times.cast("long").alias("_w")
-    ).where(F.col(value).isNotNull())
-    limits = limits or BucketLimits.fit(src, [value], buckets)
-    counted = limits.tag(src, value, "_b").groupBy("_k", "_b", value).agg(F.sum("_w").alias("n"))
+        pack(keys).alias("_k"), finite(value).alias("_v"), times.cast("long").alias("_w")
+    ).where(F.col("_v").isNotNull())
+    limits = limits or BucketLimits.fit(src, ["_v"], buckets)
+    tagged = limits.tag(src, "_v", "_b", like=next(iter(limits.limits)))
+    counted = tagged.groupBy("_k", "_b", "_v").agg(F.sum("_w").alias("n"))
     within = (
-        Window.partitionBy("_k", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = (
-        counted.join(_offsets(counted, value), ["_k", "_b"])
+        counted.join(_offsets(counted, "_v"), ["_k", "_b"])
         .withColumn("n_in", F.coalesce(F.sum("n").over(within), F.lit(0)))
         .withColumn(
-            "s_in", F.coalesce(F.sum(F.col("n") * F.col(value)).over(within), F.lit(0.0))
+            "s_in", F.coalesce(F.sum(F.col("n") * F.col("_v")).over(within), F.lit(0.0))
         )
     )
     return ranked.select(
         *[F.col("_k")[k].alias(k) for k in keys],
-        value,
+        F.col("_v").alias(value),
         "n",
         (F.col("n_before") + F.col("n_in")).alias("n_before"),
         (F.col("s_before") + F.col("s_in")).alias("s_before"),

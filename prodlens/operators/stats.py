@@ -176,12 +176,13 @@ def top_share(df: DataFrame, value: str, frac: float = 0.05, floor_rule: bool =
 
 
 def pearson(x: str, y: str) -> Column:
-    """Pearson over complete pairs; NULL below three pairs or without spread."""
+    """Pearson over complete pairs; NULL below three pairs or without spread.
+
+    Built from the moments, because ``corr`` fails on a column without spread in ANSI mode.
+    """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    varies = (F.min(F.when(both, F.col(x))) < F.max(F.when(both, F.col(x)))) & (
-        F.min(F.when(both, F.col(y))) < F.max(F.when(both, F.col(y)))
-    )
-    return F.when((F.count_if(both) >= 3) & varies, F.corr(x, y))
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.when(F.count_if(both) >= 3, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
 
 
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

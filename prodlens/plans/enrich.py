@@ -7,7 +7,7 @@ many rows of one well; they are aggregated with a map-side combine before they a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodlens.functions.dates import clamp_hours, date_from_parts
@@ -26,7 +26,7 @@ def is_producing() -> Column:
 
 # How each job column rolls up: a length belongs to the well, consumption adds, a pressure is a peak.
 JOB_RULES = {
-    "frac_jobs": F.count,
+    "frac_jobs": F.sum,
     "lateral_m": F.max,
     "stages": F.sum,
     "proppant_t": F.sum,
@@ -35,20 +35,24 @@ JOB_RULES = {
     "max_hhp": F.max,
     "frac_first": F.min,
     "frac_last": F.max,
-    "completion_type": lambda c: F.mode(c, deterministic=True),
-    "frac_formation": lambda c: F.mode(c, deterministic=True),
 }
+JOB_MODES = ("completion_type", "frac_formation")
 
 
 def well_frac(jobs: DataFrame) -> DataFrame:
     """Fracture jobs to one row per well. Unreadable dates are NULL; ties of the commonest
-    completion go to the first in order."""
+    completion go to the first in order.
+
+    Jobs are first rolled up per well and category with fixed-width states, which a hash
+    aggregate combines before the shuffle; the commonest categories are then found on that
+    short table instead of keeping a map of values per well.
+    """
     as_date = lambda c: F.col(c).try_cast("date")
     named = jobs.select(
         WELL,
-        F.lit(1).alias("frac_jobs"),
+        F.lit(1).cast("long").alias("frac_jobs"),
         F.col("longitud_rama_horizontal_m").alias("lateral_m"),
-        F.col("cantidad_fracturas").alias("stages"),
+        F.col("cantidad_fracturas").cast("long").alias("stages"),
         (or_zero("arena_bombeada_nacional_tn") + or_zero("arena_bombeada_importada_tn")).alias(
             "proppant_t"
         ),
@@ -60,7 +64,17 @@ def well_frac(jobs: DataFrame) -> DataFrame:
         F.col("tipo_terminacion").alias("completion_type"),
         F.col("formacion_productiva").alias("frac_formation"),
     )
-    return named.groupBy(WELL).agg(*[rule(F.col(c)).alias(c) for c, rule in JOB_RULES.items()])
+    roll_up = [rule(F.col(c)).alias(c) for c, rule in JOB_RULES.items()]
+    cells = named.groupBy(WELL, *JOB_MODES).agg(*roll_up).repartition(WELL)
+    for c in JOB_MODES:
+        cells = cells.withColumn(f"_n_{c}", F.sum("frac_jobs").over(Window.partitionBy(WELL, c)))
+    commonest = [
+        F.min_by(
+            F.col(c), F.when(F.col(c).isNotNull(), F.struct((-F.col(f"_n_{c}")).alias("n"), F.col(c)))
+        ).alias(c)
+        for c in JOB_MODES
+    ]
+    return cells.groupBy(WELL).agg(*roll_up, *commonest)
 
 
 def well_prod_summary(production: DataFrame) -> DataFrame:

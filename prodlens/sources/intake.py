@@ -20,7 +20,10 @@ def file_name(path: str = "path"):
 
 
 def file_manifest(spark: SparkSession, paths: Sequence[str], hashes: bool = True) -> DataFrame:
-    """``(path, file, bytes, sha256)`` of every file below the paths, hashed on the executors.
+    """``(path, uri, file, bytes, sha256)`` of every file below the paths, hashed on the executors.
+
+    ``path`` can be given to a reader; ``uri`` is the form in which Spark reports the file of
+    a row.
 
     One file is one record, so files must stay below 2 GB (``max_rows_per_file`` of the sinks
     keeps ours there); a larger one fails rather than being skipped. Without ``hashes`` no
@@ -29,13 +32,18 @@ def file_manifest(spark: SparkSession, paths: Sequence[str], hashes: bool = True
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     )
-    cols = ["path", file_name().alias("file"), F.col("length").alias("bytes")]
+    cols = [
+        "path",
+        F.col("_metadata.file_path").alias("uri"),
+        file_name().alias("file"),
+        F.col("length").alias("bytes"),
+    ]
     return files.select(*cols, *([F.sha2("content", 256).alias("sha256")] if hashes else []))
 
 
 def identify_partitions(files: DataFrame, at: str = MONTH) -> DataFrame:
-    """``(path, n_rows, first_date, last_date, year, one_year)`` for each file, by its own dates."""
-    per_file = files.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    """``(uri, n_rows, first_date, last_date, year, one_year)`` for each file, by its own dates."""
+    per_file = files.groupBy(F.col("_metadata.file_path").alias("uri")).agg(
         F.count("*").alias("n_rows"), F.min(at).alias("first_date"), F.max(at).alias("last_date")
     )
     lo, hi = F.year("first_date"), F.year("last_date")
@@ -44,7 +52,7 @@ def identify_partitions(files: DataFrame, at: str = MONTH) -> DataFrame:
 
 def require_year_files(identified: DataFrame) -> DataFrame:
     """Refuse files that span two years."""
-    bad = [r.path for r in identified.where(~F.coalesce("one_year", F.lit(False))).limit(20).collect()]
+    bad = [r.uri for r in identified.where(~F.coalesce("one_year", F.lit(False))).limit(20).collect()]
     if bad:
         raise IntakeError(f"not files of one year: {bad}")
     return identified
@@ -56,7 +64,7 @@ def resolve_duplicates(identified: DataFrame, manifest: DataFrame) -> DataFrame:
     Files with equal bytes are copies. Files that differ leave the one with most rows; of
     equally long ones the first by path.
     """
-    both = identified.join(manifest.select("path", "bytes", "sha256"), "path")
+    both = identified.join(manifest.select("uri", "path", "bytes", "sha256"), "uri")
     year = Window.partitionBy("year")
     ranked = both.withColumn(
         "place", F.row_number().over(year.orderBy(F.col("n_rows").desc(), "path"))

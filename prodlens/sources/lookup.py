@@ -22,6 +22,9 @@ def entity_history(
 def entity_histories(
     spark: SparkSession, path: str, entities: DataFrame, key: str = WELL, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Rows of every listed entity. The join on the bucket prunes folders while the job runs."""
+    """Rows of every listed entity. The buckets they fall into, at most ``buckets`` numbers,
+    are found first and prune the folders; the ids themselves stay on the cluster."""
     wanted = entities.select(key).distinct().withColumn("bucket", bucket_of(key, buckets))
-    return spark.read.parquet(path).join(wanted, ["bucket", key], "left_semi").drop("bucket")
+    needed = [r.bucket for r in wanted.select("bucket").distinct().collect()]
+    rows = spark.read.parquet(path).where(F.col("bucket").isin(needed))
+    return rows.join(wanted, ["bucket", key], "left_semi").drop("bucket")

@@ -37,15 +37,26 @@ class Source(Protocol):
     def fingerprint(self, spark: SparkSession) -> DataFrame: ...
 
 
+def _located(spark: SparkSession, path: str):
+    """The cluster's file system for a path, and the path in its terms."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True if the path, or the glob, names at least one file on the cluster's file system."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    """True if the path is a file, or a folder with a file somewhere below it."""
+    fs, p = _located(spark, path)
+    return fs.exists(p) and fs.listFiles(p, True).hasNext()
+
+
+def read_small_text(spark: SparkSession, path: str) -> str:
+    """A small text file such as a list of files. Spark's readers skip names that begin with ``_``."""
+    fs, p = _located(spark, path)
+    stream = fs.open(p)
     try:
-        return not found.load(path).select("path").limit(1).isEmpty()
-    except Exception as e:  # noqa: BLE001 - the reader's only sign of an absent path
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @dataclass(frozen=True)
@@ -91,8 +102,7 @@ class FileListSource:
         folder = f"{self.base.rstrip('/')}/{PANEL}"
         listed = self.files
         if not listed:
-            text = spark.read.text(f"{folder}/_files.json", wholetext=True).first()[0]
-            listed = tuple(json.loads(text))
+            listed = tuple(json.loads(read_small_text(spark, f"{folder}/_files.json")))
         return [f"{folder}/{f}" for f in listed]
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
@@ -184,8 +194,11 @@ def register_views(spark: SparkSession, source: Source, tables: Sequence[str] =
     return found
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
 def _schema(**types: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in types.items()))
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in types.items()])
 
 
 JOBS_SCHEMA = _schema(
@@ -213,7 +226,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     header = spark.read.option("header", True).csv(path).columns
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     if drop_malformed:
-        reader = reader.option("mode", "DROPMALFORMED")
+        reader = reader.option("mode", "DROPMALFORMED").option("columnPruning", False)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     known = {f.name: f for f in schema.fields}
@@ -221,5 +234,4 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if missing:
         raise ValueError(f"{path} has no columns {missing}")
     full = T.StructType([known.get(h, T.StructField(h, T.StringType())) for h in header])
-    df = reader.schema(full).csv(path)
-    return df if drop_malformed and len(full) == len(known) else df.select(*known)
+    return reader.schema(full).csv(path).select(*known)

@@ -84,7 +84,7 @@ def write_csv(df: DataFrame, path: str, citation: str | None = None) -> None:
 
 
 def build_manifest(spark: SparkSession, outputs: Mapping[str, str], hashes: bool = True) -> DataFrame:
-    """``(output, path, file, bytes, sha256)`` of everything a build wrote."""
+    """``(output, path, uri, file, bytes, sha256)`` of everything a build wrote."""
     out = None
     for name, path in outputs.items():
         part = file_manifest(spark, [path], hashes).withColumn("output", F.lit(name))
