@@ -671,8 +671,7 @@ def gloss_labels(p: Panel) -> DataFrame:
 def search_fold(p: Panel) -> DataFrame:
     """Values found by typing ``ifero``; the value already selected stays listed."""
     values = p.well_events.groupBy(F.col("tipopozo").alias("value")).agg(F.count("*").alias("n"))
-    chosen = F.col("value").isin("Inyección de Agua")
-    return values.where(chosen | text.folded_contains("value", "IFERÓ"))
+    return filters.search_values(values, "value", "IFERÓ", ["Inyección de Agua"])
 
 
 @query

@@ -57,7 +57,11 @@ def date_from_parts(year: Column | str, month: Column | str) -> Column:
     return F.make_date(_c(year), _c(month), F.lit(1))
 
 
-def clamp_hours(hours: Column | str, at: Column | str) -> Column:
-    """Hours cut to what the month holds; NULL stays NULL because no declaration is not a full month."""
+def clamp_hours(hours: Column | str, at: Column | str, missing_is_full: bool = False) -> Column:
+    """Hours cut to what the month holds.
+
+    NULL stays NULL because no declaration is not a full month; ``missing_is_full`` counts it
+    as one all the same.
+    """
     h, ceiling = _c(hours), hours_in_month(at).cast("double")
-    return F.when(h > ceiling, ceiling).otherwise(h)
+    return F.least(h, ceiling) if missing_is_full else F.when(h > ceiling, ceiling).otherwise(h)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prodlens.functions.text import folded_contains
+
 Range = Mapping[str, Any]
 Filters = Mapping[str, Any]
 
@@ -99,6 +101,18 @@ def filter_report(df: DataFrame, filters: Filters) -> DataFrame:
     )
 
 
+def search_values(values: DataFrame, col: str, term: str, selected: Sequence[Any] = ()) -> DataFrame:
+    """Rows of a domain whose value contains the term, case and accents ignored.
+
+    Selected values are always kept, so a filter can never be active and invisible; an empty
+    term keeps everything.
+    """
+    if not term.strip():
+        return values
+    found = folded_contains(col, term)
+    return values.where(found | one_of(col, selected) if selected else found)
+
+
 def narrow(filters: Filters, col: str, values: Sequence[Any]) -> dict[str, Any] | None:
     """Intersect a fixed set with the user's own selection of ``col``.
 

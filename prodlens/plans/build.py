@@ -24,6 +24,7 @@ from prodlens.plans.summary import summary_sections
 from prodlens.sources.sinks import (
     build_manifest,
     write_labels,
+    with_rows,
     write_sharded,
     write_sorted,
     write_summary,
@@ -55,12 +56,14 @@ def build(
     event_tie_break: list[str] | None = None,
     limits: Mapping[str, int] | None = None,
     block_must_match: bool = False,
+    findings: DataFrame | None = None,
 ) -> DataFrame:
     """Write every table under ``out`` and return the manifest.
 
     The fact, the attributes and the cubes are written before they are used again, so no
     later step repeats a temporal join. Gates: cube against source at 1e-9; both cubes, if
-    every well has a block; bytes against ``limits``.
+    every well has a block; bytes against ``limits``. ``findings`` of the checks become a
+    section of the summary.
     """
     out = out.rstrip("/")
     at = lambda name: f"{out}/{name}"
@@ -102,10 +105,11 @@ def build(
     code_names(attrs, "formprod", "formacion").write.mode("overwrite").json(at("formation_names"))
     write_sorted(wells_slim(attrs), at("wells_slim"), ["cuenca", WELL])
     write_sharded(well_history(fact), at("wells"))
-    write_summary(summary_sections(attrs, cube), at("summary"))
+    write_summary(summary_sections(attrs, cube, findings), at("summary"))
 
     published = ["agg_monthly", "agg_block", "typecurve", "wells_slim", "wells", "dims", "formation_names", "summary"]
-    manifest = build_manifest(spark, {n: at(n) for n in published})
+    parquet = {n: at(n) for n in published[:5]}
+    manifest = with_rows(build_manifest(spark, {n: at(n) for n in published}), spark, parquet)
     manifest.write.mode("overwrite").json(at("manifest"))
     if limits:
         over = budget_check(manifest, limits).where("NOT ok").collect()

@@ -77,7 +77,7 @@ def well_frac(jobs: DataFrame) -> DataFrame:
     return cells.groupBy(WELL).agg(*roll_up, *commonest)
 
 
-def well_prod_summary(production: DataFrame) -> DataFrame:
+def well_prod_summary(production: DataFrame, missing_hours_are_full: bool = False) -> DataFrame:
     """First and last producing month, producing months, cumulatives and clamped hours per well."""
     month = F.when(is_producing(), F.col(MONTH))
     return production.groupBy(WELL).agg(
@@ -88,7 +88,7 @@ def well_prod_summary(production: DataFrame) -> DataFrame:
         F.sum("prod_gas").alias("cum_gas_e3m3"),
         F.sum("prod_agua").alias("cum_water_m3"),
         F.sum("iny_agua").alias("cum_water_inj_m3"),
-        F.sum(clamp_hours("tef", MONTH)).alias("total_effective_hours"),
+        F.sum(clamp_hours("tef", MONTH, missing_hours_are_full)).alias("total_effective_hours"),
     )
 
 
@@ -134,6 +134,7 @@ def well_attrs(
     cut_m: float = HORIZONTAL_M,
     event_tie_break: list[str] | None = None,
     null_length_is_unknown: bool = False,
+    missing_hours_are_full: bool = False,
 ) -> DataFrame:
     """One row per well: identity, latest operator and state, history, jobs and classes.
 
@@ -144,7 +145,7 @@ def well_attrs(
         latest_operator(history),
         latest_state(events, event_tie_break),
         first_production(register),
-        well_prod_summary(production),
+        well_prod_summary(production, missing_hours_are_full),
         well_frac(jobs),
     ):
         joined = joined.join(side, WELL, "left")
@@ -184,6 +185,7 @@ def prod_monthly(
     event_tie_break: list[str] | None = None,
     check_spans: bool = True,
     asof_strategy: str = "spans",
+    missing_hours_are_full: bool = False,
 ) -> DataFrame:
     """The monthly fact with the operator and the state in force in each month.
 
@@ -192,7 +194,8 @@ def prod_monthly(
     """
     if check_spans:
         history = require_disjoint_spans(history, WELL, "valid_from", "valid_to")
-    hours = production.withColumn("tef", clamp_hours("tef", MONTH)).select(
+    tef = clamp_hours("tef", MONTH, missing_hours_are_full)
+    hours = production.withColumn("tef", tef).select(
         WELL, MONTH, "anio", "prod_pet", "prod_gas", "prod_agua", "iny_agua", "iny_gas", "tef"
     )
     owned = interval_join(

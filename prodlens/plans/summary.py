@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodlens.functions.dates import year_month
 from prodlens.functions.text import NO_DATA, or_label
+from prodlens.functions.units import E3M3_TO_MCF, M3_TO_BBL
 from prodlens.operators.aggregates import domain_counts
 from prodlens.plans.enrich import MONTH
 
@@ -66,9 +67,27 @@ def domains(attrs: DataFrame) -> DataFrame:
     return domain_counts(attrs, DOMAIN_DIMS, NO_DATA)
 
 
-def summary_sections(attrs: DataFrame, cube: DataFrame) -> dict[str, DataFrame]:
+def about(spark: SparkSession) -> DataFrame:
+    """One row of notes: when it was built, what may be added up, and the units."""
+    return spark.range(1).select(
+        F.current_timestamp().alias("generated"),
+        F.lit(NOTE_ON_WELL_COUNTS).alias("note_on_well_counts"),
+        F.lit("m3").alias("oil"),
+        F.lit("e3m3 (10^3 m3)").alias("gas"),
+        F.lit("m3").alias("water"),
+        F.lit(M3_TO_BBL).alias("m3_to_bbl"),
+        F.lit(E3M3_TO_MCF).alias("e3m3_to_mcf"),
+    )
+
+
+def summary_sections(
+    attrs: DataFrame, cube: DataFrame, findings: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Every section by name; each is a small aggregate, sorted when written."""
+    checked = {} if findings is None else {"data_quality": findings}
     return {
+        **checked,
+        "about": about(cube.sparkSession),
         "coverage": coverage(cube),
         "kpi": kpi(attrs, cube),
         "national_monthly": national_monthly(cube).orderBy("ym"),

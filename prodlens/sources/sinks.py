@@ -65,6 +65,27 @@ def write_summary(sections: Mapping[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
 
 
+def write_findings(found: DataFrame, path: str) -> None:
+    """Findings as JSON lines and as a Markdown table."""
+    folder = path.rstrip("/")
+    found.write.mode("overwrite").json(f"{folder}/json")
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    names = ["check_name", "subject", "key", "value", "status"]
+    head = found.sparkSession.range(2).select(
+        F.col("id").alias("place"),
+        F.when(F.col("id") == 0, line(*[F.lit(n) for n in names]))
+        .otherwise(line(*[F.lit("---")] * len(names)))
+        .alias("value"),
+    )
+    shown = [F.coalesce(F.col(n).cast("string"), F.lit("NULL")) for n in names]
+    body = found.select(
+        F.lit(2).cast("long").alias("place"), line(*shown).alias("value")
+    )
+    head.unionByName(body).orderBy("place", "value").select("value").write.mode("overwrite").text(
+        f"{folder}/markdown"
+    )
+
+
 def write_labels(labels: DataFrame, path: str, dims: Sequence[str]) -> None:
     """The label sidecar; refused while a dimension has no labels."""
     require_labels(labels, list(dims))
@@ -93,6 +114,11 @@ def build_manifest(spark: SparkSession, outputs: Mapping[str, str], hashes: bool
     return out
 
 
+def with_rows(manifest: DataFrame, spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+    """The manifest with the row count of each Parquet output; NULL for the others."""
+    return manifest.join(output_rows(spark, tables), "output", "left")
+
+
 def output_rows(spark: SparkSession, outputs: Mapping[str, str]) -> DataFrame:
     """``(output, n_rows)`` of Parquet outputs, from the file footers."""
     out = None

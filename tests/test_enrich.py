@@ -40,6 +40,8 @@ def test_production_summary(panel):
     # 900 h is cut to 29 x 24; the month without a declaration adds nothing
     assert one.total_effective_hours == 300 + 696 + 720 + 744
     assert got[3].producing_months == 1 and got[3].cum_water_inj_m3 is None
+    full = by_key(enrich.well_prod_summary(panel["monthly_production"], missing_hours_are_full=True), "idpozo")
+    assert full[1].total_effective_hours == one.total_effective_hours + 744
 
 
 def test_attributes(attrs, panel):

@@ -132,3 +132,10 @@ def test_share_guards(spark):
     assert [r.s for r in aggregates.share_of_total(df, "v", "s").collect()] == [None, None]
     out = aggregates.share_by_month(df.limit(0), df, "k", "v", "p")
     assert {r.k: r.p for r in out.select("k", F.col("p")).collect()} == {"a": None, "b": None}
+
+
+def test_search_keeps_what_is_selected(spark):
+    df = spark.createDataFrame([("Neuquén",), ("Chubut",), ("Salta",)], "v string")
+    found = lambda *a: sorted(r.v for r in filters.search_values(df, "v", *a).collect())
+    assert found("NEUQUEN") == ["Neuquén"] and found("neu", ["Salta"]) == ["Neuquén", "Salta"]
+    assert len(found(" ")) == 3 and found("zzz") == []

@@ -5,6 +5,7 @@ from conftest import by_key, d
 from pyspark.sql import functions as F
 
 from prodlens.plans import quality
+from prodlens.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -99,13 +100,18 @@ def test_totals_agree_edges(spark):
     assert not quality.totals_agree(a, spark.createDataFrame([(3.00001,)], "y double"), {"v": ("x", "y")}).first().ok
 
 
-def test_findings_and_gate(panel, official):
+def test_findings_and_gate(spark, panel, official, tmp_path):
     tables = {t: panel[t] for t in ("wells", "monthly_production", "well_operator_history", "well_events")}
     found = quality.verify(tables, *official, panel["jobs"], panel["register"], documented={"wells": 6}).cache()
     assert {"row_counts", "orphans", "reconciliation", "nulls", "srid", "threshold_bands"} <= {r.check_name for r in found.collect()}
     status = {(r.check_name, r.subject): r.status for r in found.collect()}
     assert status[("orphans", "well_events")] == "pass" and status[("hours", "all")] == "info"
     quality.gate(found.where("check_name <> 'bbl_per_m3'"))
+    sinks.write_findings(found, str(tmp_path / "findings"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "findings" / "markdown")).collect()]
+    assert len(lines) == found.count() + 2 and "| orphans | wells | orphans | 0.0 | pass |" not in lines
+    assert "| orphans | well_events | orphans | 0.0 | pass |" in lines
+    assert spark.read.json(str(tmp_path / "findings" / "json")).count() == found.count()
     stray = panel["well_events"].limit(1).withColumn("idpozo", F.lit(77).cast("long")).withColumn("event_date", F.lit(d("2020-01-01")))
     tables["well_events"] = panel["well_events"].unionByName(stray)
     with pytest.raises(quality.QualityGateError, match="orphans/well_events"):

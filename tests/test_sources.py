@@ -202,6 +202,8 @@ def test_build_end_to_end(spark, panel, fact, tmp_path):
     manifest = build(spark, inputs, out, ["event_id"], limits={"agg_monthly": 10_000_000})
     assert {r.output for r in manifest.select("output").distinct().collect()} == {
         "agg_monthly", "agg_block", "typecurve", "wells_slim", "wells", "dims", "formation_names", "summary"}
+    sizes = {r.output: r.n_rows for r in manifest.select("output", "n_rows").distinct().collect()}
+    assert sizes["wells_slim"] == 11 and sizes["dims"] is None
     assert spark.read.parquet(f"{out}/typecurve").agg(F.max("wells")).first()[0] == 5
     assert lookup.entity_history(spark, f"{out}/wells", 1).count() == 5
     kpi = spark.read.json(f"{out}/summary/kpi").first()
