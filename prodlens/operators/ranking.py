@@ -51,9 +51,10 @@ class BucketLimits:
         """Add the bucket number of ``col``; a missing value has no bucket."""
         inner = self.limits[like or col]
         if not inner:
-            return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0.0)))
+            return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0)))
         splits = [float("-inf"), *inner, float("inf")]
-        return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+        tagged = Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+        return tagged.withColumn(out, F.col(out).cast("int"))
 
 
 def _offsets(counted: DataFrame, value: str) -> DataFrame:
@@ -93,7 +94,11 @@ def ranked_values(
         pack(keys).alias("_k"), finite(value).alias("_v"), times.cast("long").alias("_w")
     ).where(F.col("_v").isNotNull())
     limits = limits or BucketLimits.fit(src, ["_v"], buckets)
-    tagged = limits.tag(src, "_v", "_b", like=next(iter(limits.limits)))
+    # the planner would add this condition below one side of the join only, and the two
+    # passes over the counts could then not share their shuffle
+    tagged = limits.tag(src, "_v", "_b", like=next(iter(limits.limits))).where(
+        F.col("_b").isNotNull()
+    )
     counted = tagged.groupBy("_k", "_b", "_v").agg(F.sum("_w").alias("n"))
     within = (
         Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +163,7 @@ def exact_quantiles(
                 ]
             )
         ).alias("x"),
-    ).where(F.col("x.v").isNotNull())
+    ).where(F.col("x.v").isNotNull() & F.col("x.b").isNotNull())
     counted = long.groupBy(
         F.struct(F.col("_k").alias("g"), F.col("x.m").alias("m")).alias("_k"),
         F.col("x.b").alias("_b"),

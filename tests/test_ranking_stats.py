@@ -203,6 +203,13 @@ def test_correlation_needs_three_pairs(spark):
     assert row.pearson is None and row.spearman is None
 
 
+def test_both_passes_over_the_counts_share_their_shuffle(sample):
+    df, _ = sample
+    out = ranking.exact_quantiles(df, ["g"], ["v", "w"], [0.5])
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_window_or_sort_collects_a_group(sample):
     """Ranks are finished inside (group, bucket): every window carries the bucket or sums totals."""
     df, _ = sample
