@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from conftest import by_key
 
+from prodlens.common import pin
 from prodlens.operators import ranking, stats
 
 
@@ -205,7 +206,7 @@ def test_correlation_needs_three_pairs(spark):
 
 def test_both_passes_over_the_counts_share_their_shuffle(sample):
     df, _ = sample
-    out = ranking.exact_quantiles(df, ["g"], ["v", "w"], [0.5])
+    out = ranking.exact_quantiles(pin(df), ["g"], ["v", "w"], [0.5])
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
