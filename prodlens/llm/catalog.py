@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodlens.llm import chat, sharding, urls
+from prodlens.llm import chat, decontaminate, ngram_join, sharding, urls
 
 REGISTRY, ORACLES = {}, {}
 
@@ -112,3 +112,55 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_pages(pages, labels, URL_RULES, limit=BAD_SHARE, z=BAD_Z)
+
+
+# words, distinct shingles and their number per document; the oracles of both shingle operators start with it
+SHINGLES_SQL = r"""
+words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+  FROM words
+)
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE {SHINGLES_SQL},
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+commons AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM commons JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.node
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached ON node = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@registered("op4_ngram_join", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = f"""
+WITH {SHINGLES_SQL},
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+  FROM items
+), sizes AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_common, count(*) / n_item AS containment
+FROM shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) / n_item >= 0.8
+"""
+
+
+@registered("op7_decontamination", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
