@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodlens.llm import chat, decontaminate, ngram_join, sharding, urls
+from prodlens.llm import chat, decontaminate, ngram_join, sharding, substring_dedup, urls
 
 REGISTRY, ORACLES = {}, {}
 
@@ -164,3 +164,28 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) / n_item >= 0.8
 @registered("op7_decontamination", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS start,
+    unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i+19], ' '))) AS phrase
+  FROM words WHERE len(w) >= 20
+), marked AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, start) AS nth FROM windows) WHERE nth > 1
+), covered AS (
+  SELECT DISTINCT doc_id, start + i AS place FROM marked, (SELECT unnest(range(20)) AS i)
+), kept AS (
+  SELECT doc_id, list(place) AS gone FROM covered GROUP BY doc_id
+)
+SELECT words.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@registered("op6_substring_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))

@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prodlens.llm import bloom
 from prodlens.llm.storage import Stages, broadcast_ids
-from prodlens.llm.text import as_bytes, hash_words, list_array, map_batches, mix, signed, window_hashes
+from prodlens.llm.text import as_bytes, hash_words, list_array, map_batches, signed, window_hashes
 
 WIDTH = 5
-FILTER_HASHES = 6
-MOST_FILTER_BITS = 2**28
 
 
 def may_miss(n: int, share: float) -> int:
@@ -42,11 +41,6 @@ def _shingles(words: np.ndarray, widths: list[int]) -> np.ndarray:
     return np.unique(np.concatenate([window_hashes(words, w) for w in widths]))
 
 
-def _place(hashes: np.ndarray, i: int, bits: int) -> np.ndarray:
-    """The i-th bit of the filter for each hash."""
-    return mix(hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(bits)
-
-
 def describe_items(items: DataFrame, share: float) -> DataFrame:
     """item_id, width, n, shingles and sketch of every item with words."""
 
@@ -69,31 +63,6 @@ def describe_items(items: DataFrame, share: float) -> DataFrame:
     return map_batches(items, work, "item_id long, width int, shingles array<long>, sketch array<long>")
 
 
-def sketch_filter(sketches: DataFrame) -> np.ndarray:
-    """The filter's bits as bytes. Each slice of the filter is filled by one task; the driver puts them together."""
-    n = sketches.select(F.explode("sketch").alias("h")).distinct().count()
-    bits = min(MOST_FILTER_BITS, max(2**16, 2 ** (24 * n).bit_length()))
-    slices = 64
-    width = bits // slices
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = np.unique(batch.column("h").to_numpy()).view(np.uint64)
-        places = np.unique(np.concatenate([_place(hashes, i, bits) for i in range(FILTER_HASHES)]))
-        return pa.RecordBatch.from_arrays([pa.array((places // np.uint64(width)).astype(np.int32)), pa.array(places.astype(np.int64))], names=["slice", "place"])
-
-    def fill(key, table):
-        own = np.zeros(width, bool)
-        own[table.column("place").to_numpy() % width] = True
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    hashes = sketches.select(F.explode("sketch").alias("h"))
-    places = map_batches(hashes, work, "slice int, place long").distinct()
-    out = np.zeros(bits // 8, np.uint8)
-    for row in places.groupBy("slice").applyInArrow(fill, "slice int, bits binary").toLocalIterator():
-        out[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8) -> DataFrame:
     """Pairs of a document and a contained item: doc_id, item_id, n_item, n_common, containment.
 
@@ -106,20 +75,15 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8) -> Da
     own = items.select(F.col("item_id").cast("long").alias("item_id"), as_bytes("text").alias("text"))
     known = stages.write("items", describe_items(own, share))
     widths = sorted({WIDTH, *[r["width"] for r in known.select("width").distinct().collect()]})
-    seen = docs.sparkSession.sparkContext.broadcast(sketch_filter(known))
+    hashes = known.select(F.explode("sketch").alias("h"))
+    seen = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, hashes.distinct().count()))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         flags, ids, hits, sets = seen.value, [], [], []
-        bits = len(flags) * 8
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             words = hash_words(text.lower().split())
             shingles = np.concatenate([window_hashes(words, w) for w in widths])
-            found = shingles
-            for i in range(FILTER_HASHES):
-                at = _place(found, i, bits)
-                found = found[(flags[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
-                if not len(found):
-                    break
+            found = shingles[bloom.contains(flags, shingles)]
             if len(found) and doc is not None:
                 ids.append(doc)
                 hits.append(signed(np.unique(found)))
