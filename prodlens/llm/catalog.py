@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodlens.llm import chat, decontaminate, ngram_join, sharding, substring_dedup, urls
+from prodlens.llm import chat, decontaminate, language_model, ngram_join, packing, sharding, substring_dedup, urls
 
 REGISTRY, ORACLES = {}, {}
 
@@ -189,3 +189,14 @@ FROM words LEFT JOIN kept USING (doc_id)
 @registered("op6_substring_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@registered("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@registered("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return language_model.score_documents(table(spark, sf_dir, "documents"), held_out)

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
+import prodlens
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prodlens.common import new_work_path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(prodlens.__file__).resolve().parents[1]
+        packed = shutil.make_archive(f"{tempfile.mkdtemp()}/prodlens", "zip", root, "prodlens")
+        spark.sparkContext.addPyFile(packed)
+        _SHIPPED.add(app)
+
+
 class Stages:
     """Writes intermediate tables of one operator and removes those that are done with."""
 
     def __init__(self, spark, name: str):
+        ship_package(spark)
         self.spark, self.name, self.paths = spark, name, {}
 
     def write(self, label: str, df: DataFrame) -> DataFrame:
