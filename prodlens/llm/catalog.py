@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodlens.llm import chat, decontaminate, language_model, ngram_join, packing, sharding, substring_dedup, urls
+from prodlens.llm import chat, decontaminate, language_model, ngram_join, packing, sharding, substring_dedup, toxicity, urls
 
 REGISTRY, ORACLES = {}, {}
 
@@ -200,3 +200,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return language_model.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
+@registered("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity_training())
+
+
+def toxicity_training():
+    """Rows whose crc32(doc_id as text) mod 3 is 1 are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
