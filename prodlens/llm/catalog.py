@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodlens.llm import chat, decontaminate, language_model, ngram_join, packing, sharding, substring_dedup, toxicity, urls
+from prodlens.llm import chat, decontaminate, embeddings, language_model, ngram_join, packing, sharding, substring_dedup, toxicity, urls
 
 REGISTRY, ORACLES = {}, {}
 
@@ -210,3 +210,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_training():
     """Rows whose crc32(doc_id as text) mod 3 is 1 are held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+
+
+OP9_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reached AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.node
+)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id JOIN reached ON node = vec_id GROUP BY vec_id
+"""
+
+
+@registered("op9_embedding_near_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))

@@ -106,4 +106,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8) ->
     """The documents that contain no item; rows without doc_id stay."""
     bad = contained_items(docs, items, share).select("doc_id").distinct()
     bad = Stages(docs.sparkSession, "decontaminate").write("bad", bad)
-    return docs.join(broadcast_ids(bad), "doc_id", "left_anti")
+    return docs.join(broadcast_ids(bad), "doc_id", "left_anti").select(*docs.columns)

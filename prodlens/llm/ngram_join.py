@@ -267,3 +267,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", "set_id", F.col("n").alias("n_shingles")).join(groups, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of linked documents those rows that have its smallest doc_id, with all columns.
+
+    Rows with one doc_id are one document and stay together; rows without doc_id stay.
+    """
+    linked_to = link_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = Stages(docs.sparkSession, "ngram").write("dropped", linked_to)
+    return docs.join(broadcast_ids(dropped), "doc_id", "left_anti").select(*docs.columns)

@@ -237,4 +237,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, training=None, most: int = SA
     """The documents that are not predicted toxic; rows without doc_id stay."""
     bad = score_documents(docs, labels, training, most).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     bad = Stages(docs.sparkSession, "toxicity").write("rejected", bad)
-    return docs.join(broadcast_ids(bad), "doc_id", "left_anti")
+    return docs.join(broadcast_ids(bad), "doc_id", "left_anti").select(*docs.columns)
