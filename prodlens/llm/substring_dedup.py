@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prodlens.llm import bloom
 from prodlens.llm.storage import Stages
@@ -214,10 +215,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All documents and columns; of a text with repeats the kept words stay, joined by a space."""
 
-    @F.pandas_udf("string")
-    def cleaned(text, ranges):
-        return text.combine(ranges, lambda t, r: b" ".join(kept_words(bytes(t).split(), r)).decode())
+    names = docs.columns
+    place = names.index("text")
 
-    marked = with_ranges(docs)
-    new = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(cleaned(as_bytes("text"), "_ranges"))
-    return marked.withColumn("text", new).select(*docs.columns)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns, ranges = batch.columns[:-1], batch.column("_ranges").to_pylist()
+        texts = columns[place].to_pylist()
+        for i in [i for i, r in enumerate(ranges) if r]:
+            texts[i] = b" ".join(kept_words(texts[i].encode().split(), ranges[i])).decode()
+        columns[place] = pa.array(texts, columns[place].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
+    return map_batches(with_ranges(docs).select(*docs.columns, "_ranges"), work, schema)
