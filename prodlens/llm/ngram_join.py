@@ -8,14 +8,17 @@ with equal sets are one class from the start. Then
 2. shingles are ordered by that count, rarest first, those outside the region last by hash. Two
    linked sets of n shingles share one of their first n - ceil(0.8 n) + 1, so a class whose
    first ones occur nowhere else is proved unlinked, and the rest post only the others;
-3. classes that share a posted shingle, split into bands of fitting sizes, are compared with the
-   first of their band, exactly, tile by tile;
-4. tiles whose classes are not all connected by then compare the rest with hashed bitmaps. Each
-   shingle flips one of 512 bits, so the number of bits in which two maps differ bounds the
-   sets' difference from below and their overlap from above; pairs that may still reach 0.8 are
-   intersected exactly as sorted arrays.
-
-No pair is missed: only pairs already connected, or excluded by a bound, are left out.
+3. the classes of a posted shingle are split into bands of fitting sizes, and the first of a band
+   leads the others; a leader with all it leads, over all shingles, is a tile, so a set is
+   sent once per leader and not once per shingle;
+4. a tile compares its sets with hashed bitmaps. Each shingle flips one of 1024 bits, so the number
+   of bits in which two maps differ bounds the sets' difference from below and their overlap
+   from above; pairs that may still reach 0.8 are intersected exactly as sorted arrays,
+   unless links found before connect them already.
+
+A tile of more sets than a block first compares all with the leader, in parts; then pairs of
+blocks are tiles of their own, but for the pairs of sets that the leader connects. No pair is
+missed: only pairs already connected, or excluded by a bound, are left out.
 """
 
 from __future__ import annotations
@@ -35,9 +38,8 @@ from prodlens.llm.text import as_bytes, list_array, map_batches, shingle_set, si
 WIDTH = 5
 REGION = np.uint64(int(0.3 * 2**64))
 MANY = 255  # counts are told apart up to here; an order needs no more
-SIGNATURE_BITS = 512
-TILE_ROWS = 1000
-BLOCK = 1024
+SIGNATURE_BITS = 1024
+BLOCK = 2048
 
 
 def prefix_length(n: int) -> int:
@@ -48,10 +50,10 @@ def linked(overlap, n_a, n_b):
     return 100 * overlap >= 80 * (n_a + n_b - overlap)
 
 
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles that hash to each bit."""
-    flips = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(flips.astype(bool)).tobytes()
+    flips = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(flips.astype(bool)).view(np.uint64)
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -107,18 +109,30 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each class with the first of its size band, in rows sorted by (token, n, set_id)."""
-    token = lead = None
-    lead_n = 0
+    """Pairs of each class with the leader of its band, in rows sorted by (token, n, set_id).
+
+    A band starts with the class that the leader before it cannot link to for its size. A class
+    may link across two bands, so the classes of a band are also led by the leader before.
+    """
+    token = None
+    leaders: list[tuple] = []
     for batch in batches:
         firsts, others = [], []
         for t, n, s in zip(*(batch.column(c).to_pylist() for c in ("token", "n", "set_id"))):
-            if t != token or 4 * n > 5 * lead_n:
-                token, lead, lead_n = t, s, n
-            elif s != lead:
-                firsts.append(lead)
-                others.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(others, pa.int64())], names=["a", "b"])
+            if t != token:
+                token, leaders = t, [(s, n)]
+            elif s != leaders[-1][0]:
+                if 4 * n > 5 * leaders[-1][1]:
+                    leaders = [leaders[-1], (s, n)]
+                for lead, _ in leaders:
+                    if lead != s:
+                        firsts.append(lead)
+                        others.append(s)
+        yield _pairs(firsts, others)
+
+
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _may_link(sig_a, n_a, sig_b, n_b):
@@ -131,81 +145,78 @@ def _may_link(sig_a, n_a, sig_b, n_b):
     return linked(most, n_a[:, None], n_b[None, :])
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between components inside each (token, tile) that the bitmaps cannot exclude."""
-    key, rows = None, []
-
-    def compare():
-        if len(rows) < 2:
-            return
-        ids, label, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        side = np.array([r[4] for r in rows])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-        home, other = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for at in range(0, len(home), BLOCK):
-            h = home[at : at + BLOCK]
-            may = _may_link(sig[h], n[h], sig[other], n[other]) & (label[h][:, None] != label[other][None, :])
-            i, j = np.nonzero(may)
-            a, b = ids[h[i]], ids[other[j]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the sets of each tile; rows sorted by (lead, tile).
 
-    for batch in batches:
-        for *k, s, label, n, sig, side in zip(*(batch.column(c).to_pylist() for c in ("token", "tile", "set_id", "label", "n", "sig", "side"))):
-            if k != key:
-                yield from compare()
-                key, rows = k, []
-            rows.append((s, label, n, sig, side))
-    yield from compare()
+    ``side`` says which rows meet: 2 with all, 0 and 1 with the other; rows with ``joined`` are
+    connected through the leader and not compared with each other.
+    """
+    key, rows = None, []
 
+    def compare() -> pa.RecordBatch:
+        ids = [r[0] for r in rows]
+        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
+        side, joined = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        sig, n = np.stack([signature(x) for x in sets]), np.array([len(x) for x in sets])
+        label, a, b = np.where(joined, -1, np.arange(len(rows))), [], []
+        lead = ids.index(key[0]) if key[0] in ids else 0
+        # the leader first: it connects most of its tile, and what is connected is not compared again
+        for i in [lead, *(x for x in range(len(rows)) if x != lead)]:
+            other = np.flatnonzero((label != label[i]) & ((side == 2) | (side != side[i])) & (4 * n <= 5 * n[i]) & (5 * n >= 4 * n[i]))
+            other = other[_may_link(sig[i : i + 1], n[i : i + 1], sig[other], n[other])[0]]
+            for j in other.tolist():
+                if label[i] == label[j]:
+                    continue
+                if linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j]):
+                    a.append(ids[i])
+                    b.append(ids[j])
+                    label[label == label[j]] = label[i]
+        return _pairs(a, b)
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact intersections with the set that leads each tile; rows sorted by (a, tile, b), the leader's first."""
-    lead = None
     for batch in batches:
-        firsts, others = [], []
-        for a, b, raw, sig in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles", "sig"))):
-            own = np.frombuffer(raw, np.uint64)
-            if b is None:
-                lead, lead_sig, lead_n = own, np.frombuffer(sig, np.uint64)[None, :], np.array([len(own)])
-            elif _may_link(lead_sig, lead_n, np.frombuffer(sig, np.uint64)[None, :], np.array([len(own)]))[0, 0]:
-                overlap = len(np.intersect1d(lead, own, assume_unique=True))
-                if linked(overlap, len(lead), len(own)):
-                    firsts.append(a)
-                    others.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(others, pa.int64())], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs``; a set that leads many pairs leads several tiles."""
-    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
-    b = full.select(F.col("set_id").alias("b"), "shingles", "sig")
-    rows = pairs.join(tiles, "a").withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int"))
-    rows = rows.join(b, "b").select("a", "tile", "b", "shingles", "sig")
-    lead = tiles.join(full, tiles["a"] == full["set_id"]).select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(None).cast("long").alias("b"), "shingles", "sig"
-    )
-    both = rows.unionByName(lead).repartition("a", "tile").sortWithinPartitions("a", "tile", "b")
-    return both.mapInArrow(_verify, "a long, b long")
-
-
-def _crossing(postings: DataFrame, labels: DataFrame, full: DataFrame) -> DataFrame:
-    """Tiles of (token, pair of size blocks) whose classes are not all connected yet.
-
-    The classes of a common token are cut into blocks, and each pair of blocks is a tile of
-    its own; a class goes to the tiles of its block with every block.
-    """
-    known = postings.join(labels, "set_id")
-    mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"))
-    mixed = mixed.where("lo <> hi").select("token", F.ceil(F.col("k") / F.lit(4 * BLOCK)).cast("int").alias("blocks"))
-    rows = known.join(mixed, "token").join(full.select("set_id", "sig"), "set_id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("*", pair.alias("with"))
-    lo, hi = F.least("own", "with"), F.greatest("own", "with")
-    # in a tile of two different blocks only rows of unlike sides are compared
-    side = F.when(F.col("own") == F.col("with"), F.lit(2)).when(F.col("own") < F.col("with"), F.lit(0)).otherwise(F.lit(1))
-    return rows.select("token", (lo * F.col("blocks") + hi).alias("tile"), "set_id", "label", "n", "sig", side.alias("side"))
+        for lead, tile, *row in zip(*(batch.column(c).to_pylist() for c in ("lead", "tile", "set_id", "shingles", "side", "joined"))):
+            if (lead, tile) != key:
+                if len(rows) > 1:
+                    yield compare()
+                key, rows = (lead, tile), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield compare()
+
+
+def _tiled(rows: DataFrame, full: DataFrame) -> DataFrame:
+    shipped = rows.join(full, "set_id").select("lead", "tile", "set_id", "shingles", "side", "joined")
+    return shipped.repartition("lead", "tile").sortWithinPartitions("lead", "tile").mapInArrow(_link_tiles, "a long, b long")
+
+
+def _links(pairs: DataFrame, full: DataFrame, stages: Stages, block: int = BLOCK) -> DataFrame:
+    """Links that connect whatever ``pairs`` (leader, other) brings together."""
+    members = pairs.select(F.col("a").alias("lead"), F.col("b").alias("set_id"))
+    sizes = stages.write("sizes", members.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")))
+    own = sizes.select("lead", F.col("lead").alias("set_id"), "blocks")
+    no, both = F.lit(False), F.lit(2)
+    small = members.join(sizes.where("blocks = 1"), "lead").union(own.where("blocks = 1"))
+    edges = _tiled(small.select("lead", F.lit(0).alias("tile"), "set_id", both.alias("side"), no.alias("joined")), full)
+    large = sizes.where("blocks > 1")
+    if not large.limit(1).count():
+        return edges
+    # the leader against parts of its tile
+    cut = members.join(large, "lead").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    leader = own.where("blocks > 1").select("lead", parts.alias("tile"), "set_id", F.lit(0).alias("side"), no.alias("joined"))
+    star = cut.select("lead", F.col("own").alias("tile"), "set_id", F.lit(1).alias("side"), no.alias("joined"))
+    stars = stages.write("stars", _tiled(star.union(leader), full))
+    # every pair of blocks, but for what the leader connects
+    tied = stars.select(F.col("a").alias("lead"), F.col("b").alias("set_id")).union(stars.select("b", "a")).distinct()
+    cut = cut.join(tied.withColumn("joined", F.lit(True)), ["lead", "set_id"], "left").withColumn("joined", F.coalesce("joined", no))
+    cut = stages.write("cut", cut)
+    free = cut.groupBy("lead", "own").agg(F.max(~F.col("joined")).alias("free"))
+    pair = free.select("lead", F.col("own").alias("x"), F.col("free").alias("fx")).join(free.select("lead", F.col("own").alias("y"), F.col("free").alias("fy")), "lead")
+    pair = pair.where("x <= y AND (fx OR fy)").join(large, "lead").select("lead", "x", "y", (F.col("x") * F.col("blocks") + F.col("y")).alias("tile"))
+    sides = pair.select("lead", "tile", F.col("x").alias("own"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    sides = sides.union(pair.where("x < y").select("lead", "tile", "y", F.lit(1)))
+    rest = cut.join(sides, ["lead", "own"]).select("lead", "tile", "set_id", "side", "joined")
+    return edges.union(stars).union(_tiled(rest, full))
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -244,26 +255,20 @@ def link_documents(docs: DataFrame) -> DataFrame:
         for want, text in zip(batch.column("want").to_pylist(), batch.column("text").to_pylist()):
             shingles = shingle_set(text, WIDTH)
             if len(shingles) and _set_id(shingles) == want:
-                out.append((want, shingles.tobytes(), signature(shingles)))
-        ids, raw, sig = zip(*out) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(sig, pa.binary())], names=["set_id", "shingles", "sig"])
+                out.append((want, shingles.tobytes()))
+        ids, raw = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["set_id", "shingles"])
 
-    full = map_batches(chosen, whole, "set_id long, shingles binary, sig binary")
+    # rows that repeat a doc_id with the same text give a set once
+    full = map_batches(chosen, whole, "set_id long, shingles binary").dropDuplicates(["set_id"])
     full = stages.write("full", full)
-    edges = stages.write("edges", _verified(pairs, full))
-    stages.drop("pairs")
-    first = connected_components(edges, "a", "b", stages)
-    labels = stages.write("labels", classes.select("set_id").join(first, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("label")))
-    crossing = _crossing(postings, labels, full).repartition("token", "tile").sortWithinPartitions("token", "tile", "n")
-    more = stages.write("more", crossing.mapInArrow(_tile_pairs, "a long, b long").distinct())
-    late = stages.write("late", _verified(more, full))
-    if late.limit(1).count():
-        again = connected_components(edges.union(late), "a", "b", stages)
-        labels = classes.select("set_id").join(again, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("label"))
-        labels = stages.write("relabelled", labels)
+    edges = stages.write("edges", _links(pairs, full, stages))
+    stages.drop("pairs", "full", "wanted", "postings")
+    found = connected_components(edges, "a", "b", stages)
+    labels = classes.select("set_id").join(found, F.col("set_id") == F.col("node"), "left")
+    labels = stages.write("labels", labels.select("set_id", F.coalesce("component", "set_id").alias("label")))
     groups = classes.join(labels, "set_id").groupBy("label").agg(F.min("rep").alias("component_id"))
     groups = stages.write("groups", labels.join(groups, "label").select("set_id", "component_id"))
-    stages.drop("postings", "full", "more", "wanted")
     return sets.select("doc_id", "set_id", F.col("n").alias("n_shingles")).join(groups, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
