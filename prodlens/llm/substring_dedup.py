@@ -5,8 +5,9 @@ hash, the first of equals. Equal windows have equal anchors, and few runs are an
 
 1. one count over the anchors of all texts finds those that recur;
 2. the windows of recurring anchors are sent to shards by anchor, as one segment of word numbers
-   per anchor and place, in order of document and place;
-3. each shard confirms which windows recur, compiles them into Aho-Corasick automata block by
+   per anchor and place, in order of document and place; windows that start earlier in the same
+   text are marked at once;
+3. each shard marks segments equal to an earlier one, confirms which windows of the others recur, compiles them into Aho-Corasick automata block by
    block, and streams its segments through them: every occurrence but the first is marked;
 4. the marked ranges of a document are joined to its text, and their words go.
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from prodlens.llm import bloom
 from prodlens.llm.storage import Stages
-from prodlens.llm.text import as_bytes, hash_words, list_array, map_batches, signed, window_hashes
+from prodlens.llm.text import as_bytes, hash_words, list_array, map_batches, mix, signed, window_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -56,14 +57,20 @@ def _count_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(n)], names=["anchor", "n"])
 
 
+def _ranges(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_key", "low", "high"])
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of words to remove, from segments sorted by (anchor, doc_id, start)."""
-    open_anchor, seen = None, {}  # first places of the windows of an anchor that spans blocks
+    """Ranges of words to remove, from segments sorted by (anchor, doc_id, start).
 
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        nonlocal open_anchor, seen
-        if rows[0][0] != open_anchor:
-            open_anchor, seen = None, {}
+    A segment equal to one before it is a repeat from end to end. Only of segments that differ
+    the windows are confirmed, compiled and searched for.
+    """
+    open_anchor, windows, segments = None, {}, {}  # first places for an anchor that spans blocks
+
+    def search(rows: list[tuple], before: dict, out: list[tuple]) -> None:
         lengths = np.array([len(r[4]) for r in rows])
         words = np.concatenate([r[4] for r in rows])
         firsts = np.cumsum(lengths) - lengths
@@ -72,53 +79,72 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + firsts[row]
         hashes = window_hashes(words.astype(np.uint64), WINDOW)[at]
         distinct, first, phrase, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        known = np.isin(distinct, np.fromiter(seen, np.uint64, len(seen))) if seen else np.zeros(len(distinct), bool)
+        known = np.isin(distinct, np.fromiter(before, np.uint64, len(before))) if before else np.zeros(len(distinct), bool)
         recurs = (count >= 2) | known
-        docs, keys, lows, highs = [], [], [], []
         if recurs.any():
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
             for p in np.flatnonzero(recurs).tolist():
                 automaton.add_word(tuple(words[at[first[p]] : at[first[p]] + WINDOW].tolist()), p)
             automaton.make_automaton()
-            place = {p: seen[h] for p, h in zip(np.flatnonzero(known).tolist(), distinct[known].tolist())}
+            place = {p: before[h] for p, h in zip(np.flatnonzero(known).tolist(), distinct[known].tolist())}
             for r in np.unique(row[recurs[phrase]]).tolist():
                 _, doc, key, start, segment = rows[r]
-                end = -1
+                low = high = -1
                 for last, p in automaton.iter(tuple(segment.tolist())):
                     here = (doc, start + last - WINDOW + 1)
                     if place.setdefault(p, here) == here:
                         continue
-                    if here[1] <= end:
-                        highs[-1] = end = here[1] + WINDOW
-                    else:
-                        docs.append(doc)
-                        keys.append(key)
-                        lows.append(here[1])
-                        highs.append(end := here[1] + WINDOW)
-        # the last anchor may go on in the next block
-        last_anchor = rows[-1][0]
-        own = np.flatnonzero(np.array([r[0] == last_anchor for r in rows])[row])
-        if last_anchor != open_anchor:
-            open_anchor, seen = last_anchor, {}
-        for i in own.tolist():
-            r = row[i]
-            seen.setdefault(int(hashes[i]), (rows[r][1], rows[r][3] + int(at[i] - firsts[r])))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())],
-            names=["doc_id", "text_key", "low", "high"],
-        )
+                    if here[1] > high:
+                        if high >= 0:
+                            out.append((doc, key, low, high))
+                        low = here[1]
+                    high = here[1] + WINDOW
+                if high >= 0:
+                    out.append((doc, key, low, high))
+        if rows[-1][0] == open_anchor:  # it may go on in the next block
+            for i in np.flatnonzero(np.array([r[0] == open_anchor for r in rows])[row]).tolist():
+                r = row[i]
+                windows.setdefault(int(hashes[i]), (rows[r][1], rows[r][3] + int(at[i] - firsts[r])))
+
+    def block(rows: list[tuple]) -> pa.RecordBatch:
+        nonlocal open_anchor, windows, segments
+        if rows[0][0] != open_anchor:
+            windows, segments = {}, {}
+        out, fresh, anchor = [], [], rows[0][0]
+        for row in rows:
+            if row[0] != anchor:
+                anchor, segments = row[0], {}
+            here = row[1], row[3]
+            if segments.setdefault(row[4].tobytes(), here) == here:
+                fresh.append(row)
+            else:
+                out.append((row[1], row[2], row[3], row[3] + len(row[4])))
+        before, open_anchor = open_anchor, anchor
+        if fresh:
+            found = windows
+            if anchor != before:
+                windows = {}
+            search(fresh, found, out)
+        elif anchor != before:
+            windows = {}
+        return _ranges(out)
 
     rows, held = [], 0
     for batch in batches:
         column = batch.column("segment")
         flat, ends = column.flatten().to_numpy().view(np.uint32), column.offsets.to_numpy()
         ends = ends - ends[0]
-        for i, (anchor, doc, key, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "start")))):
+        own = []
+        for i, (anchor, doc, key, start, stop) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "start", "stop")))):
+            if stop is not None:
+                own.append((doc, key, start, stop))
+                continue
             rows.append((anchor, doc, key, start, flat[ends[i] : ends[i + 1]]))
             held += ends[i + 1] - ends[i]
             if held >= BLOCK_WORDS:
                 yield block(rows)
                 rows, held = [], 0
+        yield _ranges(own)
     if rows:
         yield block(rows)
 
@@ -134,7 +160,8 @@ def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
     flags = docs.sparkSession.sparkContext.broadcast(bloom.build(recurring, recurring.count(), 12))
 
     def segments(batch: pa.RecordBatch) -> pa.RecordBatch:
-        anchors, ids, keys, starts, parts = [], [], [], [], []
+        anchors, ids, keys, starts, stops, parts = [], [], [], [], [], []
+        nothing = np.empty(0, np.int32)
         for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))):
             words = hash_words(text.split())
             at, hashes = anchors_of(words)
@@ -143,19 +170,31 @@ def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
             new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             ends = np.r_[new[1:], len(at)]
             passes = bloom.contains(flags.value, hashes[new])
+            if not passes.any():
+                continue
+            new, ends, own = new[passes], ends[passes], hashes[new[passes]]
+            again = np.zeros(len(new), bool)
+            if len(np.unique(own)) < len(own):
+                # windows that start earlier in the same text need no shard
+                windows = window_hashes(words, WINDOW)
+                first = np.zeros(len(windows), bool)
+                first[np.unique(windows, return_index=True)[1]] = True
+                again = np.add.reduceat(np.r_[first, False].astype(np.int64), np.stack([new, ends], 1).ravel())[::2] == 0
             short = words.astype(np.uint32).view(np.int32)
-            for a, b in zip(new[passes].tolist(), ends[passes].tolist()):
-                ids.append(doc)
-                keys.append(key)
-                starts.append(a)
-                parts.append(short[a : b + WINDOW - 1])
-            anchors.append(signed(hashes[new[passes]]))
+            for a, b, local in zip(new.tolist(), ends.tolist(), again.tolist()):
+                parts.append(nothing if local else short[a : b + WINDOW - 1])
+                stops.append(b + WINDOW - 1 if local else None)
+            ids += [doc] * len(new)
+            keys += [key] * len(new)
+            starts += new.tolist()
+            # a range found here goes to any shard
+            anchors.append(signed(np.where(again, mix(own ^ new.astype(np.uint64)), own)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(anchors) if anchors else [], pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), list_array(parts, pa.int32())],
-            names=["anchor", "doc_id", "text_key", "start", "segment"],
+            [pa.array(np.concatenate(anchors) if anchors else [], pa.int64()), *(pa.array(c, pa.int64()) for c in (ids, keys, starts, stops)), list_array(parts, pa.int32())],
+            names=["anchor", "doc_id", "text_key", "start", "stop", "segment"],
         )
 
-    schema = "anchor long, doc_id long, text_key long, start long, segment array<int>"
+    schema = "anchor long, doc_id long, text_key long, start long, stop long, segment array<int>"
     routed = map_batches(docs, segments, schema).repartition("anchor")
     routed = routed.sortWithinPartitions("anchor", F.asc_nulls_last("doc_id"), "start")
     return routed.mapInArrow(_locate, "doc_id long, text_key long, low long, high long")

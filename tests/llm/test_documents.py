@@ -159,7 +159,7 @@ def test_blocks_of_one_anchor(monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 20)
     segment = list(range(1, 21))
     batch = pa.RecordBatch.from_pydict(
-        {"anchor": [5] * 4, "doc_id": [1, 2, 3, 3], "text_key": [0] * 4, "start": [0, 4, 0, 9], "segment": pa.array([segment] * 4, pa.list_(pa.int32()))}
+        {"anchor": [5] * 4, "doc_id": [1, 2, 3, 3], "text_key": [0] * 4, "start": [0, 4, 0, 9], "stop": pa.array([None] * 4, pa.int64()), "segment": pa.array([segment] * 4, pa.list_(pa.int32()))}
     )
     out = [r for b in substring_dedup._locate(iter([batch])) for r in b.to_pylist()]
     assert [(r["doc_id"], r["low"], r["high"]) for r in out] == [(2, 4, 24), (3, 0, 20), (3, 9, 29)]
