@@ -51,7 +51,7 @@ def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def grams_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The gram of every byte of the texts (given as words) one after the other, and each text's number of bytes."""
     whole = [END * depth + b" ".join(words) + END for words in texts]
-    lengths = np.array([len(w) for w in whole])
+    lengths = np.array([len(w) for w in whole], np.int64)
     data = np.frombuffer(b"".join(whole), np.uint8).astype(np.int64)
     code = np.zeros(max(len(data) - depth, 0), np.int64)
     for i in range(depth + 1):
