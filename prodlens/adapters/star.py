@@ -20,8 +20,6 @@ from prodlens.functions.units import M3_TO_BBL
 REGIONS = {"AFRICA": "africa", "AMERICA": "america", "ASIA": "asia", "EUROPE": "europe", "MIDDLE EAST": "middle_east"}
 EVENT_TIE_BREAK = ["event_id"]
 
-_SCHEMAS: dict[str, StructType] = {}
-
 
 def _money(c):
     """Sums of cents, free of the order in which doubles were added."""
@@ -33,13 +31,14 @@ class StarPanel:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        """The footers are read once per file; later reads are given the schema."""
+        """The footers of a table are read once per panel; later reads are given the schema."""
         path = f"{self.root}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     @cached_property
     def coordinates(self) -> DataFrame:

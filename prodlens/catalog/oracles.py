@@ -494,9 +494,9 @@ BODIES = {
                round(2.6 + 7 * sqrt(greatest(coalesce(cum_oil_m3, 0), 0) / greatest((SELECT max(cum_oil_m3) FROM slim), 1)), 6) AS size
         FROM slim WHERE lon BETWEEN -74 AND -53 AND lat BETWEEN -56 AND -21""",
     "row_counts": """
-        SELECT 'wells' AS table_name, count(*) AS n_rows, 1500::BIGINT AS documented, count(*) - 1500 AS delta FROM wells
+        SELECT 'wells' AS table_name, count(*) AS n_rows, NULL::BIGINT AS documented, NULL::BIGINT AS delta FROM wells
         UNION ALL SELECT 'monthly_production', count(*), NULL, NULL FROM production
-        UNION ALL SELECT 'well_events', count(*), NULL, NULL FROM wevents""",
+        UNION ALL SELECT 'well_events', count(*), (SELECT count(*) FROM orders), count(*) - (SELECT count(*) FROM orders) FROM wevents""",
     "referential_orphans": """
         SELECT count(DISTINCT c.idpozo) AS orphans FROM (
             SELECT idpozo FROM jobs UNION ALL SELECT user_id * 20 FROM events) c
@@ -581,7 +581,7 @@ BODIES = {
         FROM r WHERE rn <= greatest(1, floor(c * 0.05 + 0.5))""",
     "top_share_floor": """
         WITH r AS (SELECT cum_oil_m3 AS v, row_number() OVER (ORDER BY cum_oil_m3 DESC) AS rn, count(*) OVER () AS c,
-                          sum(cum_oil_m3) OVER () AS t FROM attrs WHERE cum_oil_m3 > 0 AND cuenca = 'ASIA')
+                          sum(cum_oil_m3) OVER () AS t FROM attrs WHERE cum_oil_m3 > 0)
         SELECT round(sum(v) / max(t) * 100, 8) AS share, count(*) AS wells, max(c) AS of FROM r WHERE rn <= c * 0.05""",
     "average_ranks": """
         WITH a AS (SELECT cuenca, producing_months,
@@ -623,7 +623,7 @@ BODIES = {
         SELECT (idpozo % 256)::INTEGER AS bucket, count(*) AS n, count(DISTINCT idpozo) AS wells, round(sum(prod_pet), 2) AS oil_m3
         FROM production GROUP BY 1""",
     "year_coverage": """
-        WITH f AS (SELECT anio, count(*) AS n, min(fecha) AS lo, max(fecha) AS hi FROM production WHERE anio <> 1998 GROUP BY 1),
+        WITH f AS (SELECT anio, count(*) AS n, min(fecha) AS lo, max(fecha) AS hi FROM production GROUP BY 1),
         y AS (SELECT unnest(range(min(anio), max(anio) + 1))::INTEGER AS year FROM f)
         SELECT year, coalesce(n, 0) AS n_rows, lo AS first_date, hi AS last_date, n IS NULL AS is_gap FROM y LEFT JOIN f ON f.anio = y.year""",
     "partition_identity": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 FAR_FUTURE = "9999-12-31"
 
-# A side is broadcast only after its rows were counted and found to be at most this many.
+# A side is broadcast only if its rows and the bytes of its values are at most these.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 
 
 def pack(keys: list[str]) -> Column:
@@ -30,23 +32,25 @@ def finite(c: Column | str) -> Column:
     return F.when((F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v), v)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if its row count, given or counted up to the limit, proves it small;
+def broadcast_if_small(df: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Broadcast ``df`` if ``size``, its rows and the bytes of its values, proves it small;
     otherwise leave the join to the adaptive planner."""
-    rows = df.limit(max_rows + 1).count() if rows is None else rows
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES else df
 
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the session names none (a unit test) is a local folder set up.
+    Only where driver and executors are one process on one machine, and the session names
+    none, is a folder of its own set up. On a cluster that would lose rows, so it is refused.
     """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
     if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="prodlens-")
         spark.conf.set("spark.checkpoint.dir", shared)
     if sc.getCheckpointDir() is None:

@@ -139,16 +139,19 @@ def label_table(df: DataFrame, dims: list[str], prefix: str = "") -> DataFrame:
 
 def require_labels(labels: DataFrame, dims: list[str]) -> DataFrame:
     """Raise if a dimension has no labels, or a dimension's labels were never added."""
-    present = {r.dim for r in labels.select("dim").distinct().limit(len(dims) + 1000).collect()}
+    asked = labels.where(F.col("dim").isin(dims))
+    present = {r.dim for r in asked.select("dim").distinct().collect()}
     missing = [d for d in dims if d not in present]
     if missing:
         raise ValueError(f"label tables missing or empty: {missing}")
     return labels
 
 
-def _sizes(table: DataFrame) -> dict[str, int]:
-    """Rows per dimension: one number for each dimension, from one pass."""
-    return {r.dim: r.n for r in table.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+def _sizes(table: DataFrame, values: str = "value") -> dict[str, tuple[int, int]]:
+    """Rows and bytes of the values per dimension: two numbers for each dimension, from one pass."""
+    size = F.coalesce(F.sum(F.octet_length(F.col(values))), F.lit(0)).alias("bytes")
+    found = table.groupBy("dim").agg(F.count("*").alias("n"), size).collect()
+    return {r["dim"]: (r["n"], r["bytes"]) for r in found}
 
 
 def encode(df: DataFrame, dims: list[str], labels: DataFrame, prefix: str = "") -> DataFrame:
@@ -158,7 +161,7 @@ def encode(df: DataFrame, dims: list[str], labels: DataFrame, prefix: str = "")
         side = labels.where(F.col("dim") == prefix + d).select(
             F.col("value").alias(f"_v_{d}"), F.col("code").alias(f"_c_{d}")
         )
-        side = broadcast_if_small(side, sizes.get(prefix + d, 0))
+        side = broadcast_if_small(side, sizes.get(prefix + d, (0, 0)))
         df = df.join(side, F.col(d).cast("string") == F.col(f"_v_{d}"), "left")
     return df.select(
         *[
@@ -175,7 +178,7 @@ def decode(df: DataFrame, dims: list[str], labels: DataFrame, prefix: str = "")
         side = labels.where(F.col("dim") == prefix + d).select(
             F.col("code").alias(f"_c_{d}"), F.col("value").alias(f"_v_{d}")
         )
-        side = broadcast_if_small(side, sizes.get(prefix + d, 0))
+        side = broadcast_if_small(side, sizes.get(prefix + d, (0, 0)))
         df = df.join(side, F.col(d) == F.col(f"_c_{d}"), "left")
     return df.select(*[F.col(f"_v_{c}").alias(c) if c in dims else F.col(c) for c in columns])
 
@@ -201,13 +204,13 @@ def has_gloss(dim: str) -> bool:
 def gloss(df: DataFrame, dims: list[str], glosses: DataFrame) -> DataFrame:
     """Append ``value (gloss)`` to each named column; values without a gloss stay as they are."""
     glosses = pin(glosses)
-    columns, sizes = df.columns, _sizes(glosses)
+    columns, sizes = df.columns, _sizes(glosses, "gloss")
     for d in dims:
         key = ALIASES.get(d, d)
         side = glosses.where(F.col("dim") == key).select(
             F.col("value").alias(f"_v_{d}"), F.col("gloss").alias(f"_g_{d}")
         )
-        df = df.join(broadcast_if_small(side, sizes.get(key, 0)), F.col(d) == F.col(f"_v_{d}"), "left")
+        df = df.join(broadcast_if_small(side, sizes.get(key, (0, 0))), F.col(d) == F.col(f"_v_{d}"), "left")
     shown = lambda c: F.when(
         F.col(f"_g_{c}").isNotNull(), F.concat(F.col(c), F.lit(" ("), F.col(f"_g_{c}"), F.lit(")"))
     ).otherwise(F.col(c))

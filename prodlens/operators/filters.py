@@ -42,14 +42,29 @@ def condition(col: str, selection: Any) -> Column:
     return one_of(col, selection)
 
 
+class FilterError(ValueError):
+    """A filter names a column that the table does not have."""
+
+
 def apply_filters(df: DataFrame, filters: Filters) -> DataFrame:
-    """Rows passing every active filter. Filters on absent columns are left to the report."""
+    """Rows passing every active filter; a filter on an absent column is refused.
+
+    Where such filters are to be reported and not refused, ``split_filters`` takes them out first.
+    """
+    if absent := unsupported_filters(df, filters):
+        raise FilterError(f"no columns {absent} to filter")
     for name, selection in filters.items():
-        if is_active(selection) and name in df.columns:
+        if is_active(selection):
             df = df.where(condition(name, selection))
     return df
 
 
+def split_filters(df: DataFrame, filters: Filters) -> tuple[dict[str, Any], list[str]]:
+    """The filters the table can apply, and the names of the active ones it cannot."""
+    absent = unsupported_filters(df, filters)
+    return {n: s for n, s in filters.items() if n not in absent}, absent
+
+
 def unsupported_filters(df: DataFrame, filters: Filters) -> list[str]:
     """Active filters that name a column the table does not have."""
     return [n for n, s in filters.items() if is_active(s) and n not in df.columns]
@@ -114,13 +129,17 @@ def search_values(values: DataFrame, col: str, term: str, selected: Sequence[Any
 
 
 def narrow(filters: Filters, col: str, values: Sequence[Any]) -> dict[str, Any] | None:
-    """Intersect a fixed set with the user's own selection of ``col``.
+    """Intersect a fixed set with the user's own selection of ``col``, a list or a range.
 
     ``None`` means the intersection is empty and no row can match, which is not the same as
     an empty list, which would constrain nothing.
     """
     chosen = filters.get(col)
-    keep = [v for v in chosen if v in values] if is_active(chosen) else list(values)
+    if isinstance(chosen, Mapping):
+        low, high = chosen.get("min"), chosen.get("max")
+        keep = [v for v in values if (low is None or v >= low) and (high is None or v <= high)]
+    else:
+        keep = [v for v in chosen if v in values] if is_active(chosen) else list(values)
     return {**filters, col: keep} if keep else None
 
 

@@ -24,12 +24,9 @@ from pyspark.sql import functions as F
 
 from prodlens.common import finite, pack, pin
 
-MAX_BUCKETS = 10_000
-
 
 def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(n, MAX_BUCKETS))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 @dataclass(frozen=True)
@@ -129,6 +126,11 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, **kw) -> DataFrame
     )
 
 
+def percent(q: float) -> str:
+    """A probability as it stands in a column name: 0.5 is 50, 0.995 is 99_5."""
+    return f"{q * 100:.10g}".replace(".", "_")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -140,7 +142,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of several columns per group.
 
-    Output columns are ``<name>_p<percent>`` with ``name`` from ``names`` (default: the
+    Output columns are ``<name>_p<percent>`` (``p50``, ``p99_5``) with ``name`` from ``names`` (default: the
     column). NULLs are skipped; a group with no value in a column has NULL there, and a
     group with no value in any column is absent. After the bucket totals are known, only
     the buckets that hold a wanted rank are sorted.
@@ -214,7 +216,7 @@ def exact_quantiles(
             high = F.max(F.when(here & F.col("hit.hi"), F.col("v")))
             place = (F.max(F.when(here, F.col("n_total"))) - 1) * F.lit(q)
             est = low + (high - low) * (place - F.floor(place))
-            name = f"{names.get(c, c)}_p{round(q * 100)}"
+            name = f"{names.get(c, c)}_p{percent(q)}"
             out.append((F.round(est, digits) if digits is not None else est).alias(name))
     found = hits.groupBy(F.col("_k.g").alias("_g")).agg(*out)
     return found.select(*[F.col("_g")[k].alias(k) for k in keys], *found.columns[1:])

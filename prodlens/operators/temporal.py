@@ -162,7 +162,8 @@ def asof_join(
 def latest_row(
     df: DataFrame, key: str, at: str, cols: dict[str, str], tie_break: list[str] | None = None
 ) -> DataFrame:
-    """The row with the greatest date per key, without a sort of the group."""
+    """The row with the greatest date per key, combined before the shuffle. The buffer is a struct,
+    so Spark sorts each side of the shuffle by key; no window and no sort by date is needed."""
     best = F.max_by(F.struct(*cols), F.struct(at, *(tie_break or []), *cols)).alias("_row")
     picked = df.groupBy(key).agg(best)
     return picked.select(key, *[F.col("_row")[c].alias(o) for c, o in cols.items()])
@@ -184,9 +185,10 @@ def overlapping_spans(spans: DataFrame, key: str, start: str, end: str) -> DataF
 
 def require_disjoint_spans(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Return ``spans`` unchanged, or raise and name some keys whose spans overlap."""
-    bad = [r[0] for r in overlapping_spans(spans, key, start, end).select(key).limit(20).collect()]
-    if bad:
-        raise RowGuardError(f"overlapping spans for {key} in {sorted(set(bad))}")
+    bad = overlapping_spans(spans, key, start, end).select(key).distinct()
+    if n := bad.count():
+        named = sorted(r[0] for r in bad.limit(20).collect())
+        raise RowGuardError(f"overlapping spans for {n} values of {key}, among them {named}")
     return spans
 
 

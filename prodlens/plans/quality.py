@@ -156,7 +156,7 @@ def unit_rederivation(oil: DataFrame, months: int | None = None, index: str = "i
     )
 
 
-def gas_unit_ratio(gas: DataFrame, months: int | None = 1, index: str = "indice_tiempo") -> DataFrame:
+def gas_unit_ratio(gas: DataFrame, months: int | None = None, index: str = "indice_tiempo") -> DataFrame:
     """Total per day against the published daily gas figure: 1000 shows the scale of the unit."""
     first = F.to_date(F.concat(F.col(index), F.lit("-01")))
     rows = gas.orderBy(index).limit(months) if months else gas
@@ -405,7 +405,7 @@ def verify(
         findings("event_ties", duplicate_keys(events, [WELL, "event_date"])),
         findings("reconciliation", reconcile_basins(production, wells, oil, gas, basins), F.concat_ws(":", "fluid", "series")),
         findings("unconventional_split", reconcile_subtypes(production, wells, oil, gas), F.concat_ws(":", "fluid", "series")),
-        findings("bbl_per_m3", mean_factor(unit_rederivation(oil, 4), configured_factor), None, F.col("off_pct") < 0.01),
+        findings("bbl_per_m3", mean_factor(unit_rederivation(oil), configured_factor), None, F.col("off_pct") < 0.01),
         findings("negatives", negative_census(production), F.col("column_name")),
         findings("hours", ceiling_check(production)),
         findings("nulls", null_zero_census(production), F.col("column_name")),
@@ -425,8 +425,9 @@ def verify(
 
 
 def gate(found: DataFrame) -> DataFrame:
-    """Raise if any finding failed, naming up to fifty of them."""
-    failed = found.where(F.col("status") == "fail").limit(50).collect()
-    if failed:
-        raise QualityGateError("; ".join(f"{r.check_name}/{r.subject}/{r.key}={r.value}" for r in failed))
+    """Raise if any finding failed, with their number and up to fifty names."""
+    failed = found.where(F.col("status") == "fail")
+    if n := failed.count():
+        named = "; ".join(f"{r.check_name}/{r.subject}/{r.key}={r.value}" for r in failed.limit(50).collect())
+        raise QualityGateError(f"{n} failed findings: {named}")
     return found

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prodlens.operators.filters import (
     apply_filters,
     is_active,
+    split_filters,
     unmatched_values,
     unsupported_filters,
 )
@@ -92,7 +93,11 @@ class QueryEngine:
                 problems.append(f"unknown aggregate {m.agg!r}")
             elif m.agg != "count" and m.col not in df.columns:
                 problems.append(f"no column {m.col!r} to measure")
-        outputs = {*spec.group_by, *(m.name for m in spec.measures)}
+        names = [*spec.group_by, *(m.name for m in spec.measures)]
+        outputs = set(names)
+        problems += [f"two outputs named {n!r}" for n in sorted(outputs) if names.count(n) > 1]
+        if spec.limit is not None and spec.limit < 0:
+            problems.append(f"negative limit {spec.limit}")
         if spec.order_by is not None and spec.order_by not in outputs:
             problems.append(f"cannot order by {spec.order_by!r}")
         if spec.order not in ("asc", "desc"):
@@ -115,9 +120,11 @@ class QueryEngine:
 
     def compile(self, spec: QuerySpec | Mapping[str, Any]) -> DataFrame:
         """A lazy DataFrame. NULL measures come last in descending and first in ascending order;
-        ties follow the group columns, so a limit always keeps the same rows."""
+        ties follow the group columns, so a limit always keeps the same rows. A limit of 0 is no
+        limit, as none is."""
         spec = spec if isinstance(spec, QuerySpec) else QuerySpec.from_dict(spec)
-        rows = apply_filters(self.check(spec), spec.filters)
+        source = self.check(spec)
+        rows = apply_filters(source, split_filters(source, spec.filters)[0])
         aggs = [self._measure(m) for m in spec.measures]
         if spec.group_by:
             out = rows.groupBy(*spec.group_by)
@@ -132,7 +139,8 @@ class QueryEngine:
 
     def rows(self, source: str, filters: Mapping[str, Any]) -> DataFrame:
         """The underlying rows that pass the filters, not aggregated."""
-        return apply_filters(self.check(QuerySpec(source, filters)), filters)
+        df = self.check(QuerySpec(source, filters))
+        return apply_filters(df, split_filters(df, filters)[0])
 
     def report(self, source: str, filters: Mapping[str, Any]) -> tuple[list[str], DataFrame]:
         """Filters that cannot be applied, and requested values that do not occur."""

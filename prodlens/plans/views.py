@@ -16,7 +16,7 @@ from prodlens.operators.aggregates import (
     top_k,
     top_k_with_other,
 )
-from prodlens.operators.filters import apply_filters, apply_narrowed, is_active, narrow
+from prodlens.operators.filters import apply_filters, apply_narrowed, is_active, narrow, split_filters
 from prodlens.plans.curves import newest_vintages, pooled_curve
 from prodlens.plans.enrich import MONTH, WELL
 from prodlens.plans.spec import pick_cube
@@ -74,7 +74,7 @@ def export_columns(table: DataFrame, dim: str, oilfield: bool = False) -> DataFr
 
 
 def explore(cubes: Mapping[str, DataFrame], dim: str, filters: Mapping[str, Any]) -> tuple[str, DataFrame]:
-    """The cube that can answer, and its breakdown."""
+    """The cube that can answer, and its breakdown; a filter that cube cannot apply is refused."""
     name = pick_cube(dim, filters)
     return name, sort_breakdown(breakdown_table(cubes[name], dim, filters), dim)
 
@@ -183,6 +183,8 @@ def compare_curves(
     usable, ignored = curve_filters(filters)
     if subtype is not None and split != "subtype":
         usable.setdefault("subtype", [subtype])
+    usable, absent = split_filters(curve, usable)
+    ignored += [n for n, c in CURVE_FILTERS.items() if c in absent]
     chosen = apply_filters(curve, usable).where(F.col(split).isNotNull())
     if split == "vintage":
         chosen = chosen.join(F.broadcast(newest_vintages(chosen)), "vintage", "left_semi")

@@ -52,9 +52,10 @@ def identify_partitions(files: DataFrame, at: str = MONTH) -> DataFrame:
 
 def require_year_files(identified: DataFrame) -> DataFrame:
     """Refuse files that span two years."""
-    bad = [r.uri for r in identified.where(~F.coalesce("one_year", F.lit(False))).limit(20).collect()]
-    if bad:
-        raise IntakeError(f"not files of one year: {bad}")
+    bad = identified.where(~F.coalesce("one_year", F.lit(False)))
+    if n := bad.count():
+        named = [r.uri for r in bad.orderBy("uri").limit(20).collect()]
+        raise IntakeError(f"{n} files are not of one year, among them {named}")
     return identified
 
 
@@ -132,7 +133,7 @@ def partition_probe(panel: DataFrame, key: str = "anio") -> DataFrame:
 def ingest(spark: SparkSession, paths: Sequence[str], out: str, at: str = MONTH) -> DataFrame:
     """Raw yearly files to the by-year layout; returns the manifest of what was kept and why.
 
-    Raises on files spanning years and on missing years.
+    Raises on files spanning years and on missing years, before anything is written to ``out``.
     """
     identified = require_year_files(identify_partitions(spark.read.parquet(*paths), at))
     decided = resolve_duplicates(identified, file_manifest(spark, paths))
@@ -143,8 +144,8 @@ def ingest(spark: SparkSession, paths: Sequence[str], out: str, at: str = MONTH)
     kept = [r.path for r in decided.where("kept").select("path").collect()]
     rows = spark.read.parquet(*kept)
     gaps = [r.year for r in missing_years(rows, at).collect()]
-    write_by_year(rows, out, at)
-    partition_probe(spark.read.parquet(out))
     if gaps:
         raise IntakeError(f"missing years: {gaps}")
+    write_by_year(rows, out, at)
+    partition_probe(spark.read.parquet(out))
     return decided

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,20 +146,31 @@ class JdbcSource:
     name: str = "jdbc"
 
     def options(self, table: str) -> dict[str, str]:
-        opts = {"url": self.url, "dbtable": f"{self.schema}.{check_table(table)}", **self.properties}
-        if self.lower is not None and self.upper is not None:
-            opts |= {
-                "partitionColumn": self.key,
-                "lowerBound": str(self.lower),
-                "upperBound": str(self.upper),
-                "numPartitions": str(self.partitions),
-            }
-        return opts
+        """Reader options, with the key's range split over the partitions."""
+        if self.lower is None or self.upper is None:
+            raise ValueError("bounds of the key are needed, or one task would read the whole table")
+        return {
+            **self._connection(f"{self.schema}.{check_table(table)}"),
+            "partitionColumn": self.key,
+            "lowerBound": str(self.lower),
+            "upperBound": str(self.upper),
+            "numPartitions": str(self.partitions),
+        }
+
+    def _connection(self, what: str) -> dict[str, str]:
+        return {"url": self.url, "dbtable": what, **self.properties}
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """Bounds that are not given are asked of the database first."""
         if not self.url:
             raise ValueError("no database URL is configured")
-        return spark.read.format("jdbc").options(**self.options(name)).load()
+        source = self
+        if self.lower is None or self.upper is None:
+            asked = f"(SELECT min({self.key}) AS lo, max({self.key}) AS hi FROM {self.schema}.{check_table(name)}) AS bounds"
+            row = spark.read.format("jdbc").options(**self._connection(asked)).load().first()
+            lower, upper = row[0] or 0, (row[1] or 0) + 1
+            source = replace(self, lower=lower if self.lower is None else self.lower, upper=upper if self.upper is None else self.upper)
+        return spark.read.format("jdbc").options(**source.options(name)).load()
 
     def ensure_available(self, spark: SparkSession) -> None:
         for t in TABLES:
@@ -221,17 +233,39 @@ REGISTRY_SCHEMA = _schema(idpozo="long", geojson="string")
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, drop_malformed: bool = False) -> DataFrame:
     """CSV with a header. With a schema the columns are taken by name from files that may hold
-    more of them; without one the types are inferred. ``drop_malformed`` skips bad rows, and
-    every column of the file is then parsed so that a bad row is noticed."""
-    header = spark.read.option("header", True).csv(path).columns
+    more of them, in any order; without one the types are inferred and all files must have the
+    same header. ``drop_malformed`` skips bad rows, and every column of the file is then parsed
+    so that a bad row is noticed."""
+    layouts = csv_layouts(spark, path)
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     if drop_malformed:
         reader = reader.option("mode", "DROPMALFORMED").option("columnPruning", False)
     if schema is None:
+        if len(layouts) > 1:
+            raise ValueError(f"{path} has files with {len(layouts)} different headers; give a schema")
         return reader.option("inferSchema", True).csv(path)
-    known = {f.name: f for f in schema.fields}
-    missing = [n for n in known if n not in header]
-    if missing:
-        raise ValueError(f"{path} has no columns {missing}")
-    full = T.StructType([known.get(h, T.StructField(h, T.StringType())) for h in header])
-    return reader.schema(full).csv(path).select(*known)
+    known, out = {f.name: f for f in schema.fields}, None
+    for header, files in layouts.items():
+        missing = [n for n in known if n not in header]
+        if missing:
+            raise ValueError(f"{files[0]} has no columns {missing}")
+        full = T.StructType([known.get(h, T.StructField(h, T.StringType())) for h in header])
+        part = reader.schema(full).csv(files).select(*known)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below a path by their header, the first line of each; read on the executors."""
+    # the first row of a file has the smallest start among its records
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), "value")
+    numbered = lines.withColumn("row", F.monotonically_increasing_id()).where("at = 0")
+    first = numbered.groupBy("f").agg(F.min_by("value", "row").alias("head"))
+    listed = first.groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files")).collect()
+    if not listed:
+        raise ValueError(f"{path} has no rows")
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(listed, key=lambda r: r["files"]):
+        names = next(csv.reader([r["head"].removeprefix("\ufeff")]))
+        layouts.setdefault(tuple(names), []).extend(r["files"])
+    return layouts
