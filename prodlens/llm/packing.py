@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from prodlens.llm.text import as_bytes
 SEQUENCE = 4096
 END_ID = 1
 LONGEST_REMEMBERED = 64
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 SLICE_BYTES = 4_000_000
 PLACE_SCHEMA = "length long, rank_low long, count long, sequence_low long, per_sequence long, offset long"
 
@@ -50,7 +51,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _ids(encoding) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in encoding.ids)
+    return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the punctuation at its end, which the tokenizer cuts off after an ASCII letter or digit."""
+    stem = word.rstrip(b".,;:!?*&%$#\"()")
+    return (stem, word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
@@ -58,20 +65,24 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
 
     The tokenizer's words and added tokens hold no white space, so a text's ids are those of its
     runs without ASCII white space, one after the other; runs seen before come from a dictionary.
+    It lower-cases all but its added tokens, so texts without those are looked up in lower case.
     """
     tokenizer, known = _encoder(path)
-    cut = [t.split() for t in texts]
-    new = {w for words in cut for w in words if w not in known}
-    if len(known) + len(new) > REMEMBERED:
+    cut = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+    if len(known) > REMEMBERED:
         known.clear()
-        new = {w for words in cut for w in words}
-    listed = list(new)
+    new = {w for words in cut for w in words if w not in known}
+    parts = {w: _parts(w) for w in new}
+    listed = list({x for pair in parts.values() for x in pair if x and x not in known})
     coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in listed], add_special_tokens=False)
     known.update(zip(listed, map(_ids, coded)))
+    for w, (stem, end) in parts.items():
+        if end:
+            known[w] = known[stem] + known[end]
     out = [b"".join([known[w] for w in words]) for words in cut]
-    for w in listed:
+    for w in new:
         if len(w) > LONGEST_REMEMBERED:
-            del known[w]
+            known.pop(w, None)
     return out
 
 
