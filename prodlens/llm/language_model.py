@@ -29,6 +29,8 @@ from prodlens.llm.text import as_bytes, hash_words, map_batches, signed
 DEPTH = 5
 END = b"\n"
 WORD, GRAM = 0, 1
+# arrays of eight bytes per byte of text are made of so much text at once
+PART_BYTES = 4_000_000
 # tables up to these sizes are sent to every task (16 bytes a row); longer ones are joined
 MOST_WORDS = 6_000_000
 MOST_GRAMS = 8_000_000
@@ -81,7 +83,7 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
             names=["kind", "key", "n"],
         )
 
-    counted = map_batches(docs.select("text", "held_out"), work, "kind int, key long, n long")
+    counted = map_batches(docs.select("text", "held_out"), work, "kind int, key long, n long", PART_BYTES)
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -229,7 +231,7 @@ def _score_broadcast(docs: DataFrame, words: DataFrame, grams: DataFrame, tokens
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    return map_batches(docs.select("doc_id", "held_out", "text"), work, schema)
+    return map_batches(docs.select("doc_id", "held_out", "text"), work, schema, PART_BYTES)
 
 
 def _score_joined(docs: DataFrame, words: DataFrame, grams: DataFrame, tokens: int, distinct: int, depth: int) -> DataFrame:
@@ -252,7 +254,7 @@ def _score_joined(docs: DataFrame, words: DataFrame, grams: DataFrame, tokens: i
 
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     copies = keyed.groupBy("doc_id", "held_out", "text_key").agg(F.count("*").alias("copies"))
-    counted = map_batches(keyed, count, "doc_id long, held_out boolean, text_key long, kind int, key long, m long")
+    counted = map_batches(keyed, count, "doc_id long, held_out boolean, text_key long, kind int, key long, m long", PART_BYTES)
     both = words.select(F.lit(WORD).alias("kind"), "key", "n", F.lit(0.0).alias("logp")).union(
         grams.select(F.lit(GRAM), "key", F.lit(0).cast("long"), "logp")
     )

@@ -78,13 +78,26 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """``work`` on every Arrow batch of ``df``."""
+def map_batches(
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most_bytes: int | None = None
+) -> DataFrame:
+    """``work`` on every Arrow batch of ``df``; with ``most_bytes``, on parts of a batch with at most so
+    many bytes of ``text``, or one row."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum([len(t) for t in batch.column("text").to_pylist()]) if most_bytes else []
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at and most_bytes else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))) if most_bytes else batch.num_rows
+            yield batch.slice(at, stop - at)
+            at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for part in parts(batch):
+                if (out := work(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
