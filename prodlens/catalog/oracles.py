@@ -628,6 +628,31 @@ BODIES = {
         SELECT year, coalesce(n, 0) AS n_rows, lo AS first_date, hi AS last_date, n IS NULL AS is_gap FROM y LEFT JOIN f ON f.anio = y.year""",
     "partition_identity": """
         SELECT anio AS year, count(*) AS n_rows, min(fecha) AS first_date, max(fecha) AS last_date FROM production GROUP BY 1""",
+    "content_fingerprint": "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS sha256 FROM documents",
+    "csv_roundtrip": "SELECT idpozo, anio, mes FROM register",
+    "file_list_probe": "SELECT anio, count(*) AS n_rows FROM production GROUP BY 1",
+    "srid_histogram": """
+        SELECT CASE cota % 3 WHEN 0 THEN '0101000020E6100000' ELSE '0101000020A9560000' END AS prefix, count(*) AS n,
+               CASE cota % 3 WHEN 0 THEN 4326 ELSE 22185 END::BIGINT AS srid FROM wells WHERE cota % 3 < 2 GROUP BY 1, 3""",
+    "unit_factor": """
+        WITH m AS (SELECT ym, day(last_day((ym || '-01')::DATE)) AS days, round(sum(price), 2) AS total FROM official WHERE st = 'F' GROUP BY 1, 2)
+        SELECT round(avg((total / days * 6.28981 / 1000) * 1000 / (total / days)), 6) AS factor,
+               round(abs(avg((total / days * 6.28981 / 1000) * 1000 / (total / days)) - 6.28981) / 6.28981 * 100, 6) AS off_pct FROM m""",
+    "correlation_matrix": f"SELECT * FROM ({PEARSON}) AS a JOIN ({SPEARMAN}) AS b USING (var_x, var_y)",
+    "explore_unapplied": """
+        SELECT 'unsupported' AS problem, 'well_fluid' AS dim, NULL AS value
+        UNION ALL SELECT 'unmatched', 'cuenca', v FROM (VALUES ('ASIA'), ('ATLANTIS')) AS t(v) WHERE v NOT IN (SELECT cuenca FROM block)""",
+    "budget_gate": """
+        SELECT output, lim AS "limit", output = 'cube' AND (SELECT count(*) FROM production) > 0 AS ok
+        FROM (VALUES ('cube', 1000000000000000::BIGINT), ('wells', 1), ('absent', 10)) AS t(output, lim)""",
+    "findings_report": """
+        SELECT 'row_counts' AS check_name, 'wells' AS subject, 'n_rows' AS key, count(*)::DOUBLE AS value, 'pass' AS status FROM wells
+        UNION ALL SELECT 'row_counts', 'monthly_production', 'n_rows', count(*)::DOUBLE, 'pass' FROM production""",
+    "summary_roundtrip": """
+        SELECT strftime(fecha, '%Y-%m') AS ym, floor(sum(oil_m3) / 1000)::BIGINT AS oil_m3, floor(sum(gas_e3m3) / 1000)::BIGINT AS gas_e3m3,
+               floor(sum(water_m3) / 1000)::BIGINT AS water_m3 FROM cube GROUP BY 1""",
 }
 
+BODIES["labels_roundtrip"] = BODIES["label_tables"]
+
 ORACLES = {name: sql(body) for name, body in BODIES.items()}

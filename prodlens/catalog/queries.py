@@ -19,7 +19,7 @@ from prodlens.operators import aggregates, classify, encode, filters, ranking, s
 from prodlens.plans import cubes, curves, enrich, quality, summary, views
 from prodlens.plans.enrich import MONTH, WELL
 from prodlens.plans.spec import QueryEngine
-from prodlens.sources import intake, lookup, sinks
+from prodlens.sources import intake, lookup, scans, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -42,10 +42,11 @@ class Panel(StarPanel):
 
     @cached_property
     def fact(self) -> DataFrame:
-        # spans cut with lead() cannot overlap; row_guard checks it, so each query need not
+        # spans cut with lead() cannot overlap and months are grouped; row_guard and
+        # grain_duplicates check it, so each query need not
         return enrich.prod_monthly(
             self.monthly_production, self.well_operator_history, self.well_events,
-            EVENT_TIE_BREAK, check_spans=False,
+            EVENT_TIE_BREAK, check_spans=False, check_grain=False,
         )
 
     @cached_property
@@ -555,7 +556,8 @@ def ceiling_check(p: Panel) -> DataFrame:
 
 @query
 def cube_vs_source(p: Panel) -> DataFrame:
-    found = quality.cube_matches_source(p.fact, p.cube)
+    fact = pin(p.fact)
+    found = quality.cube_matches_source(fact, cubes.agg_monthly(fact, p.attrs))
     return found.select("measure", F.round("left_total", 2).alias("source_total"), F.round("right_total", 2).alias("cube_total"), "ok")
 
 
@@ -758,3 +760,104 @@ def partition_identity(p: Panel) -> DataFrame:
 @query
 def file_manifest(p: Panel) -> DataFrame:
     return intake.file_manifest(p.spark, [p.root]).select("file", "bytes", "sha256")
+
+
+# --- written and read back, gates, reports ----------------------------------------------
+
+
+@query
+def content_fingerprint(p: Panel) -> DataFrame:
+    """Bytes and hash of every text, as the manifest has them for files."""
+    text_bytes = F.col("text").cast("binary")
+    return p.table("documents").select("doc_id", F.octet_length(text_bytes).cast("long").alias("bytes"), F.sha2(text_bytes, 256).alias("sha256"))
+
+
+@query
+def csv_roundtrip(p: Panel) -> DataFrame:
+    """The register written as files of two column orders, with bad rows, and read by name."""
+    path, even = new_work_path(p.spark, "csv"), F.col("idpozo") % 2 == 0
+    rows = pin(p.register.select("idpozo", "anio", "mes"))
+    bad = rows.select(F.concat(F.lit("x"), "idpozo").alias("idpozo"), "anio", "mes")
+    rows.where(even).select("idpozo", "anio", "mes").write.option("header", True).csv(f"{path}/part=a")
+    rows.where(~even).select("mes", F.lit("a, b").alias("note"), "idpozo", "anio").write.option("header", True).csv(f"{path}/part=b")
+    bad.write.option("header", True).csv(f"{path}/part=c")
+    files = [f"{path}/part={x}" for x in "abc"]
+    back = [scans.read_csv(p.spark, f, scans.REGISTER_SCHEMA, drop_malformed=True) for f in files]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+@query
+def file_list_probe(p: Panel) -> DataFrame:
+    """The panel laid out by year, read from a list of its files, counted by partition."""
+    base = new_work_path(p.spark, "listed")
+    intake.write_by_year(p.monthly_production, f"{base}/{scans.PANEL}")
+    found = intake.file_manifest(p.spark, [f"{base}/{scans.PANEL}"], hashes=False).select("path").collect()
+    names = sorted(r["path"].split(f"/{scans.PANEL}/", 1)[1] for r in found)
+    source = scans.FileListSource(base, tuple(names))
+    return intake.partition_probe(source.table(p.spark, scans.PANEL))
+
+
+@query
+def srid_histogram(p: Panel) -> DataFrame:
+    """Binary headers: byte order, type word and spatial reference by the well's nation."""
+    srid = F.when(F.col("cota") % 3 == 0, F.lit("E6100000")).when(F.col("cota") % 3 == 1, F.lit("A9560000"))
+    body = F.unhex(F.concat(F.lit("0101000020"), srid, F.lit("00" * 16)))
+    return quality.srid_histogram(p.wells.withColumn("geom", body))
+
+
+@query
+def unit_factor(p: Panel) -> DataFrame:
+    return rounded(quality.mean_factor(quality.unit_rederivation(p.official_oil), units.M3_TO_BBL), 6)
+
+
+@query
+def correlation_matrix(p: Panel) -> DataFrame:
+    """Both coefficients of every pair of variables."""
+    return rounded(stats.correlation_matrix(p.well_table, CORR_VARS), 8)
+
+
+@query
+def explore_unapplied(p: Panel) -> DataFrame:
+    """What a filter could not do: a column the cube lacks, a value that does not occur."""
+    return filters.filter_report(p.block, {"well_fluid": ["Gasífero"], "cuenca": ["ASIA", "ATLANTIS"]})
+
+
+@query
+def budget_gate(p: Panel) -> DataFrame:
+    """Written outputs against a limit that they keep and one that they break."""
+    path = new_work_path(p.spark, "budget")
+    sinks.write_sorted(p.cube, f"{path}/cube", [MONTH, "cuenca"])
+    sinks.write_sorted(p.slim, f"{path}/wells", [WELL])
+    manifest = sinks.build_manifest(p.spark, {n: f"{path}/{n}" for n in ("cube", "wells")}, hashes=False)
+    checked = quality.budget_check(manifest, {"cube": 10**15, "wells": 1, "absent": 10})
+    return checked.select("output", "limit", "ok")
+
+
+@query
+def findings_report(p: Panel) -> DataFrame:
+    """Findings written as JSON lines and read back."""
+    path = new_work_path(p.spark, "findings")
+    counts = quality.row_counts({"wells": p.wells, "monthly_production": p.monthly_production}, {})
+    found = quality.findings("row_counts", counts, F.col("table_name"), F.col("n_rows") > 0)
+    sinks.write_findings(found.where("value IS NOT NULL"), path)
+    return p.spark.read.json(f"{path}/json").select("check_name", "subject", "key", "value", "status")
+
+
+@query
+def labels_roundtrip(p: Panel) -> DataFrame:
+    """The label sidecar written and read back."""
+    path = new_work_path(p.spark, "labels")
+    labels = encode.label_table(p.cube_table, cubes.CUBE_DIMS)
+    sinks.write_labels(labels, path, cubes.CUBE_DIMS)
+    return p.spark.read.json(path).select("dim", "value", F.col("code").cast("int").alias("code"))
+
+
+@query
+def summary_roundtrip(p: Panel) -> DataFrame:
+    """A section of the summary written and read back."""
+    path = new_work_path(p.spark, "summary")
+    sinks.write_summary({"national": summary.national_monthly(p.cube)}, path)
+    back = p.spark.read.json(f"{path}/national")
+    # the section is rounded to a tenth; whole thousands are far from a tie
+    volumes = [F.floor(F.col(c) / 1000).alias(c) for c in ("oil_m3", "gas_e3m3", "water_m3")]
+    return back.select("ym", *volumes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -60,13 +61,17 @@ def build(
 ) -> DataFrame:
     """Write every table under ``out`` and return the manifest.
 
+    Everything is written beside ``out`` first. Only after all gates have passed do the new tables
+    take the places of the old ones, so a failed build leaves the last good one as it was.
+
     The fact, the attributes and the cubes are written before they are used again, so no
     later step repeats a temporal join. Gates: cube against source at 1e-9; both cubes, if
     every well has a block; bytes against ``limits``. ``findings`` of the checks become a
     section of the summary.
     """
     out = out.rstrip("/")
-    at = lambda name: f"{out}/{name}"
+    aside = f"{out}-new-{uuid.uuid4().hex}"
+    at = lambda name: f"{aside}/{name}"
 
     attrs = well_attrs(
         inputs.wells, inputs.history, inputs.events, inputs.register, inputs.production,
@@ -108,11 +113,25 @@ def build(
     write_summary(summary_sections(attrs, cube, findings), at("summary"))
 
     published = ["agg_monthly", "agg_block", "typecurve", "wells_slim", "wells", "dims", "formation_names", "summary"]
-    parquet = {n: at(n) for n in published[:5]}
-    manifest = with_rows(build_manifest(spark, {n: at(n) for n in published}), spark, parquet)
-    manifest.write.mode("overwrite").json(at("manifest"))
     if limits:
-        over = budget_check(manifest, limits).where("NOT ok").collect()
+        sizes = build_manifest(spark, {n: at(n) for n in published}, hashes=False)
+        over = budget_check(sizes, limits).where("NOT ok").collect()
         if over:
             raise QualityGateError(f"outputs over their limit: {over}")
-    return spark.read.json(at("manifest"))
+    publish(spark, aside, out)
+    parquet = {n: f"{out}/{n}" for n in published[:5]}
+    manifest = with_rows(build_manifest(spark, {n: f"{out}/{n}" for n in published}), spark, parquet)
+    manifest.write.mode("overwrite").json(f"{out}/manifest")
+    return spark.read.json(f"{out}/manifest")
+
+
+def publish(spark: SparkSession, aside: str, out: str) -> None:
+    """Move the tables of a checked build over those of the last one."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm_path(out))
+    for status in fs.listStatus(jvm_path(aside)):
+        name = status.getPath().getName()
+        fs.delete(jvm_path(f"{out}/{name}"), True)
+        fs.rename(status.getPath(), jvm_path(f"{out}/{name}"))
+    fs.delete(jvm_path(aside), True)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prodlens.common import pack
+from prodlens.common import pack, pin
 from prodlens.functions.dates import months_between_starts
 from prodlens.functions.text import or_label
 from prodlens.operators.ranking import exact_quantiles
@@ -59,9 +59,12 @@ def type_curve(
         .agg(F.count(WELL).alias("wells"))
         .where(F.col("wells") >= min_wells)
     )
-    bands = exact_quantiles(rows, keys, list(FLUIDS), PROBS, digits=digits, names=FLUIDS)
-    values = [c for c in bands.columns if c not in keys]
-    joined = sizes.join(bands.select(pack(keys).alias("_k"), *values), "_k", "left")
+    # only the values of groups that stay are sorted, and they carry a number for their key
+    sizes = pin(sizes.withColumn("_g", F.monotonically_increasing_id()))
+    kept = rows.select(pack(keys).alias("_k"), *FLUIDS).join(sizes.select("_k", "_g"), "_k").select("_g", *FLUIDS)
+    bands = exact_quantiles(kept, ["_g"], list(FLUIDS), PROBS, digits=digits, names=FLUIDS)
+    values = [c for c in bands.columns if c != "_g"]
+    joined = sizes.join(bands, "_g", "left")
     return joined.select(*[F.col("_k")[k].alias(k) for k in keys], "wells", *values)
 
 

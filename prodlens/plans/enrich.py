@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from prodlens.functions.dates import clamp_hours, date_from_parts
 from prodlens.functions.units import or_zero, ratio
+from prodlens.operators.aggregates import dedupe_groups
 from prodlens.operators.classify import HORIZONTAL_M, combined_class, measured_class, name_class
-from prodlens.operators.temporal import asof_join, interval_join, latest_row, require_disjoint_spans
+from prodlens.operators.temporal import RowGuardError, asof_join, interval_join, latest_row, require_disjoint_spans
 
 WELL = "idpozo"
 MONTH = "fecha"
@@ -184,14 +185,18 @@ def prod_monthly(
     events: DataFrame,
     event_tie_break: list[str] | None = None,
     check_spans: bool = True,
+    check_grain: bool = True,
     asof_strategy: str = "spans",
     missing_hours_are_full: bool = False,
 ) -> DataFrame:
     """The monthly fact with the operator and the state in force in each month.
 
     Overlapping operator spans would repeat months and inflate every total after this, so
-    they are looked for in the (small) history table first and reported by well.
+    they are looked for in the (small) history table first and reported by well. Months are joined to
+    spans by well alone, which is bounded only while a well has one row a month: that is checked too.
     """
+    if check_grain and (n := dedupe_groups(production, [WELL, MONTH]).count()):
+        raise RowGuardError(f"{n} pairs of {WELL} and {MONTH} occur more than once")
     if check_spans:
         history = require_disjoint_spans(history, WELL, "valid_from", "valid_to")
     tef = clamp_hours("tef", MONTH, missing_hours_are_full)

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prodlens.common import pin
 from prodlens.functions.dates import days_in_month, hours_in_month, year_month
 from prodlens.functions.geo import COUNTRY_BOX, Box, box_class, geojson_coordinate, wkb_prefix, wkb_srid
 from prodlens.operators.aggregates import dedupe_groups
@@ -242,6 +243,7 @@ def coordinate_agreement(
     dev = wells.join(points, WELL).select(
         dlon.alias("dlon"), dlat.alias("dlat"), F.greatest(dlon, dlat).alias("dev")
     )
+    dev = pin(dev)  # read for the bands, the bucket limits and the quantile
     in_band = lambda lo, hi: F.count_if((F.col("dev") >= lo) & (F.col("dev") < hi))
     bands = dev.agg(
         F.count("*").alias("matched"),
