@@ -31,7 +31,7 @@ from prodlens.llm.text import as_bytes
 SEQUENCE = 4096
 END_ID = 1
 LONGEST_REMEMBERED = 64
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 SLICE_BYTES = 4_000_000
 PLACE_SCHEMA = "length long, rank_low long, count long, sequence_low long, per_sequence long, offset long"
 

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # words remembered per Python worker; the memory is forgotten when full
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
+# a task holds arrays of some tens of bytes per byte of text for so much text at once
+PART_BYTES = 4_000_000
 
 
 def as_bytes(text: str | Column) -> Column:
@@ -78,24 +80,26 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most_bytes: int | None = None
-) -> DataFrame:
-    """``work`` on every Arrow batch of ``df``; with ``most_bytes``, on parts of a batch with at most so
-    many bytes of ``text``, or one row."""
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
+    """``work`` on every Arrow batch of ``df``, in parts of at most ``PART_BYTES`` of ``text`` or one row,
+    so that what a task builds from texts stays small however many rows a batch has."""
 
     def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ends = np.cumsum([len(t) for t in batch.column("text").to_pylist()]) if most_bytes else []
-        at = 0
+        if "text" not in batch.schema.names:
+            yield batch
+            return
+        column = batch.column("text")
+        wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+        raw = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+        ends, at = raw[column.offset : column.offset + batch.num_rows + 1].astype(np.int64), 0
         while at < batch.num_rows:
-            before = ends[at - 1] if at and most_bytes else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))) if most_bytes else batch.num_rows
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_BYTES, "right")) - 1)
             yield batch.slice(at, stop - at)
             at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch) if batch.num_rows else ():
                 if (out := work(part)) is not None:
                     yield out
 
