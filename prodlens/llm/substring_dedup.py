@@ -211,17 +211,19 @@ def kept_words(words: list[bytes], ranges: list | None) -> list[bytes]:
     return out + words[at:]
 
 
-def with_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column ``_ranges``: what to remove, or null."""
+def with_ranges(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, which says what to remove or is null, and that column's name."""
     stages = Stages(docs.sparkSession, "substrings")
-    body = as_bytes("text")
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_key": F.xxhash64(body)})
-    found = repeated_ranges(keyed.select(F.col("_doc").alias("doc_id"), body.alias("text"), F.col("_key").alias("text_key")), stages)
-    # the keys are rebuilt below, so that the plan over the texts need not carry them from a pinned table
-    ranges = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
-    ranges = stages.write("ranges", ranges.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "_ranges"))
-    same = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t"))
-    return keyed.join(ranges, same, "left").drop("_doc", "_key", "_d", "_t")
+    body, doc = as_bytes("text"), F.col("doc_id").cast("long")
+    keyed = docs.select(doc.alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    found = repeated_ranges(keyed, stages)
+    # names that no column of the documents has
+    taken = {c.lower() for c in docs.columns}
+    own = [next(n for n in (f"{base}{'_' * k}" for k in range(len(taken) + 1)) if n not in taken) for base in ("_doc", "_key", "_ranges")]
+    ranges = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    ranges = stages.write("ranges", ranges.toDF(*own))
+    same = doc.eqNullSafe(F.col(own[0])) & (F.xxhash64(body) == F.col(own[1]))
+    return docs.join(ranges, same, "left").drop(*own[:2]), own[2]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -235,7 +237,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, digests = [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()):
+        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
             words = text.split()
             kept = kept_words(words, ranges)
             total.append(len(words))
@@ -246,8 +248,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    marked = with_ranges(docs.select("doc_id", "text"))
-    texts = marked.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"), "_ranges")
+    marked, ranges = with_ranges(docs.select("doc_id", "text"))
+    texts = marked.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"), F.col(ranges).alias("ranges"))
     return map_batches(texts, work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -258,7 +260,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     place = names.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns, ranges = batch.columns[:-1], batch.column("_ranges").to_pylist()
+        columns, ranges = batch.columns[:-1], batch.columns[-1].to_pylist()
         texts = columns[place].to_pylist()
         for i in [i for i, r in enumerate(ranges) if r]:
             texts[i] = b" ".join(kept_words(texts[i].encode().split(), ranges[i])).decode()
@@ -266,4 +268,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    return map_batches(with_ranges(docs).select(*docs.columns, "_ranges"), work, schema)
+    marked, ranges = with_ranges(docs)
+    return map_batches(marked.select(*docs.columns, ranges), work, schema)

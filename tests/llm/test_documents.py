@@ -167,7 +167,7 @@ def test_blocks_of_one_anchor(monkeypatch):
 
 def test_drop_repeats_keeps_clean_texts_and_columns(docs_of):
     rows = phrase_corpus()
-    df = docs_of(rows).withColumnRenamed("source", "_ranges0")
+    df = docs_of(rows).withColumnsRenamed({"source": "_ranges", "lang": "_doc"})
     out = substring_dedup.drop_repeats(df)
     assert out.columns == df.columns and out.count() == len(rows)
     removed = {r[0]: r[2] for r in substring_dedup.remove_repeats(df).collect()}
