@@ -58,11 +58,21 @@ def work_dir(spark: SparkSession) -> str:
     return shared
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{work_dir(spark).rstrip('/')}/prodlens-{spark.sparkContext.applicationId}"
+
+
 def new_work_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used. The folder carries the
     application's id, so what an application left behind can be told apart and removed."""
-    app = spark.sparkContext.applicationId
-    return f"{work_dir(spark).rstrip('/')}/prodlens-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove every table this application has pinned. Results that still read one are lost, so
+    this is for the end of a run, after its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -64,11 +65,13 @@ def main(argv: list[str]) -> int:
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as entry
+    from prodlens.common import clear_work
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -85,6 +88,7 @@ def main(argv: list[str]) -> int:
             problem = compare(spark, con, name, query, oracles.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001 - reported per query
             problem = f"{type(e).__name__}: {str(e)[:600]}"
+        clear_work(spark)
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name:<26}{time.time() - start:7.2f}s  {problem or ''}", flush=True)
     spark.stop()

@@ -56,6 +56,15 @@ def test_a_cluster_needs_a_shared_folder():
         common.work_dir(Session())
 
 
+def test_pinned_tables_can_be_cleared(spark, tmp_path):
+    kept = common.pin(spark.range(3))
+    path = kept.inputFiles()[0]
+    assert spark.read.parquet(path).count() >= 0
+    common.clear_work(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_labels_of_many_dimensions(spark):
     labels = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("dim"), F.lit("v").alias("value"), F.lit(0).alias("code"))
     encode.require_labels(labels, ["d2999", "d0"])
