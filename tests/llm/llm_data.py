@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import types as T
 
 DOCS = T.StructType(
@@ -20,3 +22,13 @@ def prose(seed: int, n: int) -> str:
 
 
 EDGE_TEXTS = [(9090, None), (9091, ""), (9092, " \n\t "), (9093, "one"), (9094, "one two three four"), (None, prose(7, 40)), (9095, "é\u2003x \x1cy")]
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """Documents from (doc_id, text) pairs."""
+
+    def make(rows):
+        return spark.createDataFrame([(i, t, "en", "src", None if t is None else len(t)) for i, t in rows], DOCS)
+
+    return make

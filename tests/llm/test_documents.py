@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from conftest_llm import EDGE_TEXTS, prose, words
+from llm_data import EDGE_TEXTS, docs_of, prose, words  # noqa: F401
 from prodlens.llm import decontaminate, ngram_join, packing, substring_dedup
 from prodlens.llm.components import connected_components
 from prodlens.llm.storage import Stages

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest_llm import EDGE_TEXTS, prose, words
+from llm_data import EDGE_TEXTS, docs_of, prose, words  # noqa: F401
 from prodlens.llm import embeddings, language_model, toxicity
 
 

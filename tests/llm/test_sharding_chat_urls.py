@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest_llm import EDGE_TEXTS, prose
+from llm_data import EDGE_TEXTS, docs_of, prose  # noqa: F401
 from prodlens.llm import chat, sharding, urls
 
 
