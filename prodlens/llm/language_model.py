@@ -29,6 +29,7 @@ from prodlens.llm.text import as_bytes, hash_words, map_batches, signed
 DEPTH = 5
 END = b"\n"
 WORD, GRAM = 0, 1
+SLICE_BYTES = 1_000_000
 # tables up to these sizes are sent to every task (16 bytes a row); longer ones are joined
 MOST_WORDS = 6_000_000
 MOST_GRAMS = 8_000_000
@@ -64,6 +65,24 @@ def grams_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarr
     return code[own[depth:]], lengths - depth
 
 
+def _slices(texts: list[list[bytes]]):
+    """The texts in slices of about a megabyte: each byte takes some hundred bytes in arrays."""
+    at, held = 0, 0
+    for i, words in enumerate(texts, 1):
+        held += sum(map(len, words)) + len(words)
+        if held >= SLICE_BYTES or i == len(texts):
+            yield texts[at:i]
+            at, held = i, 0
+
+
+def _count_grams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    counted = [np.unique(grams_of(part, depth)[0], return_counts=True) for part in _slices(texts)]
+    if not counted:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, of = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    return keys, np.bincount(of, np.concatenate([n for _, n in counted]), len(keys)).astype(np.int64)
+
+
 def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n): counts of words and grams in training texts; grams of other texts with 0."""
 
@@ -73,8 +92,8 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
         train = [w for w, h in zip(split, held) if not h]
         words = hash_words([w for ws in train for w in ws])
         keys, counts = np.unique(np.r_[words, np.full(len(train), end_key(), np.uint64)], return_counts=True)
-        grams, n = np.unique(grams_of(train, depth)[0], return_counts=True)
-        others = np.setdiff1d(grams_of([w for w, h in zip(split, held) if h], depth)[0], grams)
+        grams, n = _count_grams(train, depth)
+        others = np.setdiff1d(_count_grams([w for w, h in zip(split, held) if h], depth)[0], grams)
         kinds = np.repeat([WORD, GRAM, GRAM], [len(keys), len(grams), len(others)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [pa.array(kinds), pa.array(np.r_[signed(keys), grams, others]), pa.array(np.r_[counts, n, np.zeros(len(others), np.int64)])],
@@ -169,7 +188,9 @@ def _collected(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     table = df.select("key", value).toArrow()
     keys, values = table.column("key").to_numpy(), table.column(value).to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order]
+    values = values[order]
+    # counts that fit take half the room in every task
+    return keys[order], values.astype(np.uint32) if values.dtype == np.int64 and values.max(initial=0) < 2**32 else values
 
 
 class _Grams:
@@ -221,8 +242,11 @@ def _score_broadcast(docs: DataFrame, words: DataFrame, grams: DataFrame, tokens
         count = _lookup(*word_model.value, keys, 0)
         base = _sums(np.log10(count + 0.5) - scale, lengths)
         known = _sums((count > 0).astype(float), lengths)
-        codes, sizes = grams_of(split, depth)
-        score = _sums(model[codes], sizes)
+        sliced = []
+        for part in _slices(split):
+            codes, sizes = grams_of(part, depth)
+            sliced.append((_sums(model[codes], sizes), sizes))
+        score, sizes = (np.concatenate(x) for x in zip(*sliced))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(score), pa.array(sizes)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],

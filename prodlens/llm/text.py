@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # words remembered per Python worker; the memory is forgotten when full
 REMEMBERED_WORDS = 150_000
 # a task holds arrays of some tens of bytes per byte of text for so much text at once
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 
 
 def as_bytes(text: str | Column) -> Column:
