@@ -32,7 +32,7 @@ SEQUENCE = 4096
 END_ID = 1
 LONGEST_REMEMBERED = 64
 REMEMBERED = 400_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 PLACE_SCHEMA = "length long, rank_low long, count long, sequence_low long, per_sequence long, offset long"
 
 
