@@ -3,12 +3,17 @@
 Equal vectors of a label are one class. The classes' neighbour graph starts from sorted hash
 codes of random projections and is refined in rounds: around every class its neighbours and
 those that have it as a neighbour are compared with each other, and each class keeps its best.
-Rounds end when few lists change. An audit compares a bounded set of classes with all others of
-their label; if the graph misses links, lists are doubled, new projections are added and the rounds go on.
+Rounds end when few lists change.
 
 Edges of at least the threshold, checked in double precision, connect the components. A list
-full of such edges is saturated: there may be more. Lists are then enlarged to the whole component,
-which is compared with itself in tiles of blocks, so links inside a component are complete.
+full of such edges is saturated: there may be more, also to classes of other components. Saturated
+classes are gathered in balls, and all balls of different components that can hold a link by their
+angles are compared class by class. Then every component is compared with itself in tiles of
+blocks, so links inside a component are complete.
+
+An audit compares a bounded set of classes with all others of their label; if components miss
+links, lists are doubled, new projections are added and the rounds go on. If they still miss links
+after the last try, balls are built of all classes and not only of saturated ones, which is exact.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ AUDIT_CLASSES = 400
 AUDIT_RECALL = 0.99
 MOST_TRIES = 3
 BLOCK = 512
+BALLS = 2048
+# the lists' cosines are of single precision
+SLACK = 1e-4
 
 
 def _prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,8 +211,104 @@ def _complete(classes: DataFrame, members: DataFrame, threshold: float) -> DataF
     return tiles.repartition("component", "tile").sortWithinPartitions("component", "tile").mapInArrow(work, "cls long, linked long")
 
 
-def _audit(lists: DataFrame, classes: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded set of classes that the graph has within two steps."""
+def _bridges(classes: DataFrame, some: DataFrame, lists: DataFrame, members: DataFrame, threshold: float, stages: Stages) -> DataFrame:
+    """Links between components of the classes ``some`` (cls): at least one for any two components that such a link joins.
+
+    A class belongs to a ball of its component around the component's smallest class, if that is
+    near enough to link, or else around one of its near neighbours. By the triangle inequality of
+    angles most pairs of balls have no link; the others are compared in tiles of two blocks.
+    """
+    reach = float(np.arccos(min(threshold, 1.0)))
+    near = lists.where(F.col("cos") >= threshold - SLACK).groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.min(F.xxhash64("v")).alias("h"))
+    near = near.select(F.col("u").alias("cls"), F.when(F.col("h") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("leader"))
+    own = classes.select("cls", "grp", "vec").join(some, "cls", "left_semi").join(members.withColumnRenamed("node", "cls"), "cls", "left").join(near, "cls", "left")
+    own = own.select("cls", "grp", "vec", F.coalesce("component", "cls").alias("component"), F.coalesce("leader", "cls").alias("leader"))
+    at = lambda name: classes.select(F.col("cls").alias(name), F.col("vec").alias(f"{name}_vec"))
+    own = own.join(at("component"), "component").join(at("leader"), "leader")
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        centre, u, angle = [], [], []
+        for root, root_vec, leader, leader_vec, vec in zip(*(batch.column(c).to_pylist() for c in ("component", "component_vec", "leader", "leader_vec", "vec"))):
+            x = [float(np.arccos(np.clip(cosine(vec, v), -1, 1))) for v in (root_vec, leader_vec)]
+            first = x[0] <= reach or x[0] <= x[1]
+            centre.append(root if first else leader)
+            u.append(_unit(root_vec if first else leader_vec, np.float32).tobytes())
+            angle.append(x[0] if first else x[1])
+        columns = [batch.column(c) for c in ("cls", "grp", "vec", "component")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(centre, pa.int64()), pa.array(u, pa.binary()), pa.array(angle, pa.float64())], names=["cls", "grp", "vec", "component", "centre", "u", "angle"])
+
+    placed = map_batches(own, place, "cls long, grp long, vec binary, component long, centre long, u binary, angle double")
+    placed = stages.write("placed", placed)
+    balls = placed.groupBy("grp", "component", "centre").agg(F.first("u").alias("u"), F.max("angle").alias("radius"), F.count("*").alias("n"))
+    balls = stages.write("balls", balls)
+    sized = balls.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BALLS)).cast("int").alias("blocks"), F.count_distinct("component").alias("parts")).where("parts > 1")
+    rows = balls.join(sized, "grp").withColumn("own", F.pmod(F.xxhash64("component", "centre"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    side = F.when(F.col("own") == F.col("with"), F.lit(2)).when(F.col("own") < F.col("with"), F.lit(0)).otherwise(F.lit(1))
+    tile = F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
+    tiles = rows.select("grp", tile.cast("long").alias("tile"), "component", "centre", "u", "radius", "n", side.alias("side"))
+
+    def close(key, held) -> pa.RecordBatch:
+        component, centre, radius, n, side = (np.array(x) for x in zip(*((r[0], r[1], r[3], r[4], r[5]) for r in held)))
+        m = np.frombuffer(b"".join(r[2] for r in held), np.float32).reshape(len(held), -1)
+        out = []
+        for i in range(0, len(held), BLOCK):
+            angles = np.arccos(np.clip(m[i : i + BLOCK] @ m.T, -1, 1))
+            may = angles <= radius[i : i + BLOCK, None] + radius[None, :] + reach + 2e-3  # of single precision
+            may &= component[i : i + BLOCK, None] < component[None, :]  # each pair once
+            may &= (side[i : i + BLOCK, None] == 2) | (side[i : i + BLOCK, None] != side[None, :])
+            x, y = np.nonzero(may)
+            out.append((x + i, y))
+        x, y = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (component[x], centre[x], n[x], component[y], centre[y], n[y])], names=["ca", "ba", "na", "cb", "bb", "nb"])
+
+    tiles = tiles.repartition("grp", "tile").sortWithinPartitions("grp", "tile")
+    pairs = stages.write("pairs", tiles.mapInArrow(_by_key(("grp", "tile"), ("component", "centre", "u", "radius", "n", "side"), close), "ca long, ba long, na long, cb long, bb long, nb long"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+
+    def half(component: str, centre: str, mine: str, other: str, side: int) -> DataFrame:
+        found = pairs.join(placed.select(F.col("component").alias(component), F.col("centre").alias(centre), "cls", "vec"), [component, centre])
+        found = found.withColumn("own", F.pmod(F.xxhash64("cls"), blocks(mine)).cast("int"))
+        found = found.select("*", F.explode(F.sequence(F.lit(0), blocks(other) - 1)).alias("with"))
+        i, j = ("own", "with") if side == 0 else ("with", "own")
+        return found.select("ca", "ba", "cb", "bb", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "cls", "vec")
+
+    def compare(key, held) -> pa.RecordBatch:
+        a, b = ([r for r in held if r[0] == side] for side in (0, 1))
+        if a and b:
+            s = np.stack([_unit(r[2]) for r in a]) @ np.stack([_unit(r[2]) for r in b]).T
+            i, j = np.nonzero(s >= threshold - 1e-9)
+            for k in np.argsort(-s[i, j]).tolist():
+                x, y = a[i[k]], b[j[k]]
+                if (c := cosine(x[2], y[2])) >= threshold:  # one link joins the components
+                    return _edges([x[1]], [y[1]], [c])
+        return _edges([], [], [])
+
+    keys = ("ca", "ba", "cb", "bb", "i", "j")
+    both = half("ca", "ba", "na", "nb", 0).union(half("cb", "bb", "nb", "na", 1))
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_key(keys, ("side", "cls", "vec"), compare), "a long, b long, cos double")
+
+
+def _by_key(keys: tuple, columns: tuple, work):
+    """Call ``work`` on the rows of each key; rows come sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in (*keys, *columns))):
+                if row[: len(keys)] != key:
+                    if held:
+                        yield work(key, held)
+                    key, held = row[: len(keys)], []
+                held.append(row[len(keys) :])
+        if held:
+            yield work(key, held)
+
+    return run
+
+
+def _audit(members: DataFrame, classes: DataFrame, threshold: float) -> float:
+    """Share of the links of a bounded set of classes that lie inside a component."""
     probes = classes.orderBy(F.xxhash64("cls", F.lit(7)), "cls").limit(AUDIT_CLASSES).select("cls", "grp", "vec").collect()
     by_group: dict[int, list] = {}
     for r in probes:
@@ -224,13 +328,9 @@ def _audit(lists: DataFrame, classes: DataFrame, threshold: float) -> float:
         return _edges(a, b, cos)
 
     true = map_batches(classes.select("grp", "cls", "vec"), work, "a long, b long, cos double").select("a", "b")
-    close = lists.where(F.col("cos") >= threshold - 1e-4).select("u", "v")
-    asked = close.join(F.broadcast(true.select(F.col("a").alias("u")).distinct()), "u")
-    asked = asked.union(close.select(F.col("v").alias("u"), F.col("u").alias("v")).join(F.broadcast(true.select(F.col("a").alias("u")).distinct()), "u"))
-    both = close.union(close.select("v", "u"))
-    two = asked.join(both.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v"))
-    found = asked.union(two).distinct()
-    hit = true.join(found, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left").agg(F.count("*").alias("n"), F.count("u").alias("k")).first()
+    for end in ("a", "b"):
+        true = true.join(members.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
+    hit = true.agg(F.count("*").alias("n"), F.count_if(F.col("in_a") == F.col("in_b")).alias("k")).first()
     return hit["k"] / hit["n"] if hit["n"] else 1.0
 
 
@@ -257,6 +357,14 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 500 + 1))
     bits = int(np.clip(np.log2(max(count, 2)) - 3, 4, 20))
     lists, step = None, 0
+
+    def components(edges: DataFrame, lists: DataFrame, some: DataFrame) -> DataFrame:
+        members = stages.write("members", connected_components(edges, "a", "b", stages))
+        if some.isEmpty():
+            return members
+        found = stages.write("bridges", _bridges(classes, some, lists, members, threshold, stages))
+        return members if found.isEmpty() else stages.write("joined", connected_components(edges.union(found), "a", "b", stages))
+
     for attempt in range(MOST_TRIES):
         coded = map_batches(classes.select("grp", "cls", "vec"), _codes(bits, attempt), "grp long, tab int, code long, place double, cls long, u binary")
         coded = coded.repartitionByRange(parts, "grp", "tab", "code", "place").sortWithinPartitions("grp", "tab", "code", "place")
@@ -273,11 +381,14 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
             lists, step = new, step + 1
             if changed <= LEAST_CHANGE * count * size:
                 break
-        if _audit(lists, classes, threshold) >= AUDIT_RECALL:
+        near = lists.where(F.col("cos") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        edges = stages.write("edges", _exact(near, classes, threshold))
+        saturated = lists.where((F.col("nth") >= size) & (F.col("cos") >= threshold - SLACK)).select(F.col("u").alias("cls"))
+        members = components(edges, lists, saturated)
+        if _audit(members, classes, threshold) >= AUDIT_RECALL:
             break
-    near = lists.where(F.col("cos") >= threshold - 1e-4).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    edges = stages.write("edges", _exact(near, classes, threshold))
-    members = stages.write("members", connected_components(edges, "a", "b", stages))
+    else:
+        members = components(edges, lists, classes.select("cls"))
     inside = _complete(classes.select("cls", "n", "vec"), members, threshold).groupBy("cls").agg(F.sum("linked").alias("linked"))
     known = classes.select("cls", "rep", "n").join(members, classes["cls"] == members["node"], "left")
     known = known.select("cls", "rep", "n", F.coalesce("component", "cls").alias("component"))

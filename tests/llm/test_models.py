@@ -173,6 +173,41 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(links[i]), min(reached), i == min(reached))
 
 
+def check_links(rows, df):
+    out = {r["vec_id"]: r for r in embeddings.link_vectors(df).collect()}
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    links = (unit @ unit.T >= 0.98) & ~np.eye(len(rows), dtype=bool)
+    for i in range(len(rows)):
+        reached, todo = {i}, [i]
+        while todo:
+            new = set(np.flatnonzero(links[todo.pop()]).tolist()) - reached
+            reached |= new
+            todo += new
+        assert (out[i]["n_links"], out[i]["component_id"]) == (links[i].sum(), min(reached))
+    return links
+
+
+def test_vectors_of_full_lists_link_to_other_components(spark):
+    """Two groups of near copies: every list is full of its own group, and links between the groups are farther."""
+    rng, rows = np.random.default_rng(5), []
+    for x in (0.0, np.arccos(0.981)):
+        centre = np.r_[np.cos(x), np.sin(x), np.zeros(30)]
+        rows += [(len(rows) + i, (centre + 0.002 * rng.standard_normal(32)).tolist(), 0) for i in range(200)]
+    links = check_links(rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert links[:200, 200:].any()
+
+
+def test_vectors_of_a_poor_graph_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_TRIES", 1)
+    monkeypatch.setattr(embeddings, "TABLES", 1)
+    monkeypatch.setattr(embeddings, "_refine", lambda lists, classes, k: lists.select(F.col("u").alias("a"), F.col("v").alias("b"), "cos"))
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(300):
+        base = rng.standard_normal(24)
+        rows += [(len(rows) + i, (base + 0.08 * rng.standard_normal(24)).tolist(), 0) for i in range(2)]
+    check_links(rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+
+
 def test_vectors_of_nothing(spark):
     _, df = vectors(spark)
     assert embeddings.link_vectors(df.limit(0)).count() == 0
