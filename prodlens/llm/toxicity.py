@@ -1,8 +1,11 @@
 """Toxicity by compression distance between two Zstandard dictionaries.
 
-A text is written as a string of stem codes: each word gives the hashes of its first 4 and first 5
-bytes, A-Z lower-cased. A code is either repeated whole or not at all, so compressed lengths
-measure shared stems and not chance letters. Windows of 8 words are compressed once with a
+A text is written as a string of stem codes: each word gives the hash of its first 4 letters and
+those of all its runs of 5 letters, or of 2 from U+0800 on, where a letter says more; A-Z are
+lower-cased. So every letter is in a code, wherever it stands in a word. A code is either repeated
+whole or not at all, so compressed lengths measure shared stems and not chance letters. A word of
+more than 4 runs, such as a text without spaces, counts as several words of 4 runs each.
+Windows of at most 8 words and 256 bytes of codes are compressed once with a
 dictionary trained on ordinary texts and once with one that also holds what was trained on
 toxic texts; the bytes saved are a window's gain. The toxic dictionary is trained on the stems
 that are in far more toxic than ordinary texts, by their likelihood ratio; all others would
@@ -29,6 +32,9 @@ from prodlens.llm.text import Memory, as_bytes, map_batches
 
 WINDOW = 8
 CODE = 8
+PIECE = 4
+WINDOW_BYTES = 256
+LONGEST_REMEMBERED = 64
 CUT = 0.7
 # bounds of what is fitted: labelled texts of each class, dictionary bytes, stems in the toxic one
 SAMPLE_DOCS = 4000
@@ -37,17 +43,47 @@ MOST_STEMS = 1024
 SAMPLE_WORDS = 64
 LEAST_DEVIANCE, LEAST_RATIO, LEAST_SHARE = 30.0, 10.0, 0.004
 
-_CODES = Memory(lambda w: xxhash.xxh64_digest(w[:4]) + xxhash.xxh64_digest(b"5" + w[:5]))
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    """The codes of a word, in pieces of at most PIECE runs."""
+    letters = word.decode("utf-8", "replace")
+    runs = [letters[i : i + (2 if c >= "\u0800" else 5)] for i, c in enumerate(letters)]
+    # a run that the end cuts short is inside the run before it
+    runs = [r for i, r in enumerate(runs) if i == 0 or len(r) == (2 if r[0] >= "\u0800" else 5) or len(runs[i - 1]) < len(r) + 1]
+    # a run of 2 letters may be all of a word and gets two codes, as the shortest Latin word does
+    codes = [xxhash.xxh64_digest(b"5" + r.encode()) + (xxhash.xxh64_digest(b"2" + r.encode()) if r[0] >= "\u0800" else b"") for r in runs]
+    pieces = [b"".join(codes[i : i + PIECE]) for i in range(0, len(codes), PIECE)]
+    return [xxhash.xxh64_digest(letters[:4].encode()) + pieces[0], *pieces[1:]]
+
+
+_PIECES = Memory(_pieces)
 
 
 def codes_of(text: bytes) -> list[bytes]:
-    return list(map(_CODES.__getitem__, text.lower().split()))
+    """One string of codes per word or piece of a long word."""
+    out = []
+    for word in text.lower().split():
+        out += _PIECES[word] if len(word) <= LONGEST_REMEMBERED else _pieces(word)
+    return out
+
+
+def windows_of(codes: list[bytes]) -> list[bytes]:
+    """Runs of at most WINDOW words and WINDOW_BYTES of codes: Zstandard stores a longer block as it is rather than save a few bytes."""
+    out, held, size = [], [], 0
+    for c in codes:
+        if held and (len(held) == WINDOW or size + len(c) > WINDOW_BYTES):
+            out.append(b"".join(held))
+            held, size = [], 0
+        held.append(c)
+        size += len(c)
+    return [*out, b"".join(held)] if held else out
 
 
 def stems_of(codes: list[bytes]):
     for c in codes:
-        yield c[:CODE]
-        yield c[CODE:]
+        for i in range(0, len(c), CODE):
+            yield c[i : i + CODE]
 
 
 @dataclass(frozen=True)
@@ -70,7 +106,7 @@ class ToxicityModel:
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     settings = zstandard.ZstdCompressionParameters.from_level(
-        3, source_size=2 * CODE * WINDOW, dict_size=len(content), min_match=6, strategy=zstandard.STRATEGY_GREEDY,
+        3, source_size=WINDOW_BYTES, dict_size=len(content), min_match=6, strategy=zstandard.STRATEGY_GREEDY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
@@ -79,8 +115,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 def gains(text: bytes, ordinary, toxic) -> np.ndarray:
     """Bytes that the toxic dictionary saves in each window of the whole text."""
     codes = codes_of(text)
-    windows = [b"".join(codes[i : i + WINDOW]) for i in range(0, len(codes), WINDOW)]
-    return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows], np.int64)
+    return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows_of(codes)], np.int64)
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -217,7 +252,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, training=None, most: int
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         if model is None:
-            n = [-(-len(t.split()) // WINDOW) for t in texts]
+            n = [len(windows_of(codes_of(t))) for t in texts]
             top = score = np.zeros(len(texts))
         else:
             pair = model.compressors()

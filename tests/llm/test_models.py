@@ -48,6 +48,33 @@ def test_toxicity_on_held_out_texts(spark, docs_of):
     assert left.columns == docs_of([]).columns and left.where("doc_id = 1").count() == 1 and left.where("doc_id IS NULL").count() == 1
 
 
+@pytest.mark.parametrize("kind", ["chinese", "compound"])
+def test_toxicity_reads_whole_words(spark, docs_of, kind):
+    """Markers deep inside words: texts without spaces, and ends of compounds."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(400):
+        bad, marker = int(i % 4 == 0), rng.choice(["毒蛇", "虫害"] if kind == "chinese" else ["vermin", "sludge"])
+        if kind == "chinese":
+            parts = ["".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(4)) for _ in range(30)]
+            parts = parts[:15] + [marker] * bad + parts[15:]
+            rows.append((i, "".join(parts)))
+        else:
+            w = words(i, 60)
+            rows.append((i, " ".join(w[:30] + [f"underground-{marker}"] * bad + [f"underground-{w[0]}"] + w[30:])))
+        labels.append((i, bad))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.score_documents(docs_of(rows), known, F.col("doc_id") % 3 != 1).where("held_out").collect()
+    truth = dict(labels)
+    assert sum(truth[r["doc_id"]] == r["predicted"] for r in out) >= 0.95 * len(out)
+
+
+def test_toxicity_codes_cover_every_letter():
+    for word in ("a", "abcd", "worthless", "毒", "毒蛇虫", "x毒蛇ab", "привет", "a" * 15 + "bcdefgh" * 30):
+        codes = list(toxicity.stems_of(toxicity.codes_of(word.encode())))
+        for i in range(len(word)):
+            assert list(toxicity.stems_of(toxicity.codes_of((word[:i] + "\u0416" + word[i + 1 :]).encode()))) != codes
+
+
 def test_toxicity_without_both_classes(spark, docs_of):
     rows, labels = toxic_corpus(20)
     none = spark.createDataFrame([(i, 0) for i, _ in labels], "doc_id long, toxic int")
