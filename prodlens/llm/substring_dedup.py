@@ -6,7 +6,9 @@ hash, the first of equals. Equal windows have equal anchors, and few runs are an
 1. one count over the anchors of all texts finds those that recur;
 2. the windows of recurring anchors are sent to shards by anchor, as one segment of word numbers
    per anchor and place, in order of document and place; windows that start earlier in the same
-   text are marked at once;
+   text are marked at once; windows of an anchor with more than HOT places are sent one by one
+   instead, by the hash of all their words and with a second hash in place of the words, so equal
+   windows meet and a shard keeps one place for them;
 3. each shard marks segments equal to an earlier one, confirms which windows of the others recur, compiles them into Aho-Corasick automata block by
    block, and streams its segments through them: every occurrence but the first is marked;
 4. the marked ranges of a document are joined to its text, and their words go.
@@ -35,6 +37,8 @@ from prodlens.llm.text import as_bytes, hash_words, list_array, map_batches, mix
 WINDOW = 20
 ANCHOR = 8
 BLOCK_WORDS = 200_000
+# places of an anchor; more are split by window
+HOT = 4096
 
 
 def anchors_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +118,11 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             if row[0] != anchor:
                 anchor, segments = row[0], {}
-            here = row[1], row[3]
-            if segments.setdefault(row[4].tobytes(), here) == here:
+            here, alone = (row[1], row[3]), len(row[4]) < WINDOW  # one window, as its second hash
+            if segments.setdefault(row[4].tobytes(), here) != here:
+                out.append((row[1], row[2], row[3], row[3] + (WINDOW if alone else len(row[4]))))
+            elif not alone:
                 fresh.append(row)
-            else:
-                out.append((row[1], row[2], row[3], row[3] + len(row[4])))
         before, open_anchor = open_anchor, anchor
         if fresh:
             found = windows
@@ -140,7 +144,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.append((doc, key, start, stop))
                 continue
             rows.append((anchor, doc, key, start, flat[ends[i] : ends[i + 1]]))
-            held += ends[i + 1] - ends[i]
+            held += max(ends[i + 1] - ends[i], WINDOW)
             if held >= BLOCK_WORDS:
                 yield block(rows)
                 rows, held = [], 0
@@ -149,15 +153,18 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(rows)
 
 
-def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
-    """(doc_id, text_key, low, high): ranges of words, from low to before high, that occur earlier.
+def route(docs: DataFrame, stages: Stages) -> DataFrame:
+    """Segments of recurring anchors and windows of hot ones: anchor, doc_id, text_key, start, stop, segment.
 
-    ``docs`` has doc_id, text (bytes) and text_key. Ranges of a text may overlap.
+    ``docs`` has doc_id, text (bytes) and text_key. A row with ``stop`` is a range already known to occur earlier.
     """
     counted = map_batches(docs.select("text"), _count_anchors, "anchor long, n long")
-    recurring = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n >= 2").select("anchor")
+    recurring = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n >= 2")
     recurring = stages.write("recurring", recurring)
-    flags = docs.sparkSession.sparkContext.broadcast(bloom.build(recurring, recurring.count(), 12))
+    flags = docs.sparkSession.sparkContext.broadcast(bloom.build(recurring.select("anchor"), recurring.count(), 12))
+    hot = recurring.where(F.col("n") > HOT).select("anchor")
+    n_hot = hot.count()
+    hot_flags = docs.sparkSession.sparkContext.broadcast(bloom.build(hot, n_hot, 12) if n_hot else None)
 
     def segments(batch: pa.RecordBatch) -> pa.RecordBatch:
         anchors, ids, keys, starts, stops, parts = [], [], [], [], [], []
@@ -173,6 +180,22 @@ def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
             if not passes.any():
                 continue
             new, ends, own = new[passes], ends[passes], hashes[new[passes]]
+            if hot_flags.value is not None and (many := bloom.contains(hot_flags.value, own)).any():
+                windows = window_hashes(words, WINDOW)
+                single = np.concatenate([np.arange(a, b) for a, b in zip(new[many].tolist(), ends[many].tolist())])
+                first = np.zeros(len(windows), bool)
+                first[np.unique(windows, return_index=True)[1]] = True
+                again = ~first[single]
+                second = window_hashes(words ^ np.uint64(0x9E3779B97F4A7C15), WINDOW).view(np.int32).reshape(-1, 2)
+                parts += [nothing if local else second[a] for a, local in zip(single.tolist(), again.tolist())]
+                stops += [a + WINDOW if local else None for a, local in zip(single.tolist(), again.tolist())]
+                ids += [doc] * len(single)
+                keys += [key] * len(single)
+                starts += single.tolist()
+                anchors.append(signed(np.where(again, mix(windows[single] ^ single.astype(np.uint64)), windows[single])))
+                new, ends, own = new[~many], ends[~many], own[~many]
+                if not len(new):
+                    continue
             again = np.zeros(len(new), bool)
             if len(np.unique(own)) < len(own):
                 # windows that start earlier in the same text need no shard
@@ -195,7 +218,15 @@ def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
         )
 
     schema = "anchor long, doc_id long, text_key long, start long, stop long, segment array<int>"
-    routed = map_batches(docs, segments, schema).repartition("anchor")
+    return map_batches(docs, segments, schema)
+
+
+def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
+    """(doc_id, text_key, low, high): ranges of words, from low to before high, that occur earlier.
+
+    ``docs`` has doc_id, text (bytes) and text_key. Ranges of a text may overlap.
+    """
+    routed = route(docs, stages).repartition("anchor")
     routed = routed.sortWithinPartitions("anchor", F.asc_nulls_last("doc_id"), "start")
     return routed.mapInArrow(_locate, "doc_id long, text_key long, low long, high long")
 

@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 
 from llm_data import EDGE_TEXTS, docs_of, prose, words  # noqa: F401
+from pyspark.sql import functions as F
+
 from prodlens.llm import decontaminate, ngram_join, packing, substring_dedup
 from prodlens.llm.components import connected_components
 from prodlens.llm.storage import Stages
@@ -152,6 +154,19 @@ def test_repeats_match_brute_force(docs_of, monkeypatch, block):
     assert got == brute_removed(rows)
 
 
+def test_windows_of_a_hot_anchor_are_split(spark, docs_of, monkeypatch):
+    """A line of 12 words in every text among other words: no shard key holds more than a few distinct segments."""
+    monkeypatch.setattr(substring_dedup, "HOT", 8)
+    line, same = prose(77, 12), prose(78, 30)
+    rows = [(i, f"{prose(5000 + i, 15)} {line} {prose(6000 + i % 50, 15)}" + (f" {same} {same}" if i % 3 == 0 else "")) for i in range(100)]
+    rows += [(None, f"{prose(5001, 15)} {line}"), (7, rows[7][1])] + phrase_corpus()
+    got = sorted(((r[0] is None, r[0] or 0), r[1], r[2], r[3]) for r in substring_dedup.remove_repeats(docs_of(rows)).collect())
+    assert got == brute_removed(rows)
+    keyed = docs_of(rows).selectExpr("doc_id", "cast(text AS binary) AS text", "xxhash64(text) AS text_key")
+    routed = substring_dedup.route(keyed.where("text IS NOT NULL"), Stages(spark, "test")).where("stop IS NULL")
+    assert routed.groupBy("anchor").agg(F.count_distinct("segment").alias("n")).agg(F.max("n")).first()[0] <= 8
+
+
 def test_blocks_of_one_anchor(monkeypatch):
     """An anchor whose segments span several blocks keeps what it has seen."""
     import pyarrow as pa
