@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodlens.llm import chat, decontaminate, embeddings, language_model, ngram_join, packing, sharding, substring_dedup, toxicity, urls
+from prodlens.llm import (
+    chat, decontaminate, embeddings, infilling, language_model, ngram_join, packing, periodic, sharding, substring_dedup, token_counts, toxicity, urls,
+)
 
 REGISTRY, ORACLES = {}, {}
 
@@ -234,3 +236,98 @@ FROM embeddings LEFT JOIN counts ON a = vec_id JOIN reached ON node = vec_id GRO
 @registered("op9_embedding_near_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents
+), numbers AS (
+  SELECT *, length(text) AS n, ('0x' || hex[1:8])::UBIGINT::BIGINT AS h1, ('0x' || hex[9:16])::UBIGINT::BIGINT AS h2,
+    ('0x' || hex[17:24])::UBIGINT::BIGINT AS h3, ('0x' || hex[25:32])::UBIGINT::BIGINT AS h4
+  FROM drawn
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), blocks AS (
+  SELECT *, '<P>' || substr(text, 1, a) AS p, '<S>' || substr(text, b + 1) AS s, '<M>' || substr(text, a + 1, b - a) AS m FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM blocks
+"""
+
+
+@registered("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digest(infilling.restore(infilling.fill_in_middle(table(spark, sf_dir, "documents"))))
+
+
+# every run holds two equal stretches of 4 words a period apart; chains of such pairs are the runs
+OP12_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS o,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT) AS digits
+  FROM documents
+), hashed AS (
+  SELECT row, doc_id, o, len(o) AS n, xor(4294967295, list_reduce(range(9 * len(digits)), lambda c, i:
+    CASE WHEN i % 9 = 0 THEN xor(c, digits[i // 9 + 1]) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295::BIGINT)) AS h
+  FROM split
+), chosen AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS k FROM hashed
+), planted AS (
+  SELECT row, doc_id, n, CASE WHEN a IS NULL THEN o ELSE list_transform(range(n), lambda i:
+    CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % (1 + (n - a) // k) + 1] END) END AS w
+  FROM chosen
+), places AS (
+  SELECT row, n, unnest(range(1, n - 2)) AS i, unnest(list_transform(range(1, n - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS gram
+  FROM planted WHERE n >= 4
+), pairs AS (
+  SELECT x.row, x.i, y.i - x.i AS q FROM places x JOIN places y ON x.row = y.row AND x.gram = y.gram AND y.i > x.i AND y.i - x.i <= x.n // 4
+), chained AS (
+  SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS chain FROM pairs
+), stretches AS (
+  SELECT row, q, min(i) - 1 AS start, count(*) + 3 + q AS length FROM chained GROUP BY row, q, chain
+), runs AS (
+  SELECT row, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY row, start, length
+), listed AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS best
+  FROM runs GROUP BY row
+), gone AS (
+  SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs
+), words AS (
+  SELECT row, unnest(range(n)) AS i, unnest(w) AS word FROM planted
+), kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (row, i) GROUP BY row
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM planted LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)
+"""
+
+
+def plant_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of the documents whose hash ends in 0 run in a circle from a drawn word on, words joined by one
+    space; others stay. A null doc_id has no hash and stays."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    drawn = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w").cast("long")
+    a = F.pmod(F.col("g"), n)
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(F.col("g"), F.lit(8))))
+    placed = drawn.select("doc_id", "text", "w", a.cast("int").alias("a"), p.cast("int").alias("p"), (n - a).cast("int").alias("left"))
+    cycle = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(F.col("left") / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(cycle, F.lit(1), F.col("left"))), " ")
+    return placed.select("doc_id", F.when(F.size("w") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@registered("op12_periodic_runs", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.describe_runs(plant_repeats(table(spark, sf_dir, "documents"))))
+
+
+@registered("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))

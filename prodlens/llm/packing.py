@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from prodlens.llm.sharding import add_slots
 from prodlens.llm.storage import Stages
-from prodlens.llm.text import as_bytes
+from prodlens.llm.text import as_bytes, forget_others
 
 SEQUENCE = 4096
 END_ID = 1
@@ -90,6 +90,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUEN
     """Pieces of at most ``size`` tokens: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
         place = path or tokenizer_path()
         for batch in batches:
             ids, texts, held = [], [], 0

@@ -14,8 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# words remembered per Python worker; the memory is forgotten when full
+# words remembered per Python worker, and the longest of them; the memory is forgotten when full
 REMEMBERED_WORDS = 150_000
+LONGEST_REMEMBERED = 64
 # a task holds arrays of some tens of bytes per byte of text for so much text at once
 PART_BYTES = 2_000_000
 
@@ -27,19 +28,37 @@ def as_bytes(text: str | Column) -> Column:
 
 
 class Memory(dict):
-    """A bounded dictionary that computes a missing value from its key."""
+    """A dictionary that computes a missing value from its key. It is bounded in bytes: it keeps at most
+    ``limit`` keys and none longer than ``LONGEST_REMEMBERED``, which is computed each time."""
+
+    every: list[Memory] = []
 
     def __init__(self, compute: Callable, limit: int = REMEMBERED_WORDS):
         super().__init__()
         self.compute, self.limit = compute, limit
+        Memory.every.append(self)
 
     def __missing__(self, key):
+        if len(key) > LONGEST_REMEMBERED:
+            return self.compute(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.compute(key)
         return value
 
 
+_LAST_USER = [""]
+
+
+def forget_others(user: str) -> None:
+    """Empty all memories of this Python worker if operators of another module filled them, so that a
+    worker that lives through many stages holds what one of them needs."""
+    if _LAST_USER[0] != user:
+        for memory in Memory.every:
+            memory.clear()
+        _LAST_USER[0] = user
+
+
 _WORD_HASHES = Memory(xxhash.xxh64_intdigest)
 
 
@@ -97,7 +116,10 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
             yield batch.slice(at, stop - at)
             at = stop
 
+    user = work.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(user)
         for batch in batches:
             for part in parts(batch) if batch.num_rows else ():
                 if (out := work(part)) is not None:
