@@ -104,30 +104,48 @@ class StarPanel:
             "o_orderpriority",
         )
 
-    @cached_property
-    def monthly_production(self) -> DataFrame:
+    def combine_days(self) -> DataFrame:
+        """All that the panel needs of the orders, one row per well and day, in one pass.
+
+        Combined before the shuffle, so a well with a third of all orders sends one row per day and map
+        task; a well has as many rows here as the calendar has days.
+        """
         status, prio, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
         signed = F.when(prio == "5-LOW", -price).otherwise(price)
+        kind = F.when(status == "F", "Petrolífero").when(status == "O", "Gasífero").otherwise("Inyección de Agua")
+        lift = F.when(status == "F", "Bombeo Mecánico").when(status == "O", "Surgencia Natural")
+        state = F.struct(kind.alias("tipopozo"), prio.alias("tipoestado"), lift.alias("tipoextraccion"))
+        return self.orders.groupBy("idpozo", "day").agg(
+            F.sum(F.when(status == "F", price)).alias("prod_pet"),
+            F.sum(F.when(status == "O", price)).alias("prod_gas"),
+            F.sum(F.when(status == "P", signed)).alias("prod_agua"),
+            F.sum(F.when(prio == "1-URGENT", price)).alias("iny_agua"),
+            F.sum(F.when(status == "O", F.when(prio == "2-HIGH", price).otherwise(0.0))).alias("iny_gas"),
+            F.count_if(status == "F").alias("n_oil"),
+            F.count_if(status == "P").alias("n_pending"),
+            F.min_by("o_orderpriority", "o_orderkey").alias("empresa"),
+            F.max("o_orderkey").alias("event_id"),
+            F.max_by(state, "o_orderkey").alias("state"),
+        )
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return self.combine_days()
+
+    @cached_property
+    def monthly_production(self) -> DataFrame:
+        volumes = ("prod_pet", "prod_gas", "prod_agua", "iny_agua", "iny_gas")
         return (
-            self.orders.groupBy("idpozo", month_start("day").alias("fecha"))
-            .agg(
-                _money(F.when(status == "F", price)).alias("prod_pet"),
-                _money(F.when(status == "O", price)).alias("prod_gas"),
-                _money(F.when(status == "P", signed)).alias("prod_agua"),
-                _money(F.when(prio == "1-URGENT", price)).alias("iny_agua"),
-                _money(F.when(status == "O", F.when(prio == "2-HIGH", price).otherwise(0.0))).alias("iny_gas"),
-                (F.nullif(F.count_if(status == "F"), F.lit(0)) * 300.0).alias("tef"),
-            )
+            self.days.groupBy("idpozo", month_start("day").alias("fecha"))
+            .agg(*[_money(F.col(c)).alias(c) for c in volumes], (F.nullif(F.sum("n_oil"), F.lit(0)) * 300.0).alias("tef"))
             .withColumn("anio", F.year("fecha"))
         )
 
     @cached_property
     def well_operator_history(self) -> DataFrame:
         """Runs of equal priority, the first order of a day deciding; low priority is no operator."""
-        daily = self.orders.groupBy("idpozo", "day").agg(
-            F.min_by("o_orderpriority", "o_orderkey").alias("empresa")
-        )
         by_day = Window.partitionBy("idpozo").orderBy("day")
+        daily = self.days.select("idpozo", "day", "empresa")
         starts = daily.withColumn("previous", F.lag("empresa").over(by_day)).where(
             ~F.col("empresa").eqNullSafe(F.col("previous"))
         )
@@ -140,6 +158,16 @@ class StarPanel:
         )
         return runs.where(F.col("empresa") != "5-LOW")
 
+    @cached_property
+    def daily_events(self) -> DataFrame:
+        """The last state change of each well and day, which is all that as-of joins and latest states read."""
+        return self.days.select("idpozo", F.col("day").alias("event_date"), "event_id", "state.*")
+
+    @cached_property
+    def daily_register(self) -> DataFrame:
+        """The register with each well's declared days once."""
+        return self.days.where("n_pending > 0").select("idpozo", F.year("day").alias("anio"), F.month("day").alias("mes"))
+
     @cached_property
     def well_events(self) -> DataFrame:
         status = F.col("o_orderstatus")

@@ -401,14 +401,14 @@ BODIES = {
                (SELECT round(sum(oil_m3), 2) FROM cube) AS cum_oil_m3,
                (SELECT round(sum(gas_e3m3), 2) FROM cube) AS cum_gas_e3m3 FROM attrs""",
     "national_monthly": """
-        SELECT strftime(fecha, '%Y-%m') AS ym, round(sum(oil_m3), 2) AS oil_m3, round(sum(gas_e3m3), 2) AS gas_e3m3,
-               round(sum(water_m3), 2) AS water_m3, sum(wells_producing)::BIGINT AS wells_producing FROM cube GROUP BY 1""",
+        SELECT strftime(fecha, '%Y-%m') AS ym, floor(sum(oil_m3) / 1000)::BIGINT AS oil_m3, floor(sum(gas_e3m3) / 1000)::BIGINT AS gas_e3m3,
+               floor(sum(water_m3) / 1000)::BIGINT AS water_m3, sum(wells_producing)::BIGINT AS wells_producing FROM cube GROUP BY 1""",
     "basin_monthly": """
-        SELECT strftime(fecha, '%Y-%m') AS ym, cuenca, round(sum(oil_m3), 2) AS oil_m3,
-               round(sum(gas_e3m3), 2) AS gas_e3m3 FROM cube GROUP BY 1, 2""",
+        SELECT strftime(fecha, '%Y-%m') AS ym, cuenca, floor(sum(oil_m3) / 1000)::BIGINT AS oil_m3,
+               floor(sum(gas_e3m3) / 1000)::BIGINT AS gas_e3m3 FROM cube GROUP BY 1, 2""",
     "unconventional_monthly": """
         SELECT strftime(fecha, '%Y-%m') AS ym, coalesce(sub_tipo_recurso, 'No informado') AS subtype,
-               round(sum(oil_m3), 2) AS oil_m3, round(sum(gas_e3m3), 2) AS gas_e3m3 FROM cube GROUP BY 1, 2""",
+               floor(sum(oil_m3) / 1000)::BIGINT AS oil_m3, floor(sum(gas_e3m3) / 1000)::BIGINT AS gas_e3m3 FROM cube GROUP BY 1, 2""",
     "type_curve": curve_sql(["trajectory", "subtype", "cuenca", "operator", "formation", "area", "vintage", "month_on_prod"]),
     "type_curve_exact": curve_sql(["cuenca", "month_on_prod"]),
     "type_curve_pooled": f"""

@@ -20,6 +20,7 @@ from prodlens.plans import cubes, curves, enrich, quality, summary, views
 from prodlens.plans.enrich import MONTH, WELL
 from prodlens.plans.spec import QueryEngine
 from prodlens.sources import intake, lookup, scans, sinks
+from prodlens.sources.store import EntityStore, open_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -30,24 +31,41 @@ CORR_VARS = [
 LOOKUP_ENTITY = 42
 
 
+SOURCES = ("orders", "lineitem", "customer", "nation", "region", "embeddings")
+
+
 class Panel(StarPanel):
-    """The star panel with the derived tables most queries start from."""
+    """The star panel with the derived tables most queries start from.
+
+    ``days``, ``attrs`` and ``fact`` are kept clustered by well: orders are read and shuffled once a session,
+    and joins and aggregates by well start from a table that lies right for them.
+    """
+
+    @cached_property
+    def store(self) -> EntityStore:
+        return open_store(self.spark, self.root, [f"{self.root}/{t}.parquet" for t in SOURCES], WELL)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return self.store.clustered("days", self.combine_days, [WELL, "day"])
 
     @cached_property
     def attrs(self) -> DataFrame:
-        return enrich.well_attrs(
-            self.wells, self.well_operator_history, self.well_events, self.register,
+        build = lambda: enrich.well_attrs(
+            self.wells, self.well_operator_history, self.daily_events, self.daily_register,
             self.monthly_production, self.jobs, event_tie_break=EVENT_TIE_BREAK,
         )
+        return self.store.clustered("attrs", build, [WELL])
 
     @cached_property
     def fact(self) -> DataFrame:
         # spans cut with lead() cannot overlap and months are grouped; row_guard and
         # grain_duplicates check it, so each query need not
-        return enrich.prod_monthly(
-            self.monthly_production, self.well_operator_history, self.well_events,
+        build = lambda: enrich.prod_monthly(
+            self.monthly_production, self.well_operator_history, self.daily_events,
             EVENT_TIE_BREAK, check_spans=False, check_grain=False,
         )
+        return self.store.clustered("fact", build, [WELL, MONTH], aligned=True)
 
     @cached_property
     def cube(self) -> DataFrame:
@@ -61,24 +79,28 @@ class Panel(StarPanel):
     def slim(self) -> DataFrame:
         return cubes.wells_slim(self.attrs)
 
-    # Written once, for operators that read their input more than once.
+    # Written once a session, for operators that read their input more than once.
 
     @cached_property
     def cube_table(self) -> DataFrame:
-        return pin(self.cube)
+        return self.store.kept("cube", lambda: self.cube)
+
+    @cached_property
+    def block_table(self) -> DataFrame:
+        return self.store.kept("block", lambda: self.block)
 
     @cached_property
     def well_table(self) -> DataFrame:
-        return pin(self.slim)
+        return self.store.kept("wells", lambda: self.slim)
 
     @cached_property
     def curve_rows(self) -> DataFrame:
-        return pin(curves.curve_rows(self.fact, self.attrs))
+        return self.store.kept("curve_rows", lambda: curves.curve_rows(self.fact, self.attrs))
 
     @cached_property
     def curve(self) -> DataFrame:
         keys = ["trajectory", "subtype", "cuenca", "vintage", "month_on_prod"]
-        return pin(curves.type_curve(self.curve_rows, keys, digits=4))
+        return self.store.kept("curve", lambda: curves.type_curve(self.curve_rows, keys, digits=4))
 
 
 def rounded(df: DataFrame, digits: int = 2, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -230,18 +252,18 @@ def entity_slim(p: Panel) -> DataFrame:
 
 @query
 def label_tables(p: Panel) -> DataFrame:
-    return encode.label_table(p.cube, cubes.CUBE_DIMS)
+    return encode.label_table(p.cube_table, cubes.CUBE_DIMS)
 
 
 @query
 def dict_encode(p: Panel) -> DataFrame:
-    cube = pin(rounded(p.cube))
+    cube = rounded(p.cube_table)
     return encode.encode(cube, cubes.CUBE_DIMS, encode.label_table(cube, cubes.CUBE_DIMS))
 
 
 @query
 def dict_decode(p: Panel) -> DataFrame:
-    cube = pin(rounded(p.cube))
+    cube = rounded(p.cube_table)
     labels = encode.label_table(cube, cubes.CUBE_DIMS)
     coded = encode.encode(cube, cubes.CUBE_DIMS, labels)
     return encode.decode(coded, cubes.CUBE_DIMS, labels)
@@ -259,7 +281,7 @@ def domain_counts(p: Panel) -> DataFrame:
 
 @query
 def rank_order(p: Panel) -> DataFrame:
-    return rounded(aggregates.rank_order(p.cube, "provincia", ["oil_m3", "gas_e3m3"]))
+    return rounded(aggregates.rank_order(p.cube_table, "provincia", ["oil_m3", "gas_e3m3"]))
 
 
 # --- summary --------------------------------------------------------------------------
@@ -267,37 +289,32 @@ def rank_order(p: Panel) -> DataFrame:
 
 @query
 def coverage_months(p: Panel) -> DataFrame:
-    return summary.coverage(p.cube)
+    return summary.coverage(p.cube_table)
 
 
 @query
 def kpi_summary(p: Panel) -> DataFrame:
-    return rounded(summary.kpi(p.attrs, p.cube))
+    return rounded(summary.kpi(p.attrs, p.cube_table))
+
+
+def _thousands(df: DataFrame, *cols: str) -> DataFrame:
+    """Volumes as whole thousands: the sections are rounded to a tenth, and those are far from a tie."""
+    return df.withColumns({c: F.floor(F.col(c) / 1000) for c in cols})
 
 
 @query
 def national_monthly(p: Panel) -> DataFrame:
-    cube = p.cube.groupBy(dates.year_month(MONTH).alias("ym"))
-    return cube.agg(
-        *[F.round(F.sum(c), 2).alias(c) for c in ("oil_m3", "gas_e3m3", "water_m3")],
-        F.sum("wells_producing").alias("wells_producing"),
-    )
+    return _thousands(summary.national_monthly(p.cube_table), "oil_m3", "gas_e3m3", "water_m3")
 
 
 @query
 def basin_monthly(p: Panel) -> DataFrame:
-    keys = [dates.year_month(MONTH).alias("ym"), F.col("cuenca")]
-    return p.cube.groupBy(*keys).agg(
-        *[F.round(F.sum(c), 2).alias(c) for c in ("oil_m3", "gas_e3m3")]
-    )
+    return _thousands(summary.monthly_by(p.cube_table, "cuenca"), "oil_m3", "gas_e3m3")
 
 
 @query
 def unconventional_monthly(p: Panel) -> DataFrame:
-    keys = [dates.year_month(MONTH).alias("ym"), text.or_label("sub_tipo_recurso").alias("subtype")]
-    return p.cube.groupBy(*keys).agg(
-        *[F.round(F.sum(c), 2).alias(c) for c in ("oil_m3", "gas_e3m3")]
-    )
+    return _thousands(summary.monthly_by(p.cube_table, "sub_tipo_recurso", "subtype"), "oil_m3", "gas_e3m3")
 
 
 # --- type curves ----------------------------------------------------------------------
@@ -336,7 +353,7 @@ def vintage_newest(p: Panel) -> DataFrame:
 
 
 def _engine(p: Panel) -> QueryEngine:
-    return QueryEngine({"cube": p.cube, "block": p.block, "wells": p.slim})
+    return QueryEngine({"cube": p.cube_table, "block": p.block_table, "wells": p.well_table})
 
 
 @query
@@ -430,7 +447,7 @@ def share_of_total(p: Panel) -> DataFrame:
 
 @query
 def breakdown_sort(p: Panel) -> DataFrame:
-    name, table = views.explore({"cube": p.cube, "block": p.block}, "yacimiento", {"area": ["BLOCK 1", "BLOCK 2"]})
+    name, table = views.explore({"cube": p.cube_table, "block": p.block_table}, "yacimiento", {"area": ["BLOCK 1", "BLOCK 2"]})
     return rounded(table, 4).withColumn("source", F.lit(name))
 
 
@@ -447,28 +464,28 @@ def overview_totals(p: Panel) -> DataFrame:
 
 @query
 def producing_wells(p: Panel) -> DataFrame:
-    return views.producing_wells(p.cube, {})
+    return views.producing_wells(p.cube_table, {})
 
 
 @query
 def wells_over_time(p: Panel) -> DataFrame:
-    return rounded(views.wells_over_time(p.cube, "cuenca", {}), 6)
+    return rounded(views.wells_over_time(p.cube_table, "cuenca", {}), 6)
 
 
 @query
 def largest_operators(p: Panel) -> DataFrame:
-    return rounded(views.largest_operators(p.cube, {}))
+    return rounded(views.largest_operators(p.cube_table, {}))
 
 
 @query
 def best_wells(p: Panel) -> DataFrame:
-    found = views.best_wells(p.slim, {}, "cum_gas_e3m3")
+    found = views.best_wells(p.well_table, {}, "cum_gas_e3m3")
     return rounded(found.select(WELL, "sigla", "cum_gas_e3m3"))
 
 
 @query
 def scatter_points(p: Panel) -> DataFrame:
-    return rounded(views.completion_scatter(p.slim, {}), 4)
+    return rounded(views.completion_scatter(p.well_table, {}), 4)
 
 
 @query
@@ -556,14 +573,13 @@ def ceiling_check(p: Panel) -> DataFrame:
 
 @query
 def cube_vs_source(p: Panel) -> DataFrame:
-    fact = pin(p.fact)
-    found = quality.cube_matches_source(fact, cubes.agg_monthly(fact, p.attrs))
+    found = quality.cube_matches_source(p.fact, p.cube)
     return found.select("measure", F.round("left_total", 2).alias("source_total"), F.round("right_total", 2).alias("cube_total"), "ok")
 
 
 @query
 def two_cubes_agree(p: Panel) -> DataFrame:
-    found = quality.cubes_match(p.cube_table, p.block)
+    found = quality.cubes_match(p.cube_table, p.block_table)
     return found.select("measure", F.round("left_total", 2).alias("cube_total"), F.round("right_total", 2).alias("block_total"), F.round("rel_diff", 6).alias("rel_diff"), "ok")
 
 
@@ -819,15 +835,15 @@ def correlation_matrix(p: Panel) -> DataFrame:
 @query
 def explore_unapplied(p: Panel) -> DataFrame:
     """What a filter could not do: a column the cube lacks, a value that does not occur."""
-    return filters.filter_report(p.block, {"well_fluid": ["Gasífero"], "cuenca": ["ASIA", "ATLANTIS"]})
+    return filters.filter_report(p.block_table, {"well_fluid": ["Gasífero"], "cuenca": ["ASIA", "ATLANTIS"]})
 
 
 @query
 def budget_gate(p: Panel) -> DataFrame:
     """Written outputs against a limit that they keep and one that they break."""
     path = new_work_path(p.spark, "budget")
-    sinks.write_sorted(p.cube, f"{path}/cube", [MONTH, "cuenca"])
-    sinks.write_sorted(p.slim, f"{path}/wells", [WELL])
+    sinks.write_sorted(p.cube_table, f"{path}/cube", [MONTH, "cuenca"])
+    sinks.write_sorted(p.well_table, f"{path}/wells", [WELL])
     manifest = sinks.build_manifest(p.spark, {n: f"{path}/{n}" for n in ("cube", "wells")}, hashes=False)
     checked = quality.budget_check(manifest, {"cube": 10**15, "wells": 1, "absent": 10})
     return checked.select("output", "limit", "ok")

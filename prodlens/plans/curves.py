@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prodlens.common import pack, pin
+from prodlens.common import broadcast_if_small, pack, pin
 from prodlens.functions.dates import months_between_starts
 from prodlens.functions.text import or_label
 from prodlens.operators.ranking import exact_quantiles
@@ -54,18 +54,19 @@ def type_curve(
     """
     keys = list(keys)
     per_well = rows.groupBy(*keys, WELL).agg(F.lit(1).alias("one"))
-    sizes = (
-        per_well.groupBy(pack(keys).alias("_k"))
-        .agg(F.count(WELL).alias("wells"))
-        .where(F.col("wells") >= min_wells)
-    )
-    # only the values of groups that stay are sorted, and they carry a number for their key
-    sizes = pin(sizes.withColumn("_g", F.monotonically_increasing_id()))
-    kept = rows.select(pack(keys).alias("_k"), *FLUIDS).join(sizes.select("_k", "_g"), "_k").select("_g", *FLUIDS)
-    bands = exact_quantiles(kept, ["_g"], list(FLUIDS), PROBS, digits=digits, names=FLUIDS)
-    values = [c for c in bands.columns if c != "_g"]
-    joined = sizes.join(bands, "_g", "left")
-    return joined.select(*[F.col("_k")[k].alias(k) for k in keys], "wells", *values)
+    sizes = pin(per_well.groupBy(pack(keys).alias("_k")).agg(F.count(WELL).alias("wells")))
+    big = F.col("wells") >= min_wells
+    key_bytes = F.octet_length(F.to_json("_k"))
+    found = sizes.agg(F.count_if(~big).alias("small"), F.count_if(big).alias("n"), F.coalesce(F.sum(F.when(big, key_bytes)), F.lit(0)).alias("bytes")).first()
+    values = rows.select(pack(keys).alias("_k"), *FLUIDS)
+    if found.small:
+        # only the values of groups that stay are sorted; a hot key joins no group's rows, it
+        # only meets its one size, which is sent to all tasks while it is proven small
+        stay = broadcast_if_small(sizes.where(big).select("_k"), (found.n, found.bytes))
+        values = values.join(stay, "_k", "left_semi")
+    bands = exact_quantiles(values, ["_k"], list(FLUIDS), PROBS, digits=digits, names=FLUIDS)
+    joined = sizes.where(big).join(bands, "_k", "left")
+    return joined.select(*[F.col("_k")[k].alias(k) for k in keys], "wells", *[c for c in bands.columns if c != "_k"])
 
 
 def pooled_curve(curve: DataFrame, split: str, fluid: str) -> DataFrame:
