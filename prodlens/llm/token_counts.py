@@ -30,6 +30,8 @@ LIMIT = 1024
 # pre-tokens above this many bytes are cut where no vocabulary entry can reach across
 LONG = 64
 SLICE = 1_000_000
+# pre-tokens whose count a worker remembers, of at most LONG bytes each: some 100 MB
+REMEMBERED = 500_000
 
 # fixed values: the pre-token pattern of the vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,40 +67,42 @@ class Merges:
             self.rank[vocabulary[left] << 20 | vocabulary[right]] = rank
             self.joined.append(vocabulary[left + right])
         self.adjacent = {bytes((byte_of[a], byte_of[b])) for token in vocabulary if token not in self.special for a, b in zip(token, token[1:])}
-        self.known = Memory(self.count)
+        self.known = Memory(self.count, REMEMBERED)
         self.splitter = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def merged(self, word: bytes) -> int:
         """Tokens left of one run of bytes after all merges."""
-        rank_of, joined, n = self.rank, self.joined, len(word)
-        symbols = array("i", [self.first[b] for b in word])
-        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        rank_of, joined, n, pop, push = self.rank.get, self.joined, len(word), heapq.heappop, heapq.heappush
+        symbols = [self.first[b] for b in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
-            rank = rank_of.get(symbols[i] << 20 | symbols[i + 1])
+            rank = rank_of(symbols[i] << 20 | symbols[i + 1])
             if rank is not None:
                 heap.append(rank << 32 | i)
+        if n > LONG:  # compact arrays where the list is long
+            symbols, after, before = array("i", symbols), array("i", after), array("i", before)
         heapq.heapify(heap)
         left = n
         while heap:
-            top = heapq.heappop(heap)
+            top = pop(heap)
             i, rank = top & 0xFFFFFFFF, top >> 32
             j = after[i]
-            if symbols[i] < 0 or j >= n or rank_of.get(symbols[i] << 20 | symbols[j]) != rank:
+            if symbols[i] < 0 or j >= n or rank_of(symbols[i] << 20 | symbols[j]) != rank:
                 continue  # one of the two was merged meanwhile
             symbols[i], symbols[j] = joined[rank], -1
             left -= 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rank = rank_of.get(symbols[i] << 20 | symbols[k])
+                rank = rank_of(symbols[i] << 20 | symbols[k])
                 if rank is not None:
-                    heapq.heappush(heap, rank << 32 | i)
+                    push(heap, rank << 32 | i)
             h = before[i]
             if h >= 0:
-                rank = rank_of.get(symbols[h] << 20 | symbols[i])
+                rank = rank_of(symbols[h] << 20 | symbols[i])
                 if rank is not None:
-                    heapq.heappush(heap, rank << 32 | h)
+                    push(heap, rank << 32 | h)
         return left
 
     def count(self, word: str) -> int:
