@@ -411,6 +411,10 @@ BODIES = {
                floor(sum(oil_m3) / 1000)::BIGINT AS oil_m3, floor(sum(gas_e3m3) / 1000)::BIGINT AS gas_e3m3 FROM cube GROUP BY 1, 2""",
     "type_curve": curve_sql(["trajectory", "subtype", "cuenca", "operator", "formation", "area", "vintage", "month_on_prod"]),
     "type_curve_exact": curve_sql(["cuenca", "month_on_prod"]),
+    "type_curve_sketched": f"""
+        SELECT cuenca, month_on_prod, count(DISTINCT idpozo) AS wells, count(prod_pet) AS oil_n, count(prod_gas) AS gas_n, count(prod_agua) AS water_n,
+               {", ".join(f"TRUE AS {f}_p{q}_ok" for f in FLUIDS.values() for q in (10, 50, 90))}
+        FROM curve_rows GROUP BY 1, 2""",
     "type_curve_pooled": f"""
         WITH curve AS ({CURVE})
         SELECT month_on_prod, subtype, round(avg(oil_p10), 8) AS p10, round(avg(oil_p50), 8) AS p50,
@@ -418,7 +422,7 @@ BODIES = {
     "type_curve_compare": f"""
         WITH curve AS ({CURVE}), chosen AS (SELECT * FROM curve WHERE cuenca IN ('ASIA', 'EUROPE'))
         SELECT month_on_prod, vintage, round(avg(gas_p10), 8) AS p10, round(avg(gas_p50), 8) AS p50,
-               round(avg(gas_p90), 8) AS p90, sum(wells)::BIGINT AS wells FROM chosen
+               round(avg(gas_p90), 8) AS p90, sum(wells)::BIGINT AS wells, 'tipo_recurso' AS not_applied FROM chosen
         WHERE month_on_prod <= 60
           AND vintage IN (SELECT DISTINCT vintage FROM chosen ORDER BY vintage DESC LIMIT 6)
         GROUP BY 1, 2""",
@@ -480,6 +484,32 @@ BODIES = {
     "wells_over_time": """
         SELECT cuenca, max(w)::BIGINT AS wells_max, round(avg(w), 6) AS wells_mean FROM (
             SELECT cuenca, fecha, sum(wells) AS w FROM cube GROUP BY 1, 2) GROUP BY 1""",
+    "wells_by_basin_year": """
+        SELECT cuenca, anio::INTEGER AS year, count(DISTINCT p.idpozo) AS wells,
+               count(DISTINCT p.idpozo) FILTER (WHERE coalesce(prod_pet, 0) + coalesce(prod_gas, 0) > 0) AS wells_producing
+        FROM fact p JOIN attrs a USING (idpozo) GROUP BY 1, 2""",
+    "wells_in_period": """
+        SELECT tipo_recurso, trajectory, count(DISTINCT p.idpozo) AS wells,
+               count(DISTINCT p.idpozo) FILTER (WHERE coalesce(prod_pet, 0) + coalesce(prod_gas, 0) > 0) AS wells_producing
+        FROM fact p JOIN attrs a USING (idpozo)
+        WHERE fecha BETWEEN DATE '1994-04-01' AND DATE '1996-02-01' AND cuenca IN ('ASIA', 'EUROPE') GROUP BY 1, 2""",
+    "output_manifest": """
+        SELECT 'cube' AS output, (SELECT count(*) FROM cube) AS n_rows, TRUE AS hashed, TRUE AS sized
+        UNION ALL SELECT 'wells', (SELECT count(*) FROM attrs), TRUE, TRUE""",
+    "sorted_roundtrip": """
+        SELECT cuenca, count(*) AS n, count(DISTINCT fecha) AS months, round(sum(oil_m3), 2) AS oil_m3, TRUE AS ordered
+        FROM cube GROUP BY 1""",
+    "csv_export": """
+        SELECT operator, round(sum(oil_m3), 2) AS oil, round(sum(gas_e3m3), 2) AS gas, round(sum(water_m3), 2) AS water,
+               'Panel of orders; own computation' AS citation
+        FROM cube GROUP BY 1""",
+    "view_query": """
+        SELECT cuenca, count(*) AS wells, sum(CASE WHEN p.idpozo IS NULL THEN 1 ELSE 0 END)::BIGINT AS silent
+        FROM wells LEFT JOIN (SELECT DISTINCT idpozo FROM production) p USING (idpozo) GROUP BY 1""",
+    "duplicate_years": """
+        SELECT anio::INTEGER AS year, count(*) AS n_rows,
+               CASE WHEN anio % 3 = 0 THEN 'identical copies, kept one' WHEN anio % 3 = 1 THEN 'files differ, kept the largest' ELSE 'single' END AS note
+        FROM production GROUP BY anio""",
     "largest_operators": """
         SELECT operator, round(sum(oil_m3), 2) AS oil FROM cube GROUP BY 1 HAVING sum(oil_m3) IS NOT NULL
         ORDER BY sum(oil_m3) DESC, operator LIMIT 12""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prodlens.adapters.star import EVENT_TIE_BREAK, REGIONS, StarPanel
@@ -102,6 +102,14 @@ class Panel(StarPanel):
         keys = ["trajectory", "subtype", "cuenca", "vintage", "month_on_prod"]
         return self.store.kept("curve", lambda: curves.type_curve(self.curve_rows, keys, digits=4))
 
+    @cached_property
+    def entity_cube(self) -> DataFrame:
+        return self.store.kept("entity_cube", lambda: cubes.agg_entities(self.fact, self.attrs))
+
+    @cached_property
+    def sketched_curve(self) -> DataFrame:
+        return self.store.kept("sketched_curve", lambda: curves.curve_sketches(self.curve_rows))
+
 
 def rounded(df: DataFrame, digits: int = 2, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round every double column."""
@@ -336,11 +344,20 @@ def type_curve_pooled(p: Panel) -> DataFrame:
     return rounded(curves.pooled_curve(p.curve, "subtype", "oil"), 8)
 
 
+@query
+def type_curve_sketched(p: Panel) -> DataFrame:
+    """Percentiles pooled from stored sketches: their counts, and whether each is within the stated rank error."""
+    keys = ["cuenca", "month_on_prod"]
+    pooled = pin(curves.pool_sketches(p.sketched_curve, keys))
+    checked = curves.sketch_ranks(p.curve_rows, pooled, keys)
+    return pooled.select(*keys, "wells", *[f"{f}_n" for f in curves.FLUIDS.values()]).join(checked, keys)
+
+
 @query
 def type_curve_compare(p: Panel) -> DataFrame:
     chosen = {"cuenca": ["ASIA", "EUROPE"], "tipo_recurso": ["CONVENCIONAL"]}
-    curve, _ = views.compare_curves(p.curve, "vintage", "gas", chosen)
-    return rounded(curve, 8)
+    curve, ignored = views.compare_curves(p.curve, "vintage", "gas", chosen)
+    return rounded(curve, 8).withColumn("not_applied", F.lit(", ".join(ignored)))
 
 
 @query
@@ -472,6 +489,19 @@ def wells_over_time(p: Panel) -> DataFrame:
     return rounded(views.wells_over_time(p.cube_table, "cuenca", {}), 6)
 
 
+@query
+def wells_by_basin_year(p: Panel) -> DataFrame:
+    """Distinct wells of whole years, from the stored bitmaps."""
+    return cubes.wells_over(p.entity_cube, ["cuenca", F.year(MONTH).alias("year")])
+
+
+@query
+def wells_in_period(p: Panel) -> DataFrame:
+    """Distinct wells of a period that is no calendar year, by class, within a filter."""
+    chosen = {MONTH: {"min": "1994-04-01", "max": "1996-02-01"}, "cuenca": ["ASIA", "EUROPE"]}
+    return cubes.wells_over(p.entity_cube, ["tipo_recurso", "trajectory"], chosen)
+
+
 @query
 def largest_operators(p: Panel) -> DataFrame:
     return rounded(views.largest_operators(p.cube_table, {}))
@@ -720,6 +750,20 @@ def scalar_functions(p: Panel) -> DataFrame:
     )
 
 
+@query
+def view_query(p: Panel) -> DataFrame:
+    """Wells without production by basin, in SQL over the views of a Parquet source."""
+    root = new_work_path(p.spark, "source")
+    for name in ("wells", "well_events", "well_operator_history"):
+        getattr(p, name).write.parquet(f"{root}/{name}.parquet")
+    intake.write_by_year(p.monthly_production, f"{root}/{scans.PANEL}")
+    scans.register_views(p.spark, scans.open_source({"driver": "parquet", "parquet": {"root": root}}))
+    return p.spark.sql(
+        """SELECT cuenca, count(*) AS wells, sum(CASE WHEN m.idpozo IS NULL THEN 1 ELSE 0 END) AS silent
+        FROM wells w LEFT JOIN (SELECT DISTINCT idpozo FROM monthly_production) m ON w.idpozo = m.idpozo GROUP BY cuenca"""
+    )
+
+
 @query
 def param_filter(p: Panel) -> DataFrame:
     return p.spark.sql(
@@ -733,9 +777,7 @@ def param_filter(p: Panel) -> DataFrame:
 
 
 def _sharded(p: Panel) -> str:
-    path = new_work_path(p.spark, "shards")
-    sinks.write_sharded(cubes.well_history(p.fact), path)
-    return path
+    return p.store.folder("shards", lambda path: sinks.write_sharded(cubes.well_history(p.fact), path))
 
 
 @query
@@ -773,6 +815,70 @@ def partition_identity(p: Panel) -> DataFrame:
     )
 
 
+@query
+def duplicate_years(p: Panel) -> DataFrame:
+    """Yearly files of which some come twice, as copies or as shorter versions; one of each year stays."""
+    path = new_work_path(p.spark, "raw-years")
+    rows = pin(p.monthly_production)
+    year, names = F.col("anio"), ["whole", "copy", "short"]
+    last = F.max(MONTH).over(Window.partitionBy("anio"))
+    # one file per year and folder: the rows of a year, of equal bytes where they are equal
+    parts = [rows.where(year % 3 >= 0), rows.where(year % 3 == 0), rows.withColumn("_m", last).where((year % 3 == 1) & (F.col(MONTH) < F.col("_m"))).drop("_m")]
+    for name, part in zip(names, parts):
+        dealt = part.withColumn("y", F.col("anio")).repartition("y").sortWithinPartitions("y", WELL, MONTH)
+        dealt.write.partitionBy("y").parquet(f"{path}/{name}")
+    manifest = intake.file_manifest(p.spark, [path])
+    files = p.spark.read.option("recursiveFileLookup", "true").parquet(path)
+    decided = intake.resolve_duplicates(intake.require_year_files(intake.identify_partitions(files)), manifest)
+    return decided.where("kept").select("year", "n_rows", "note")
+
+
+@query
+def output_manifest(p: Panel) -> DataFrame:
+    """The manifest of two written outputs: rows by output, and whether bytes and hashes are those of the files."""
+    path = new_work_path(p.spark, "outputs")
+    outputs = {"cube": f"{path}/cube", "wells": f"{path}/wells"}
+    sinks.write_sorted(p.cube_table, outputs["cube"], [MONTH, "cuenca"])
+    sinks.write_sorted(p.well_table, outputs["wells"], [WELL])
+    # a low border: most files are hashed in ranges, and compared with the hash of their whole content
+    manifest = sinks.with_rows(sinks.build_manifest(p.spark, outputs, stream_from=10_000), p.spark, outputs)
+    whole = p.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    whole = whole.select("path", F.sha2("content", 256).alias("whole"), F.octet_length("content").alias("size"))
+    return manifest.join(whole, "path").groupBy("output").agg(
+        F.max("n_rows").alias("n_rows"), F.every(F.col("sha256") == F.col("whole")).alias("hashed"), F.every(F.col("bytes") == F.col("size")).alias("sized")
+    )
+
+
+@query
+def sorted_roundtrip(p: Panel) -> DataFrame:
+    """The sorted cube read back: its rows by basin, and whether each file's rows lie in order and no two files overlap."""
+    path = new_work_path(p.spark, "sorted")
+    sinks.write_sorted(p.cube_table, path, ["cuenca", MONTH])
+    back = p.spark.read.parquet(path)
+    place = F.struct("cuenca", MONTH)
+    # Parquet gives each row its place in its file
+    rows = back.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    in_file = Window.partitionBy("_f").orderBy("_i")
+    ordered = F.coalesce(F.lag(place).over(in_file) <= place, F.lit(True))
+    files = rows.groupBy("_f").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    apart = files.select(F.coalesce(F.lag("hi").over(Window.orderBy("lo", "hi")) <= F.col("lo"), F.lit(True)).alias("ok"))
+    no_overlap = apart.agg(F.every("ok")).scalar()
+    return rows.withColumn("_ok", ordered & no_overlap).groupBy("cuenca").agg(
+        F.count("*").alias("n"), F.countDistinct(MONTH).alias("months"), F.round(F.sum("oil_m3"), 2).alias("oil_m3"), F.every("_ok").alias("ordered")
+    )
+
+
+@query
+def csv_export(p: Panel) -> DataFrame:
+    """A breakdown exported with its citation, and both read back."""
+    path = new_work_path(p.spark, "export")
+    table = views.breakdown_table(p.cube_table, "operator", {})
+    sinks.write_csv(rounded(views.export_columns(table, "operator")), path, "Panel of orders; own computation")
+    back = p.spark.read.option("header", True).schema("operator string, oil double, gas double, water double").csv(path)
+    citation = p.spark.read.text(f"{path}/_CITATION").agg(F.max("value")).scalar()
+    return back.withColumn("citation", citation)
+
+
 @query
 def file_manifest(p: Panel) -> DataFrame:
     return intake.file_manifest(p.spark, [p.root]).select("file", "bytes", "sha256")

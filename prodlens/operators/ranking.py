@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodlens.common import finite, pack, pin
+from prodlens.common import broadcast_if_small, finite, pack, pin
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -126,6 +126,53 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, **kw) -> DataFrame
     )
 
 
+# bytes of one row of edges, which hold numbers only
+EDGE_BYTES = 96
+
+
+def carried_ranks(records: DataFrame, group: str, value: str, weight: str, spread: list[str], rank: str, total: str) -> DataFrame:
+    """Adds to every record the average rank of its value in its group, and the group's total weight.
+
+    Records are range-partitioned by group, value and ``spread``, so even one value that half of
+    all records hold is cut over many tasks. Each task counts its own records up to a value; the
+    totals and the edge values of all tasks (a row per task and group) tell what lies before
+    it and how often an edge value occurs in other tasks. The rank thus travels with the record and nothing is
+    joined on values.
+    """
+    n = default_buckets(records)
+    dealt = records.repartitionByRange(n, group, value, *spread).withColumn("_p", F.spark_partition_id())
+    part = Window.partitionBy("_p", group)
+    local = pin(
+        dealt.withColumn("_upto", F.sum(weight).over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("_same", F.sum(weight).over(Window.partitionBy("_p", group, value)))
+    )
+    ends = local.groupBy("_p", group).agg(
+        F.sum(weight).alias("_t"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.min_by("_same", value).alias("_nlo"), F.max_by("_same", value).alias("_nhi"),
+    )
+    tasks = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_t").over(tasks), F.lit(0))).withColumn(total, F.sum("_t").over(Window.partitionBy(group)))
+    low, high = [F.struct(F.lit(at).alias("hi"), F.col(f"_{'hi' if at else 'lo'}").alias("v"), F.col(f"_n{'hi' if at else 'lo'}").alias("n")) for at in (False, True)]
+    edges = ends.withColumn("_e", F.explode(F.when(F.col("_lo") == F.col("_hi"), F.array(low)).otherwise(F.array(low, high))))
+    like = Window.partitionBy(group, "_e.v")
+    edges = edges.withColumn("_earlier", F.coalesce(F.sum("_e.n").over(like.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edges = edges.withColumn("_all", F.sum("_e.n").over(like))
+    of = lambda c, hi: F.max(F.when(F.col("_e.hi") == F.lit(hi), F.col(c)))
+    known = pin(
+        edges.groupBy(group, "_p").agg(
+            *[F.first(c).alias(c) for c in ("_before", total, "_lo", "_hi")],
+            of("_earlier", False).alias("_elo"), of("_earlier", True).alias("_ehi"), of("_all", False).alias("_alo"), of("_all", True).alias("_ahi"),
+        )
+    )
+    rows = known.count()
+    joined = local.join(broadcast_if_small(known, (rows, rows * EDGE_BYTES)), ["_p", group])
+    v, same = F.col(value), F.col("_same")
+    earlier = F.when(v == F.col("_lo"), F.col("_elo")).when(v == F.col("_hi"), F.col("_ehi")).otherwise(0)
+    ties = F.when(v == F.col("_lo"), F.col("_alo")).when(v == F.col("_hi"), F.col("_ahi")).otherwise(same)
+    place = F.col("_before") + F.col("_upto") - same - earlier + (ties + 1) / 2
+    return joined.select(*records.columns, place.alias(rank), total)
+
+
 def percent(q: float) -> str:
     """A probability as it stands in a column name: 0.5 is 50, 0.995 is 99_5."""
     return f"{q * 100:.10g}".replace(".", "_")

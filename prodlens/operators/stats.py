@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prodlens.common import finite, pack
 from prodlens.operators.ranking import (
     BucketLimits,
-    average_ranks,
+    carried_ranks,
     exact_quantiles,
     ranked_values,
 )
@@ -209,11 +209,10 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
     Each row yields one record per pair of columns in which both values are present, and all
     pairs are ranked together with the pair as group key. Records are collapsed to distinct
-    (pair, x, y) before the ranks are joined on.
+    (pair, x, y); they then carry the rank of x and the rank of y along, one after the other.
     """
     pairs = list(combinations(cols, 2))
     src = df.select(*[finite(c).alias(c) for c in cols])
-    limits = BucketLimits.fit(src.select(F.explode(F.array(*cols)).alias("v")), ["v"])
     records = (
         src.select(
             F.explode(
@@ -230,18 +229,9 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         .groupBy("pair", "x", "y")
         .agg(F.count("*").alias("w"))
     )
-    sides = F.array(
-        *[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("x", "y")]
-    )
-    values = records.select("pair", "w", F.explode(sides).alias("s")).select("pair", "w", "s.*")
-    ranks = average_ranks(values, ["pair", "side"], "v", limits=limits, weight="w")
-    for side in ("x", "y"):
-        of_side = ranks.where(F.col("side") == side).select(
-            "pair",
-            F.col("v").alias(side),
-            (F.col("avg_rank") - (F.col("n_total") + 1) / 2).alias(f"d{side}"),
-        )
-        records = records.join(of_side, ["pair", side])
+    for value, other in (("x", "y"), ("y", "x")):
+        ranked = carried_ranks(records, "pair", value, "w", [other], "_r", "_n")
+        records = ranked.withColumn(f"d{value}", F.col("_r") - (F.col("_n") + 1) / 2).drop("_r", "_n")
     w, dx, dy = F.col("w"), F.col("dx"), F.col("dy")
     sums = records.groupBy("pair").agg(
         F.sum("w").alias("n"),

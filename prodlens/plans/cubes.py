@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from prodlens.functions.text import or_label
 from prodlens.operators.aggregates import distinct_by_entity
+from prodlens.operators.bitmaps import distinct_entities, entity_cells, number_entities
+from prodlens.operators.filters import apply_filters
 from prodlens.plans.enrich import MONTH, WELL, is_producing
 
+# The names of cube dimensions, slim columns and volumes.
 CUBE_DIMS = [
     "cuenca", "provincia", "tipo_recurso", "sub_tipo_recurso",
     "formation", "operator", "well_fluid", "trajectory",
@@ -49,6 +52,25 @@ def agg_block(fact: DataFrame, attrs: DataFrame) -> DataFrame:
     return distinct_by_entity(rows, [MONTH, *BLOCK_DIMS], WELL, VOLUMES, is_producing())
 
 
+# What a well is, not what it does: such dimensions leave each well in one cell a month.
+WELL_DIMS = ["cuenca", "provincia", "tipo_recurso", "sub_tipo_recurso", "trajectory"]
+
+
+def agg_entities(fact: DataFrame, attrs: DataFrame, dims: list[str] | None = None) -> DataFrame:
+    """Cube of months and well dimensions with bitmaps of the wells, present and producing."""
+    dims = dims or WELL_DIMS
+    numbers = number_entities(attrs, WELL, dims)
+    rows = fact.select(WELL, MONTH, *VOLUMES).join(attrs.select(WELL, *dims), WELL).join(numbers, WELL)
+    return entity_cells(rows, [MONTH, *dims], "number", {"producing": is_producing()})
+
+
+def wells_over(cells: DataFrame, keys: list, filters: dict | None = None) -> DataFrame:
+    """Distinct wells, all and producing, of any months and dimensions, from ``agg_entities`` alone. ``keys``
+    are columns or expressions such as the year of the month; ``filters`` may restrict both."""
+    chosen = apply_filters(cells, filters or {})
+    return distinct_entities(chosen, keys, {"present": "wells", "producing": "wells_producing"})
+
+
 # Column of the slim well table -> column of the attributes.
 SLIM_COLUMNS = {
     "idpozo": "idpozo", "sigla": "sigla", "cuenca": "cuenca", "provincia": "provincia",

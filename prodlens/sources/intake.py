@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +20,63 @@ def file_name(path: str = "path"):
     return F.element_at(F.split(F.col(path), "/"), -1)
 
 
-def file_manifest(spark: SparkSession, paths: Sequence[str], hashes: bool = True) -> DataFrame:
+# Files from this size on are hashed in ranges; a shorter one is one record of a scan.
+STREAM_FROM = 64_000_000
+RANGE_BYTES = 8_000_000
+# a record of Spark's binary reader ends here
+LARGEST_RECORD = 2**31 - 16
+
+
+def stream_digests(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Adds ``sha256`` to files given by ``path``: each is read in ranges by one task, which feeds them to one
+    digest, so memory is one range whatever the file's size."""
+    schema = files.schema.add("sha256", "string")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                system, place = _pyarrow_place(path)
+                with system.open_input_file(place) as file:
+                    while part := file.read(range_bytes):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "sha256"])
+
+    def _pyarrow_place(path: str):
+        from pyarrow.fs import FileSystem
+
+        return FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+
+    # files are dealt out one by one, not by the size of their names
+    n = max(1, min(files.count(), 10_000))
+    return files.repartition(n, "path").mapInArrow(digests, schema)
+
+
+def _streamable(path: str) -> bool:
+    from pyarrow.fs import FileSystem
+
+    try:
+        FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+    except Exception:  # a store that only Spark's readers know
+        return False
+    return True
+
+
+def file_manifest(
+    spark: SparkSession, paths: Sequence[str], hashes: bool = True, stream_from: int = STREAM_FROM
+) -> DataFrame:
     """``(path, uri, file, bytes, sha256)`` of every file below the paths, hashed on the executors.
 
     ``path`` can be given to a reader; ``uri`` is the form in which Spark reports the file of
-    a row.
+    a row. Empty files are left out, as Spark's readers do.
 
-    One file is one record, so files must stay below 2 GB (``max_rows_per_file`` of the sinks
-    keeps ours there); a larger one fails rather than being skipped. Without ``hashes`` no
-    content is read.
+    Files of ``stream_from`` bytes or more are hashed in ranges, whatever their size. In a store that only
+    Spark can read every file is one record; one of 2 GB or more is refused there. Without
+    ``hashes`` no content is read.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
@@ -38,7 +87,17 @@ def file_manifest(spark: SparkSession, paths: Sequence[str], hashes: bool = True
         file_name().alias("file"),
         F.col("length").alias("bytes"),
     ]
-    return files.select(*cols, *([F.sha2("content", 256).alias("sha256")] if hashes else []))
+    if not hashes:
+        return files.select(*cols)
+    first = files.select("path").first()
+    if first is None or not _streamable(first.path):
+        stream_from = LARGEST_RECORD
+    large = files.where(F.col("length") >= stream_from).select(*cols)
+    # the border is pushed to the reader, which skips the content of larger files
+    small = files.where(F.col("length") < stream_from).select(*cols, F.sha2("content", 256).alias("sha256"))
+    if stream_from == LARGEST_RECORD and (n := large.count()):
+        raise IntakeError(f"{n} files of 2 GB or more are in a store that cannot be read in ranges")
+    return small.unionByName(stream_digests(large))
 
 
 def identify_partitions(files: DataFrame, at: str = MONTH) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prodlens.common import broadcast_if_small
 from prodlens.plans.enrich import MONTH, WELL
 from prodlens.sources.sinks import BUCKETS, bucket_of
 
@@ -22,9 +23,10 @@ def entity_history(
 def entity_histories(
     spark: SparkSession, path: str, entities: DataFrame, key: str = WELL, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Rows of every listed entity. The buckets they fall into, at most ``buckets`` numbers,
-    are found first and prune the folders; the ids themselves stay on the cluster."""
+    """Rows of every listed entity. The join is on the bucket too, so the planner prunes the bucket
+    folders at run time by the entities it has found, and nothing is collected before."""
     wanted = entities.select(key).distinct().withColumn("bucket", bucket_of(key, buckets))
-    needed = [r.bucket for r in wanted.select("bucket").distinct().collect()]
-    rows = spark.read.parquet(path).where(F.col("bucket").isin(needed))
-    return rows.join(wanted, ["bucket", key], "left_semi").drop("bucket")
+    size = wanted.count()
+    # two numbers an entity
+    wanted = broadcast_if_small(wanted, (size, 16 * size))
+    return spark.read.parquet(path).join(wanted, ["bucket", key], "left_semi").drop("bucket")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prodlens.operators.encode import require_labels
 from prodlens.plans.enrich import MONTH, WELL
-from prodlens.sources.intake import file_manifest
+from prodlens.sources.intake import STREAM_FROM, file_manifest
 
 BUCKETS = 256
 MAX_ROWS_PER_FILE = 20_000_000
@@ -46,6 +46,8 @@ def write_sharded(
 
     Range partitioning by (bucket, id, date) cuts a bucket that holds a large part of the rows
     into several files instead of one task, and each file still covers a narrow range of ids.
+    Each row group has a Bloom filter of its ids beside its limits, so a lookup reads only those that
+    hold its entity.
     """
     (
         df.withColumn("bucket", bucket_of(key, buckets))
@@ -53,6 +55,7 @@ def write_sharded(
         .sortWithinPartitions("bucket", key, at)
         .write.partitionBy("bucket")
         .option("compression", "zstd")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
         .option("maxRecordsPerFile", max_rows_per_file)
         .mode("overwrite")
         .parquet(path)
@@ -104,11 +107,13 @@ def write_csv(df: DataFrame, path: str, citation: str | None = None) -> None:
         )
 
 
-def build_manifest(spark: SparkSession, outputs: Mapping[str, str], hashes: bool = True) -> DataFrame:
+def build_manifest(
+    spark: SparkSession, outputs: Mapping[str, str], hashes: bool = True, stream_from: int = STREAM_FROM
+) -> DataFrame:
     """``(output, path, uri, file, bytes, sha256)`` of everything a build wrote."""
     out = None
     for name, path in outputs.items():
-        part = file_manifest(spark, [path], hashes).withColumn("output", F.lit(name))
+        part = file_manifest(spark, [path], hashes, stream_from).withColumn("output", F.lit(name))
         part = part.where(~F.col("file").startswith("_") & ~F.col("file").startswith("."))
         out = part if out is None else out.unionByName(part)
     return out

@@ -79,6 +79,14 @@ class EntityStore:
         self.built[label] = (place, lambda: self.spark.read.schema(schema).parquet(place))
         return self.built[label][1]()
 
+    def folder(self, label: str, write: Callable[[str], None]) -> str:
+        """The path of a layout that ``write`` makes once."""
+        if self._reuse(label) is None:
+            place = new_work_path(self.spark, label)
+            write(place)
+            self.built[label] = (place, lambda: self.spark.read.parquet(place))
+        return self.built[label][0]
+
     def close(self) -> None:
         """Remove the kept tables and their files."""
         for place, read in self.built.values():
