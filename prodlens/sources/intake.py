@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,10 +27,25 @@ RANGE_BYTES = 8_000_000
 LARGEST_RECORD = 2**31 - 16
 
 
+def _opener() -> Callable:
+    """A function that gives the file system and the place of a path as Spark writes it; it goes to the
+    executors by value, so they need no copy of this package."""
+
+    def opened(path: str):
+        from urllib.parse import quote
+
+        from pyarrow.fs import FileSystem
+
+        whole = path if "://" in path else path.replace("file:/", "file:///", 1)
+        return FileSystem.from_uri(quote(whole, safe=":/@"))
+
+    return opened
+
+
 def stream_digests(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Adds ``sha256`` to files given by ``path``: each is read in ranges by one task, which feeds them to one
     digest, so memory is one range whatever the file's size."""
-    schema = files.schema.add("sha256", "string")
+    schema, opened = files.schema.add("sha256", "string"), _opener()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -39,28 +54,21 @@ def stream_digests(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
             found = []
             for path in batch.column("path").to_pylist():
                 digest = hashlib.sha256()
-                system, place = _pyarrow_place(path)
+                system, place = opened(path)
                 with system.open_input_file(place) as file:
                     while part := file.read(range_bytes):
                         digest.update(part)
                 found.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "sha256"])
 
-    def _pyarrow_place(path: str):
-        from pyarrow.fs import FileSystem
-
-        return FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
-
     # files are dealt out one by one, not by the size of their names
     n = max(1, min(files.count(), 10_000))
     return files.repartition(n, "path").mapInArrow(digests, schema)
 
 
 def _streamable(path: str) -> bool:
-    from pyarrow.fs import FileSystem
-
     try:
-        FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+        _opener()(path)
     except Exception:  # a store that only Spark's readers know
         return False
     return True
