@@ -26,6 +26,8 @@ def entity_histories(
     """Rows of every listed entity. The join is on the bucket too, so the planner prunes the bucket
     folders at run time by the entities it has found, and nothing is collected before."""
     wanted = entities.select(key).distinct().withColumn("bucket", bucket_of(key, buckets))
+    # the planner prunes by a side that it takes to be selective, which a comparison makes it
+    wanted = wanted.where(F.col("bucket").between(0, buckets - 1))
     size = wanted.count()
     # two numbers an entity
     wanted = broadcast_if_small(wanted, (size, 16 * size))
