@@ -19,6 +19,7 @@ windows above that, and the cut that separates the sample best, which becomes a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,6 @@ WINDOW = 8
 CODE = 8
 PIECE = 4
 WINDOW_BYTES = 256
-LONGEST_REMEMBERED = 64
 CUT = 0.7
 # bounds of what is fitted: labelled texts of each class, dictionary bytes, stems in the toxic one
 SAMPLE_DOCS = 4000
@@ -62,10 +62,7 @@ _PIECES = Memory(_pieces)
 
 def codes_of(text: bytes) -> list[bytes]:
     """One string of codes per word or piece of a long word."""
-    out = []
-    for word in text.lower().split():
-        out += _PIECES[word] if len(word) <= LONGEST_REMEMBERED else _pieces(word)
-    return out
+    return list(chain.from_iterable(map(_PIECES.__getitem__, text.lower().split())))
 
 
 def windows_of(codes: list[bytes]) -> list[bytes]:
@@ -112,10 +109,15 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-def gains(text: bytes, ordinary, toxic) -> np.ndarray:
-    """Bytes that the toxic dictionary saves in each window of the whole text."""
-    codes = codes_of(text)
-    return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows_of(codes)], np.int64)
+def gains(texts: list[bytes], ordinary, toxic) -> list[np.ndarray]:
+    """Bytes that the toxic dictionary saves in each window of every whole text. Windows are compressed each
+    by itself, all of a call together."""
+    split = [windows_of(codes_of(t)) for t in texts]
+    flat = list(chain.from_iterable(split))
+    if not flat:
+        return [np.empty(0, np.int64) for _ in texts]
+    sizes = [np.fromiter(map(len, c.multi_compress_to_buffer(flat, threads=1)), np.int64, len(flat)) for c in (ordinary, toxic)]
+    return np.split(sizes[0] - sizes[1], np.cumsum(list(map(len, split)))[:-1])
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -203,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Toxicity
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         pair = _compressor(ordinary), _compressor(ordinary + toxic)
-        all_gains = [gains(t, *pair) for t in batch.column("text").to_pylist()]
+        all_gains = gains(batch.column("text").to_pylist(), *pair)
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g.tolist() for g in all_gains], pa.list_(pa.int64()))], names=["toxic", "gains"])
 
     second = stages.write("measured", map_batches(sample.where("half = 1").select("text", "toxic"), measure, "toxic int, gains array<long>"))
@@ -256,7 +258,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, training=None, most: int
             top = score = np.zeros(len(texts))
         else:
             pair = model.compressors()
-            found = [gains(t, *pair) for t in texts]
+            found = gains(texts, *pair)
             n = [len(g) for g in found]
             top = np.array([g.max() if len(g) else 0 for g in found], float)
             score = model.score(np.maximum(top, 0), np.array([(g > model.threshold).sum() for g in found]))
