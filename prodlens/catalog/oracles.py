@@ -659,6 +659,9 @@ BODIES = {
     "partition_identity": """
         SELECT anio AS year, count(*) AS n_rows, min(fecha) AS first_date, max(fecha) AS last_date FROM production GROUP BY 1""",
     "content_fingerprint": "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS sha256 FROM documents",
+    "csv_quarantine": """
+        SELECT CASE WHEN idpozo % 2 = 0 THEN 'a' ELSE 'b' END AS part, count(*) AS n_good, 0 AS n_bad FROM register GROUP BY 1
+        UNION ALL SELECT 'c', 0, count(*) FROM register""",
     "csv_roundtrip": "SELECT idpozo, anio, mes FROM register",
     "file_list_probe": "SELECT anio, count(*) AS n_rows FROM production GROUP BY 1",
     "srid_histogram": """

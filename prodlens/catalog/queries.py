@@ -189,13 +189,16 @@ def latest_state(p: Panel) -> DataFrame:
 
 @query
 def row_guard(p: Panel) -> DataFrame:
-    spans = p.well_operator_history
-    overlaps = temporal.overlapping_spans(spans, WELL, "valid_from", "valid_to")
-    counts = [
-        ("rows_before", p.monthly_production),
-        ("rows_after", p.fact),
-        ("overlapping_spans", overlaps),
-    ]
+    """The temporal joins written once, with the rows counted on their way in and out."""
+    guard, path = temporal.RowGuard("prod_monthly"), new_work_path(p.spark, "guarded")
+    fact = enrich.prod_monthly(
+        p.monthly_production, p.well_operator_history, p.daily_events, EVENT_TIE_BREAK, check_spans=False, check_grain=False, guard=guard
+    )
+    fact.write.parquet(path)
+    written = p.spark.read.parquet(path)
+    guard.check(p.monthly_production, written)
+    overlaps = temporal.overlapping_spans(p.well_operator_history, WELL, "valid_from", "valid_to")
+    counts = [("rows_before", p.monthly_production), ("rows_after", written), ("overlapping_spans", overlaps)]
     out = None
     for name, df in counts:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
@@ -908,6 +911,20 @@ def csv_roundtrip(p: Panel) -> DataFrame:
     return back[0].unionByName(back[1]).unionByName(back[2])
 
 
+@query
+def csv_quarantine(p: Panel) -> DataFrame:
+    """Files of two column orders and one of bad rows, parsed once: good and bad rows, and the bad ones by file."""
+    path, even = new_work_path(p.spark, "csv"), F.col("idpozo") % 2 == 0
+    rows = pin(p.register.select("idpozo", "anio", "mes"))
+    rows.where(even).write.option("header", True).csv(f"{path}/part=a")
+    rows.where(~even).select("mes", F.lit("a, b").alias("note"), "idpozo", "anio").write.option("header", True).csv(f"{path}/part=b")
+    rows.select(F.concat(F.lit("x"), "idpozo").alias("idpozo"), "anio", "mes").write.option("header", True).csv(f"{path}/part=c")
+    good, bad = scans.read_csv_checked(p.spark, path, scans.REGISTER_SCHEMA)
+    kept = good.groupBy(F.when(even, "a").otherwise("b").alias("part")).agg(F.count("*").alias("n_good"), F.lit(0).cast("long").alias("n_bad"))
+    left = scans.bad_lines_by_file(bad).groupBy(F.regexp_extract("file", "part=([abc])", 1).alias("part"))
+    return kept.unionByName(left.agg(F.lit(0).cast("long").alias("n_good"), F.sum("n_bad").alias("n_bad")))
+
+
 @query
 def file_list_probe(p: Panel) -> DataFrame:
     """The panel laid out by year, read from a list of its files, counted by partition."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,27 @@ def pin(df: DataFrame) -> DataFrame:
     path = new_work_path(df.sparkSession, "pinned")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opener() -> Callable:
+    """A function that gives the pyarrow file system and the place in it of a path as Spark writes it. It goes to
+    the executors by value, so they need no copy of this package."""
+
+    def opened(path: str):
+        from urllib.parse import quote
+
+        from pyarrow.fs import FileSystem
+
+        whole = path if "://" in path else path.replace("file:/", "file:///", 1)
+        return FileSystem.from_uri(quote(whole, safe=":/@"))
+
+    return opened
+
+
+def streamable(path: str) -> bool:
+    """Whether tasks can read ranges of files there; a store may be one that only Spark's readers know."""
+    try:
+        opener()(path)
+    except Exception:  # whatever the file system says, Spark's readers remain
+        return False
+    return True

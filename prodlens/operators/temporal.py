@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from prodlens.common import FAR_FUTURE
@@ -192,6 +192,28 @@ def require_disjoint_spans(spans: DataFrame, key: str, start: str, end: str) ->
     return spans
 
 
+class RowGuard:
+    """Counts rows before and after a temporal join in the job that writes its result.
+
+    The counts are taken as rows pass by, so the join is executed once. Tasks that run again may count
+    twice; counts that agree are believed, and others are taken again from both tables.
+    """
+
+    def __init__(self, what: str):
+        self.what, self.seen = what, (Observation(), Observation())
+
+    def before(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.seen[0], F.count(F.lit(1)).alias("n"))
+
+    def after(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.seen[1], F.count(F.lit(1)).alias("n"))
+
+    def check(self, before: DataFrame, written: DataFrame) -> int:
+        """To be called when the result has been written; returns the number of rows, or raises."""
+        n, m = (o.get["n"] for o in self.seen)
+        return n if n == m else require_same_rows(before, written, self.what)
+
+
 def require_same_rows(before: DataFrame, after: DataFrame, what: str) -> int:
     """Raise unless a join kept the number of rows; returns that number."""
     n, m = before.count(), after.count()

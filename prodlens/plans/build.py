@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prodlens.operators.aggregates import code_names
 from prodlens.operators.encode import encode, label_table
+from prodlens.operators.temporal import RowGuard
 from prodlens.plans.cubes import (
     BLOCK_DIMS,
     CUBE_DIMS,
@@ -65,7 +66,8 @@ def build(
     take the places of the old ones, so a failed build leaves the last good one as it was.
 
     The fact, the attributes and the cubes are written before they are used again, so no
-    later step repeats a temporal join. Gates: cube against source at 1e-9; both cubes, if
+    later step repeats a temporal join. Gates: rows before and after
+    the temporal joins, counted as they are written; cube against source at 1e-9; both cubes, if
     every well has a block; bytes against ``limits``. ``findings`` of the checks become a
     section of the summary.
     """
@@ -78,8 +80,10 @@ def build(
         inputs.jobs, event_tie_break=event_tie_break,
     )
     attrs.write.mode("overwrite").parquet(at("well_attrs"))
-    fact = prod_monthly(inputs.production, inputs.history, inputs.events, event_tie_break)
+    guard = RowGuard("prod_monthly")
+    fact = prod_monthly(inputs.production, inputs.history, inputs.events, event_tie_break, guard=guard)
     fact.write.mode("overwrite").parquet(at("prod_monthly"))
+    guard.check(inputs.production, spark.read.parquet(at("prod_monthly")))
     attrs, fact = spark.read.parquet(at("well_attrs")), spark.read.parquet(at("prod_monthly"))
 
     tables = {

@@ -14,7 +14,7 @@ from prodlens.functions.dates import clamp_hours, date_from_parts
 from prodlens.functions.units import or_zero, ratio
 from prodlens.operators.aggregates import dedupe_groups
 from prodlens.operators.classify import HORIZONTAL_M, combined_class, measured_class, name_class
-from prodlens.operators.temporal import RowGuardError, asof_join, interval_join, latest_row, require_disjoint_spans
+from prodlens.operators.temporal import RowGuard, RowGuardError, asof_join, interval_join, latest_row, require_disjoint_spans
 
 WELL = "idpozo"
 MONTH = "fecha"
@@ -188,17 +188,21 @@ def prod_monthly(
     check_grain: bool = True,
     asof_strategy: str = "spans",
     missing_hours_are_full: bool = False,
+    guard: RowGuard | None = None,
 ) -> DataFrame:
     """The monthly fact with the operator and the state in force in each month.
 
     Overlapping operator spans would repeat months and inflate every total after this, so
     they are looked for in the (small) history table first and reported by well. Months are joined to
     spans by well alone, which is bounded only while a well has one row a month: that is checked too.
+    A ``guard`` counts the months that go in and come out while the caller writes the result.
     """
     if check_grain and (n := dedupe_groups(production, [WELL, MONTH]).count()):
         raise RowGuardError(f"{n} pairs of {WELL} and {MONTH} occur more than once")
     if check_spans:
         history = require_disjoint_spans(history, WELL, "valid_from", "valid_to")
+    if guard:
+        production = guard.before(production)
     tef = clamp_hours("tef", MONTH, missing_hours_are_full)
     hours = production.withColumn("tef", tef).select(
         WELL, MONTH, "anio", "prod_pet", "prod_gas", "prod_agua", "iny_agua", "iny_gas", "tef"
@@ -207,6 +211,7 @@ def prod_monthly(
         hours, history, WELL, MONTH, "valid_from", "valid_to", {"empresa": "operator_asof"}
     )
     states = {"tipopozo": "well_fluid_asof", "tipoestado": "well_state_asof"}
-    return asof_join(
+    out = asof_join(
         owned, events, WELL, MONTH, "event_date", states, event_tie_break, strategy=asof_strategy
     )
+    return guard.after(out) if guard else out

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prodlens.common import new_work_path
+from prodlens.common import new_work_path, opener, streamable
 from prodlens.plans.enrich import MONTH, WELL
 
 
@@ -27,25 +27,10 @@ RANGE_BYTES = 8_000_000
 LARGEST_RECORD = 2**31 - 16
 
 
-def _opener() -> Callable:
-    """A function that gives the file system and the place of a path as Spark writes it; it goes to the
-    executors by value, so they need no copy of this package."""
-
-    def opened(path: str):
-        from urllib.parse import quote
-
-        from pyarrow.fs import FileSystem
-
-        whole = path if "://" in path else path.replace("file:/", "file:///", 1)
-        return FileSystem.from_uri(quote(whole, safe=":/@"))
-
-    return opened
-
-
 def stream_digests(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Adds ``sha256`` to files given by ``path``: each is read in ranges by one task, which feeds them to one
     digest, so memory is one range whatever the file's size."""
-    schema, opened = files.schema.add("sha256", "string"), _opener()
+    schema, opened = files.schema.add("sha256", "string"), opener()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -66,14 +51,6 @@ def stream_digests(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     return files.repartition(n, "path").mapInArrow(digests, schema)
 
 
-def _streamable(path: str) -> bool:
-    try:
-        _opener()(path)
-    except Exception:  # a store that only Spark's readers know
-        return False
-    return True
-
-
 def file_manifest(
     spark: SparkSession, paths: Sequence[str], hashes: bool = True, stream_from: int = STREAM_FROM
 ) -> DataFrame:
@@ -98,7 +75,7 @@ def file_manifest(
     if not hashes:
         return files.select(*cols)
     first = files.select("path").first()
-    if first is None or not _streamable(first.path):
+    if first is None or not streamable(first.path):
         stream_from = LARGEST_RECORD
     large = files.where(F.col("length") >= stream_from).select(*cols)
     # the border is pushed to the reader, which skips the content of larger files

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prodlens.common import opener, pin, streamable
+
 # The tables a source must provide, and the one split by year.
 TABLES = ("wells", "well_events", "well_operator_history", "monthly_production")
 PANEL = "monthly_production"
@@ -230,6 +233,10 @@ JOBS_SCHEMA = _schema(
 REGISTER_SCHEMA = _schema(idpozo="long", anio="int", mes="int")
 REGISTRY_SCHEMA = _schema(idpozo="long", geojson="string")
 
+BAD_LINE = "_bad_line"
+# the beginning of a file that is read for its header
+HEAD_BYTES = 65_536
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, drop_malformed: bool = False) -> DataFrame:
     """CSV with a header. With a schema the columns are taken by name from files that may hold
@@ -255,17 +262,67 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return out
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the schema, and ``(file, line)`` of those that do not, so that nothing vanishes
+    uncounted. Files are parsed once and written once; both tables read what was written."""
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("columnPruning", False)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    known, out = {f.name: f for f in schema.fields}, None
+    for header, files in csv_layouts(spark, path).items():
+        if missing := [n for n in known if n not in header]:
+            raise ValueError(f"{files[0]} has no columns {missing}")
+        full = T.StructType([*[known.get(h, T.StructField(h, T.StringType())) for h in header], T.StructField(BAD_LINE, T.StringType())])
+        part = reader.schema(full).csv(files).select(*known, BAD_LINE, F.col("_metadata.file_path").alias("file"))
+        out = part if out is None else out.unionByName(part)
+    parsed = pin(out)
+    return parsed.where(F.col(BAD_LINE).isNull()).select(*known), parsed.where(F.col(BAD_LINE).isNotNull()).select("file", F.col(BAD_LINE).alias("line"))
+
+
+def bad_lines_by_file(bad: DataFrame) -> DataFrame:
+    return bad.groupBy("file").agg(F.count("*").alias("n_bad"))
+
+
 def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files below a path by their header, the first line of each; read on the executors."""
+    """What to read for each header that occurs below a path: the path itself if there is one header,
+    otherwise the files that have it."""
+    heads = _heads(spark, path)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    found = [r["head"] for r in heads.select("head").distinct().collect()]
+    if not found:
+        raise ValueError(f"{path} has no rows")
+    names = {head: tuple(next(csv.reader([head.removeprefix("\ufeff")]))) for head in found}
+    if len(set(names.values())) == 1:
+        return {names[found[0]]: [path]}
+    for r in heads.groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files")).collect():
+        layouts.setdefault(names[r["head"]], []).extend(r["files"])
+    return dict(sorted(((k, sorted(v)) for k, v in layouts.items()), key=lambda kv: kv[1]))
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """``(f, head)``: the first line of each file. Only the beginning of a file is read, on the executors; in stores
+    that only Spark reads, and of compressed files, all lines are."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("f"), "path")
+    first = files.first()
+    if first is None:
+        return files.select("f", F.lit("").alias("head")).limit(0)
+    packed = files.where(F.lower("path").rlike(r"\.(gz|bz2|zst|lz4|deflate|snappy|xz)$"))
+    if streamable(first.path) and packed.isEmpty():
+        opened = opener()
+
+        def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lines = []
+                for place in batch.column("path").to_pylist():
+                    system, name = opened(place)
+                    with system.open_input_file(name) as file:
+                        line = b""
+                        while b"\n" not in line and (part := file.read(HEAD_BYTES)):
+                            line += part
+                    lines.append(line.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(lines, pa.string())], names=["f", "head"])
+
+        return pin(files.mapInArrow(heads, "f string, head string").where("head <> ''"))
     # the first row of a file has the smallest start among its records
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), "value")
     numbered = lines.withColumn("row", F.monotonically_increasing_id()).where("at = 0")
-    first = numbered.groupBy("f").agg(F.min_by("value", "row").alias("head"))
-    listed = first.groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files")).collect()
-    if not listed:
-        raise ValueError(f"{path} has no rows")
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for r in sorted(listed, key=lambda r: r["files"]):
-        names = next(csv.reader([r["head"].removeprefix("\ufeff")]))
-        layouts.setdefault(tuple(names), []).extend(r["files"])
-    return layouts
+    return pin(numbered.groupBy("f").agg(F.min_by("value", "row").alias("head")))

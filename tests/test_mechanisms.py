@@ -193,3 +193,60 @@ def test_shards_are_written_once(spark):
     before = set(pathlib.Path(work_dir(spark)).glob("*/shards-*"))
     REGISTRY["sharded_roundtrip"](spark, SF).count()
     assert set(pathlib.Path(work_dir(spark)).glob("*/shards-*")) == before
+
+
+# guards and quarantine
+
+
+def guarded(spark, spans):
+    from prodlens.operators import temporal
+
+    months = spark.createDataFrame([(1, "2020-01-01"), (1, "2020-02-01"), (2, "2020-01-01")], "k long, at string").withColumn("at", F.to_date("at"))
+    side = spark.createDataFrame(spans, "k long, a string, b string, v string").select("k", F.to_date("a").alias("a"), F.to_date("b").alias("b"), "v")
+    guard = temporal.RowGuard("spans")
+    out = guard.after(temporal.interval_join(guard.before(months), side, "k", "at", "a", "b", {"v": "v"}))
+    path = new_work_path(spark, "guarded")
+    out.write.parquet(path)
+    return guard, months, spark.read.parquet(path)
+
+
+def test_a_guard_counts_in_the_job_that_writes(spark):
+    from prodlens.operators.temporal import RowGuardError
+
+    guard, before, after = guarded(spark, [(1, "2020-01-01", None, "x")])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("guard-check", "no job is run")
+    try:
+        assert guard.check(before, after) == 3
+        assert not tracker.getJobIdsForGroup("guard-check")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    with pytest.raises(RowGuardError, match="3 rows before, 4 after"):
+        guard, before, after = guarded(spark, [(1, "2020-01-01", None, "x"), (1, "2020-02-01", None, "y")])
+        guard.check(before, after)
+
+
+def test_bad_csv_rows_are_kept_aside_and_counted(spark, tmp_path):
+    from prodlens.sources import scans
+
+    (tmp_path / "a.csv").write_text("idpozo,anio,mes\n1,2020,3\nbad,2020,1\n3,2020,4,extra\n4,20x0,4\n")
+    (tmp_path / "b.csv").write_bytes(b'"mes",idpozo,anio,more\r\n4,2,2021,"x,y"\r\n')
+    (tmp_path / "c.csv").write_text("")
+    good, bad = scans.read_csv_checked(spark, str(tmp_path), scans.REGISTER_SCHEMA)
+    assert sorted(map(tuple, good.collect())) == [(1, 2020, 3), (2, 2021, 4)]
+    assert sorted(r.line for r in bad.collect()) == ["3,2020,4,extra", "4,20x0,4", "bad,2020,1"]
+    assert [(r.file.rsplit("/", 1)[1], r.n_bad) for r in scans.bad_lines_by_file(bad).collect()] == [("a.csv", 3)]
+
+
+def test_headers_are_read_from_the_beginning_of_files(spark, tmp_path):
+    import gzip
+
+    from prodlens.sources import scans
+
+    for i in range(3):
+        (tmp_path / f"f{i}.csv").write_text("﻿a,b\n" + "1,2\n" * 50_000)
+    assert scans.csv_layouts(spark, str(tmp_path)) == {("a", "b"): [str(tmp_path)]}
+    assert "Scan text" not in plan_of(scans._heads(spark, str(tmp_path)))
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(b"b,a\n1,2\n"))
+    found = scans.csv_layouts(spark, str(tmp_path))
+    assert {k: len(v) for k, v in found.items()} == {("a", "b"): 3, ("b", "a"): 1}
