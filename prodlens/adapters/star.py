@@ -220,7 +220,9 @@ class StarPanel:
             F.col("vec_id").cast("long").alias("idpozo"), F.when(F.col("label") != 1, text).alias("geojson")
         )
 
-    def _official(self, status: str, total: str, column: str, subtypes: dict[str, str]) -> DataFrame:
+    def combine_official(self) -> DataFrame:
+        """Both fluids of the independent series from one pass over the items: revenue of a month by line status,
+        in all, by region (``F_africa``) and by return flag (``F_flag_A``)."""
         places = (
             self.table("supplier")
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -228,25 +230,26 @@ class StarPanel:
             .select("s_suppkey", "r_name")
         )
         # summed per supplier before the join: a supplier with very many items sends few rows
-        sums = (
-            self.table("lineitem")
-            .where(F.col("l_linestatus") == status)
-            .groupBy(
-                "l_suppkey",
-                "l_returnflag",
-                year_month(F.col("l_shipdate").cast("date")).alias("indice_tiempo"),
-            )
-            .agg(F.sum("l_extendedprice").alias("price"))
-        )
-        price = F.col("price")
-        return (
-            sums.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("indice_tiempo")
-            .agg(
-                _money(price).alias(total),
-                *[_money(F.when(F.col("r_name") == r, price)).alias(column.format(s)) for r, s in REGIONS.items()],
-                *[_money(F.when(F.col("l_returnflag") == f, price)).alias(c) for f, c in subtypes.items()],
-            )
+        month = year_month(F.col("l_shipdate").cast("date")).alias("indice_tiempo")
+        sums = self.table("lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus", month).agg(F.sum("l_extendedprice").alias("price"))
+        price, cells = F.col("price"), []
+        for status in "FO":
+            of = lambda c, status=status: F.when((F.col("l_linestatus") == status) & c, price)
+            cells += [_money(of(F.lit(True))).alias(status), F.count_if(F.col("l_linestatus") == status).alias(f"{status}_n")]
+            cells += [_money(of(F.col("r_name") == r)).alias(f"{status}_{s}") for r, s in REGIONS.items()]
+            cells += [_money(of(F.col("l_returnflag") == f)).alias(f"{status}_flag_{f}") for f in "AR"]
+        return sums.join(places, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("indice_tiempo").agg(*cells)
+
+    @cached_property
+    def official(self) -> DataFrame:
+        return self.combine_official()
+
+    def _official(self, status: str, total: str, column: str, subtypes: dict[str, str]) -> DataFrame:
+        return self.official.where(F.col(f"{status}_n") > 0).select(
+            "indice_tiempo",
+            F.col(status).alias(total),
+            *[F.col(f"{status}_{s}").alias(column.format(s)) for s in REGIONS.values()],
+            *[F.col(f"{status}_flag_{f}").alias(c) for f, c in subtypes.items()],
         )
 
     @cached_property

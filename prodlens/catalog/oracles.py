@@ -681,9 +681,16 @@ BODIES = {
     "findings_report": """
         SELECT 'row_counts' AS check_name, 'wells' AS subject, 'n_rows' AS key, count(*)::DOUBLE AS value, 'pass' AS status FROM wells
         UNION ALL SELECT 'row_counts', 'monthly_production', 'n_rows', count(*)::DOUBLE, 'pass' FROM production""",
-    "summary_roundtrip": """
-        SELECT strftime(fecha, '%Y-%m') AS ym, floor(sum(oil_m3) / 1000)::BIGINT AS oil_m3, floor(sum(gas_e3m3) / 1000)::BIGINT AS gas_e3m3,
-               floor(sum(water_m3) / 1000)::BIGINT AS water_m3 FROM cube GROUP BY 1""",
+    "summary_roundtrip": f"""
+        SELECT 'data_quality' AS section, 'n_rows' AS key, floor((SELECT count(*) FROM wells) / 1000)::BIGINT AS thousands
+        UNION ALL SELECT 'about', 'm3', 6
+        UNION ALL SELECT 'coverage', strftime(min(fecha), '%Y-%m-%d') || '|' || strftime(max(fecha), '%Y-%m-%d'), count(DISTINCT fecha) FROM cube
+        UNION ALL SELECT 'kpi', '', floor(sum(oil_m3) / 1000)::BIGINT FROM cube
+        UNION ALL SELECT 'national_monthly', strftime(fecha, '%Y-%m'), floor(sum(oil_m3) / 1000)::BIGINT FROM cube GROUP BY fecha
+        UNION ALL SELECT 'basin_monthly', strftime(fecha, '%Y-%m') || '|' || cuenca, floor(sum(gas_e3m3) / 1000)::BIGINT FROM cube GROUP BY fecha, cuenca
+        UNION ALL SELECT 'unconventional_monthly', strftime(fecha, '%Y-%m') || '|' || coalesce(sub_tipo_recurso, 'No informado'), floor(sum(oil_m3) / 1000)::BIGINT
+            FROM cube GROUP BY fecha, coalesce(sub_tipo_recurso, 'No informado')
+        UNION ALL SELECT 'domains', dim || '|' || value, n FROM ({domains_sql()})""",
 }
 
 BODIES["labels_roundtrip"] = BODIES["label_tables"]

@@ -31,7 +31,7 @@ CORR_VARS = [
 LOOKUP_ENTITY = 42
 
 
-SOURCES = ("orders", "lineitem", "customer", "nation", "region", "embeddings")
+SOURCES = ("orders", "lineitem", "supplier", "customer", "nation", "region", "embeddings")
 
 
 class Panel(StarPanel):
@@ -102,6 +102,10 @@ class Panel(StarPanel):
         keys = ["trajectory", "subtype", "cuenca", "vintage", "month_on_prod"]
         return self.store.kept("curve", lambda: curves.type_curve(self.curve_rows, keys, digits=4))
 
+    @cached_property
+    def official(self) -> DataFrame:
+        return self.store.kept("official", self.combine_official)
+
     @cached_property
     def entity_cube(self) -> DataFrame:
         return self.store.kept("entity_cube", lambda: cubes.agg_entities(self.fact, self.attrs))
@@ -993,10 +997,25 @@ def labels_roundtrip(p: Panel) -> DataFrame:
 
 @query
 def summary_roundtrip(p: Panel) -> DataFrame:
-    """A section of the summary written and read back."""
+    """Every section of the summary written and read back, as a count, a key and a value in whole thousands."""
     path = new_work_path(p.spark, "summary")
-    sinks.write_summary({"national": summary.national_monthly(p.cube)}, path)
-    back = p.spark.read.json(f"{path}/national")
-    # the section is rounded to a tenth; whole thousands are far from a tie
-    volumes = [F.floor(F.col(c) / 1000).alias(c) for c in ("oil_m3", "gas_e3m3", "water_m3")]
-    return back.select("ym", *volumes)
+    counts = quality.row_counts({"wells": p.wells}, {})
+    found = quality.findings("row_counts", counts, F.col("table_name"), F.col("n_rows") > 0).where("value IS NOT NULL")
+    sinks.write_summary(summary.summary_sections(p.attrs, p.cube_table, found), path)
+    # section -> the columns of its key and its value
+    shown = {
+        "data_quality": (["key"], F.col("value").cast("double")),
+        "about": (["oil"], F.col("m3_to_bbl") * 1000),
+        "coverage": (["first_month", "last_month"], F.col("months") * 1000),
+        "kpi": ([], F.col("cum_oil_m3")),
+        "national_monthly": (["ym"], F.col("oil_m3")),
+        "basin_monthly": (["ym", "cuenca"], F.col("gas_e3m3")),
+        "unconventional_monthly": (["ym", "subtype"], F.col("oil_m3")),
+        "domains": (["dim", "value"], F.col("n") * 1000),
+    }
+    out = None
+    for name, (keys, value) in shown.items():
+        back = p.spark.read.json(f"{path}/{name}")
+        part = back.select(F.lit(name).alias("section"), F.concat_ws("|", *keys).alias("key"), F.floor(value / 1000).cast("long").alias("thousands"))
+        out = part if out is None else out.unionByName(part)
+    return out
