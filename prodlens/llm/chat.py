@@ -44,22 +44,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     grouped = turns.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id")
     grouped = grouped.agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # the state is the text so far and the role of the block that is still open
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("role"))
-
-    def add(state: Column, t: Column) -> Column:
-        body = escape(t["text"])
-        same = state["role"].eqNullSafe(t["role"])
-        joint = F.when(same, F.lit(BETWEEN)).otherwise(
-            F.concat(
-                F.when(state["role"].isNull(), F.lit("")).otherwise(F.lit(CLOSE)),
-                F.lit(OPEN), escape(t["role"]), F.lit(">"),
-            )
-        )
-        return F.struct(F.concat(state["out"], joint, body).alias("out"), t["role"].alias("role"))
-
-    whole = F.aggregate("turns", start, add, lambda s: F.concat(s["out"], F.lit(CLOSE)))
-    return grouped.select("conv_id", whole.alias("formatted"))
+    # each turn beside the role before it: a turn of the same role is merged into the block that is open
+    roles = F.transform("turns", lambda t: t["role"])
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, F.lit(1), F.size(roles) - 1))
+    beside = grouped.select("conv_id", "turns", before.alias("before"))
+
+    def piece(t: Column, last: Column) -> Column:
+        opened = F.concat(F.when(last.isNull(), F.lit("")).otherwise(F.lit(CLOSE)), F.lit(OPEN), escape(t["role"]), F.lit(">"))
+        return F.concat(F.when(last.eqNullSafe(t["role"]), F.lit(BETWEEN)).otherwise(opened), escape(t["text"]))
+
+    # joined once, so the work is in proportion to the text however many turns there are
+    whole = F.concat(F.array_join(F.zip_with("turns", "before", piece), ""), F.lit(CLOSE))
+    return beside.select("conv_id", whole.alias("formatted"))
 
 
 def parse_formatted(formatted: DataFrame) -> DataFrame:

@@ -276,3 +276,20 @@ def test_best_fit_is_best_fit_decreasing():
         runs = packing.best_fit(counts, size)
         assert max(first + -(-n // each) for _, _, n, first, each, _ in runs) == len(gaps)
         assert {n: sum(r[2] for r in runs if r[0] == n) for n in counts} == counts
+
+
+def test_tokens_of_words_are_those_of_the_whole_text():
+    """Ids looked up word by word against the tokenizer's ids of the text as it stands."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from prodlens.llm import packing
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(6)
+    pool = list("abcXYZ019 .,;:!?*&%$#\"()'`[]{}<>|/-_=+~^@ \t\n\x00\x1c\x7féÉßñç中文🙂‘’“”…—") + ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "...", "  "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(80))).encode() for _ in range(3000)]
+    coded = packing.encode_texts(texts, packing.tokenizer_path())
+    whole = tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+    assert coded == [packing._ids(e) for e in whole]

@@ -100,3 +100,46 @@ def test_reputation_shrinks_and_blocks_only_on_evidence(spark):
     assert verdict["bad.x.com"] == "block" and verdict["h1.y.com"] == "allow"
     assert mean["h1.y.com"] < mean["new.x.com"] < 0.9 + 1e-9  # an unseen host has its domain's estimate
     assert urls.filter_pages(page(spark, []), spark.createDataFrame(labels, "page_id long, bad int")).count() == 0
+
+
+def test_time_of_a_long_conversation_grows_with_its_turns(spark):
+    import time
+
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.lit("word <x> " * 40).alias("text"))
+        start = time.perf_counter()
+        row = chat.digest(chat.format_conversations(turns)).first()
+        assert row.n_turns == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = min(seconds(8_000) for _ in range(2)), seconds(64_000)
+    assert large < 8 * small * 2.5 + 2
+
+
+def shard_by_hand(key, weights):
+    """Hash of key, shard and salt one after the other, each the seed of the next; the best score wins."""
+    import math
+    import struct
+
+    import xxhash
+
+    scores = []
+    for i, weight in enumerate(weights):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42) if key is not None else 42
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 0), xxhash.xxh64_intdigest(struct.pack("<i", i), h))
+        if weight > 0:
+            scores.append((-weight / math.log(((h >> 11) + 0.5) / 2.0**53), i))
+    return max(scores)[1]
+
+
+def test_shards_recomputed_by_hand(spark, docs_of):
+    rows = [(i * 7919 - 500_000, prose(i, 3)) for i in range(2000)] + [(None, "x")]
+    weights, grown = [1.0, 2.0, 0.0, 0.5], [1.0, 2.0, 0.0, 0.5, 1.0]
+    out = sharding.shard_documents(docs_of(rows), weights, grown).collect()
+    for r in out:
+        assert (r.shard, r.grown_shard) == (shard_by_hand(r.doc_id, weights), shard_by_hand(r.doc_id, grown))
+    for shard in {r.shard for r in out}:
+        mine = sorted((r for r in out if r.shard == shard), key=lambda r: r.slot)
+        ids = [-(2**63) if r.doc_id is None else r.doc_id for r in mine]
+        assert ids == sorted(ids) and [r.slot for r in mine] == list(range(len(mine)))
