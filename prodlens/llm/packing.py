@@ -19,7 +19,9 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ END_ID = 1
 LONGEST_REMEMBERED = 64
 REMEMBERED = 400_000
 SLICE_BYTES = 2_000_000
+WORDS_AT_ONCE = 4096
+PUNCTUATION = b".,;:!?*&%$#\"()"
+# letters below this are one pre-token in a row, but for the one that becomes two in lower case
+LATIN_END, DOTTED = "\u0250", "\u0130"
 PLACE_SCHEMA = "length long, rank_low long, count long, sequence_low long, per_sequence long, offset long"
 
 
@@ -56,7 +62,7 @@ def _ids(encoding) -> bytes:
 
 def _parts(word: bytes) -> tuple[bytes, bytes]:
     """A word and the punctuation at its end, which the tokenizer cuts off after an ASCII letter or digit."""
-    stem = word.rstrip(b".,;:!?*&%$#\"()")
+    stem = word.rstrip(PUNCTUATION)
     return (stem, word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
 
 
@@ -67,25 +73,58 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     runs without ASCII white space, one after the other; runs seen before come from a dictionary.
     It lower-cases all but its added tokens, so texts without those are looked up in lower case.
     """
-    tokenizer, known = _encoder(path)
+    known = _encoder(path)[1]
     cut = [t.split() if b"<|" in t else t.lower().split() for t in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    new = {w for words in cut for w in words if w not in known}
-    parts = {w: _parts(w) for w in new}
-    listed = list({x for pair in parts.values() for x in pair if x and x not in known})
-    coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in listed], add_special_tokens=False)
-    known.update(zip(listed, map(_ids, coded)))
-    for w, (stem, end) in parts.items():
-        if end:
-            known[w] = known[stem] + known[end]
-    out = [b"".join([known[w] for w in words]) for words in cut]
-    for w in new:
-        if len(w) > LONGEST_REMEMBERED:
-            known.pop(w, None)
+    new = set(chain.from_iterable(cut)).difference(known)
+    ended = {w: _parts(w) for w in new if w[-1] in PUNCTUATION}
+    parts = {w: pair for w, pair in ended.items() if pair[1]}
+    listed = new.difference(parts).union(x for pair in parts.values() for x in pair if x).difference(known)
+    plain, others = [], []
+    for x in listed:
+        letters = x.decode("utf-8", "replace")
+        latin = letters.isalpha() and (x.isascii() or (max(letters) < LATIN_END and DOTTED not in letters))
+        (plain if latin and len(x) <= LONGEST_REMEMBERED else others).append((x, letters))
+    known.update(_encode_letters(plain, path))
+    known.update(_encode_singly(others, path))
+    known.update((w, known[stem] + known[end]) for w, (stem, end) in parts.items())
+    out = [b"".join(map(known.__getitem__, words)) for words in cut]
+    for w in [w for w in new if len(w) > LONGEST_REMEMBERED]:
+        known.pop(w, None)
     return out
 
 
+@functools.cache
+def _ends_word(path: str) -> np.ndarray:
+    """Which ids are the last of a word: their entries carry the vocabulary's mark of a word's end."""
+    vocabulary = _encoder(path)[0].get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for entry, i in vocabulary.items() if entry.endswith("</w>")]] = True
+    return ends
+
+
+def _encode_singly(words: list[tuple[bytes, str]], path: str) -> Iterator[tuple[bytes, bytes]]:
+    coded = _encoder(path)[0].encode_batch_fast([w for _, w in words], add_special_tokens=False)
+    return zip([x for x, _ in words], map(_ids, coded))
+
+
+def _encode_letters(words: list[tuple[bytes, str]], path: str) -> Iterator[tuple[bytes, bytes]]:
+    """Each word of Latin letters with its ids. Such a word is one pre-token, so many are encoded as one text
+    and cut apart behind the ids that end a word."""
+    tokenizer, ends = _encoder(path)[0], _ends_word(path)
+    chunks = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+    coded = tokenizer.encode_batch_fast([" ".join(w for _, w in c) for c in chunks], add_special_tokens=False)
+    for chunk, encoding in zip(chunks, coded):
+        ids = np.array(encoding.ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) != len(chunk):  # a vocabulary without marks, or a letter that it takes apart
+            yield from _encode_singly(chunk, path)
+            continue
+        raw = ids.tobytes()
+        yield from zip([x for x, _ in chunk], [raw[a:b] for a, b in zip([0, *cuts], cuts)])
+
+
 def tokenize_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``size`` tokens: doc_id, piece, start, length, ids_crc32."""
 

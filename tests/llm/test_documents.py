@@ -290,6 +290,8 @@ def test_tokens_of_words_are_those_of_the_whole_text():
     rng = random.Random(6)
     pool = list("abcXYZ019 .,;:!?*&%$#\"()'`[]{}<>|/-_=+~^@ \t\n\x00\x1c\x7féÉßñç中文🙂‘’“”…—") + ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "...", "  "]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(80))).encode() for _ in range(3000)]
+    latin = [chr(c) for c in range(0xC0, 0x250)] + list("aeinst")
+    texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randrange(1, 9))) for _ in range(40)).encode() for _ in range(300)]
     coded = packing.encode_texts(texts, packing.tokenizer_path())
     whole = tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
     assert coded == [packing._ids(e) for e in whole]
