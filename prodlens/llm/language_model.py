@@ -8,28 +8,38 @@ half its own estimate and half the product of its children's. A bit's probabilit
 mixes the estimates of all depths along its context, each with the weight the training data gave it.
 
 Training counts are kept as runs of ``depth + 1`` bytes (a gram): tasks count their texts, one
-shuffle adds up. Trees that end in different last bytes only meet at the root, so each is
-weighted by a task of its own, and only the 255 root nodes of each come to the driver. The
-result is one log-probability per gram. All grams of all texts are in the table, those of
-unscored training texts with their counts and all others with 0, so no lookup misses.
+shuffle adds up. The nodes of contexts of ``JOINT`` bytes and more are weighted in buckets, dealt
+out by the last ``JOINT`` bytes, which all their nodes share; the few nodes above are summed up by
+one aggregate per level and joined back, so no task holds the tree of a frequent byte and none of
+it comes to the driver. The result is one log-probability per gram. All grams of all texts are in
+the table, those of training texts with their counts and all others with 0, so no lookup misses.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodlens.llm.storage import Stages
-from prodlens.llm.text import as_bytes, hash_words, map_batches, signed
+from prodlens.llm.text import as_bytes, forget_others, map_batches, mix, parts_of, signed
 
 DEPTH = 5
+# contexts from this length on are weighted inside one bucket
+JOINT = 3
 END = b"\n"
 WORD, GRAM = 0, 1
 SLICE_BYTES = 1_000_000
+# words up to this length are hashed eight bytes at a time, all together
+LANES_TO = 64
+# counts that a task holds before it adds equal ones up, and those it sends at once
+HELD_ROWS = 1_000_000
+SENT_ROWS = 200_000
 # tables up to these sizes are sent to every task (16 bytes a row); longer ones are joined
 MOST_WORDS = 6_000_000
 MOST_GRAMS = 8_000_000
@@ -49,158 +59,236 @@ def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
 
 
-def grams_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of every byte of the texts (given as words) one after the other, and each text's number of bytes."""
-    whole = [END * depth + b" ".join(words) + END for words in texts]
-    lengths = np.array([len(w) for w in whole], np.int64)
-    data = np.frombuffer(b"".join(whole), np.uint8).astype(np.int64)
+def normal(text: bytes, depth: int) -> bytes:
+    """What a text is scored as, after ``depth`` bytes that are only context."""
+    return END * depth + b" ".join(text.lower().split()) + END
+
+
+def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of the texts one after the other and each text's length, about a megabyte at a
+    time: each byte takes some hundred bytes in arrays."""
+    at, held = 0, 0
+    for i, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= SLICE_BYTES or i == len(texts):
+            part = texts[at:i]
+            yield np.frombuffer(b"".join(part), np.uint8), np.array([len(t) for t in part], np.int64)
+            at, held = i, 0
+
+
+def grams_of(data: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """The gram of every byte of the texts but the first ``depth`` of each."""
     code = np.zeros(max(len(data) - depth, 0), np.int64)
     for i in range(depth + 1):
-        code = (code << 8) | data[i : i + len(code)]
-    # the first `depth` bytes of a text are only context
+        code <<= 8
+        code |= data[i : i + len(code)]
     own = np.ones(len(data), bool)
     starts = np.cumsum(lengths) - lengths
     for i in range(depth):
         own[starts + i] = False
-    return code[own[depth:]], lengths - depth
+    return code[own[depth:]]
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts, and where each starts."""
+    apart = (data == 32) | (data == END[0])
+    edges = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]  # texts begin and end with a line end
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    keys = sizes.astype(np.uint64)
+    left = np.flatnonzero(sizes <= LANES_TO)
+    at = 0
+    while len(left):
+        rest = np.minimum(sizes[left] - at, 8).astype(np.uint64)
+        lane = eights[starts[left] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * rest))
+        keys[left] = mix((keys[left] ^ lane) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        at += 8
+        left = left[sizes[left] > at]
+    for i in np.flatnonzero(sizes > LANES_TO):
+        keys[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return signed(keys), starts
+
+
+# the key of a text's end; a word's key is this one with the chance of any two hashes
+END_KEY = np.int64(np.uint64(xxhash.xxh64_intdigest(END)).view(np.int64))
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys once, with the sum of their counts."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _slices(texts: list[list[bytes]]):
-    """The texts in slices of about a megabyte: each byte takes some hundred bytes in arrays."""
-    at, held = 0, 0
-    for i, words in enumerate(texts, 1):
-        held += sum(map(len, words)) + len(words)
-        if held >= SLICE_BYTES or i == len(texts):
-            yield texts[at:i]
-            at, held = i, 0
+class _Counts:
+    """Counts of one kind that a task has not sent yet."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.rows = kind, [], 0
 
+    def add(self, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((keys, n.astype(np.int64)))
+        self.rows += len(keys)
+        if self.rows >= HELD_ROWS:
+            self.parts = [_added(*map(np.concatenate, zip(*self.parts)))]
+            self.rows = len(self.parts[0][0])
+            if self.rows >= HELD_ROWS // 2:
+                yield from self.send()
 
-def _count_grams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    counted = [np.unique(grams_of(part, depth)[0], return_counts=True) for part in _slices(texts)]
-    if not counted:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, of = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
-    return keys, np.bincount(of, np.concatenate([n for _, n in counted]), len(keys)).astype(np.int64)
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            keys, n = _added(*map(np.concatenate, zip(*self.parts)))
+            for i in range(0, len(keys), SENT_ROWS):
+                k, c = keys[i : i + SENT_ROWS], n[i : i + SENT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), self.kind, np.int32)), pa.array(k), pa.array(c)], names=["kind", "key", "n"])
+        self.parts, self.rows = [], 0
 
 
 def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): counts of words and grams in training texts; grams of other texts with 0."""
+    """(kind, key, n): counts of words and grams in training texts; grams of other texts with 0.
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split = [t.lower().split() for t in batch.column("text").to_pylist()]
-        held = batch.column("held_out").to_pylist()
-        train = [w for w, h in zip(split, held) if not h]
-        words = hash_words([w for ws in train for w in ws])
-        keys, counts = np.unique(np.r_[words, np.full(len(train), end_key(), np.uint64)], return_counts=True)
-        grams, n = _count_grams(train, depth)
-        others = np.setdiff1d(_count_grams([w for w, h in zip(split, held) if h], depth)[0], grams)
-        kinds = np.repeat([WORD, GRAM, GRAM], [len(keys), len(grams), len(others)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.array(np.r_[signed(keys), grams, others]), pa.array(np.r_[counts, n, np.zeros(len(others), np.int64)])],
-            names=["kind", "key", "n"],
-        )
+    A task adds up what it has counted before it sends it, within ``HELD_ROWS``.
+    """
 
-    counted = map_batches(docs.select("text", "held_out"), work, "kind int, key long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
+        words, grams = _Counts(WORD), _Counts(GRAM)
+        for batch in batches:
+            for part in parts_of(batch):
+                texts, held = part.column("text").to_pylist(), part.column("held_out").to_pylist()
+                train = [normal(t, depth) for t, h in zip(texts, held) if not h]
+                for data, lengths in _slices(train):
+                    yield from words.add(*np.unique(words_of(data)[0], return_counts=True))
+                    yield from grams.add(*np.unique(grams_of(data, lengths, depth), return_counts=True))
+                if train:
+                    yield from words.add(np.array([END_KEY]), np.array([len(train)]))
+                for data, lengths in _slices([normal(t, depth) for t, h in zip(texts, held) if h]):
+                    keys = np.unique(grams_of(data, lengths, depth))
+                    yield from grams.add(keys, np.zeros(len(keys), np.int64))
+        yield from words.send()
+        yield from grams.send()
+
+    counted = docs.select("text", "held_out").mapInArrow(run, "kind int, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def end_key() -> np.uint64:
-    return hash_words([END])[0]  # no word holds white space
-
-
-class _Trees:
-    """The nodes of all contexts that end in one byte, for the grams of one group."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
-        self.depth, byte = depth, grams & 255
-        self.levels = []  # per bit: from the deepest context to one byte
-        for j in range(8):
-            prefix, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
-            weight, level = None, []
-            for d in range(depth, 0, -1):
-                context = (grams >> 8) & ((1 << (8 * d)) - 1)
-                nodes, first, of = np.unique((context << 8) | prefix, return_index=True, return_inverse=True)
-                zeros = np.bincount(of, n * (1 - bit), len(nodes))
-                ones = np.bincount(of, n * bit, len(nodes))
-                own = log_estimate(zeros, ones)
-                if weight is None:
-                    weighted, stay = own, np.ones(len(nodes))
-                else:  # the products of the children found in the round before
-                    below = np.bincount(of[child_first], weight, len(nodes))
-                    weighted = np.logaddexp(own, below) - np.log(2)
-                    stay = np.exp(own - np.log(2) - weighted)
-                level.append((of, zeros, ones, stay))
-                weight, child_first = weighted, first
-            self.levels.append((prefix, bit, level, nodes & 255, weight))
-
-    def roots(self):
-        """Per node below the root: bits so far, counts, log of the weighted probability."""
-        for _, _, level, prefix, weight in self.levels:
-            _, zeros, ones, _ = level[-1]
-            yield prefix, zeros, ones, weight
-
-    def log10(self, root_stay: np.ndarray, root_one: np.ndarray) -> np.ndarray:
-        total = 0.0
-        for prefix, bit, level, _, _ in self.levels:
+def _nodes(grams: np.ndarray, n: np.ndarray, depth: int, top: int):
+    """For each bit of the grams' last byte: the bits before it, the bit, and the nodes of contexts
+    from ``depth`` to ``top`` bytes, as (node of each gram, zeros, ones, weight of the own
+    estimate); then the nodes of ``top`` bytes and the logs of their weighted probabilities."""
+    byte = grams & 255
+    for j in range(8):
+        prefix, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+        weight, level = None, []
+        for d in range(depth, top - 1, -1):
+            context = (grams >> 8) & ((1 << (8 * d)) - 1)
+            nodes, first, of = np.unique((context << 8) | prefix, return_index=True, return_inverse=True)
+            zeros = np.bincount(of, n * (1 - bit), len(nodes))
+            ones = np.bincount(of, n * bit, len(nodes))
+            own = log_estimate(zeros, ones)
+            if weight is None:
+                weighted, stay = own, np.ones(len(nodes))
+            else:  # the products of the children found in the round before
+                below = np.bincount(of[child_first], weight, len(nodes))
+                weighted = np.logaddexp(own, below) - np.log(2)
+                stay = np.exp(own - np.log(2) - weighted)
+            level.append((of, zeros, ones, stay))
+            weight, child_first = weighted, first
+        yield prefix, bit, level, nodes, weight
+
+
+def _parent(node: Column, d: int) -> Column:
+    """The node of the last ``d`` context bytes above a node, with the same bits so far."""
+    context = F.shiftright(node, 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
+    return F.shiftleft(context, 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
+
+
+def _level(children: DataFrame, d: int) -> DataFrame:
+    """The nodes of ``d`` context bytes from those of one more: node, zeros, ones, weight, stay."""
+    sums = children.groupBy(_parent(F.col("node"), d).alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weight")])
+
+    def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
+        zeros, ones, below = (batch.column(c).to_numpy() for c in ("zeros", "ones", "weight"))
+        own = log_estimate(zeros, ones)
+        weighted = np.logaddexp(own, below) - np.log(2)
+        columns = [batch.column("node"), *map(pa.array, (zeros, ones, weighted, np.exp(own - np.log(2) - weighted)))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "zeros", "ones", "weight", "stay"])
+
+    return map_batches(sums, weigh, "node long, zeros double, ones double, weight double, stay double")
+
+
+def weigh_trees(stages: Stages, grams: DataFrame, depth: int) -> DataFrame:
+    """(key, logp): the model's log10 probability of every gram's last byte after the others."""
+    top = min(depth, JOINT)
+    buckets = 2 * int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucket(context: Column) -> Column:
+        return F.pmod(F.xxhash64(context.bitwiseAND(F.lit((1 << (8 * top)) - 1))), F.lit(buckets)).alias("bucket")
+
+    dealt = grams.select("key", "n", bucket(F.shiftright("key", 8)))
+
+    def read(table) -> tuple[np.ndarray, np.ndarray]:
+        return table.column("key").to_numpy(), table.column("n").to_numpy().astype(float)
+
+    def tops(table):
+        found = [(nodes, level[-1][1], level[-1][2], weight) for _, _, level, nodes, weight in _nodes(*read(table), depth, top)]
+        return pa.table(dict(zip(("node", "zeros", "ones", "weight"), map(pa.array, map(np.concatenate, zip(*found))))))
+
+    found = stages.write("tops", dealt.groupBy("bucket").applyInArrow(tops, "node long, zeros double, ones double, weight double"))
+    levels, below = [], found
+    for d in range(top - 1, -1, -1):
+        below = stages.write(f"level{d}", _level(below, d))
+        levels.append(below)
+    # from the root down: a one has probability ``a`` by the estimates so far, which have the weight 1 - ``b``
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    above: DataFrame | None = None
+    for d, level in enumerate(reversed(levels)):
+        if above is None:
+            above = level.select("node", (F.col("stay") * one).alias("a"), (1 - F.col("stay")).alias("b"))
+            continue
+        up = above.select(F.col("node").alias("up"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+        above = level.join(up, _parent(F.col("node"), d - 1) == F.col("up")).select(
+            "node", (F.col("a0") + F.col("b0") * F.col("stay") * one).alias("a"), (F.col("b0") * (1 - F.col("stay"))).alias("b")
+        )
+    needed = found.select(bucket(F.shiftright("node", 8)), _parent(F.col("node"), top - 1).alias("node")).distinct().join(above, "node")
+
+    def leaves(table, upper):
+        keys, n = read(table)
+        order = np.argsort(upper.column("node").to_numpy())
+        nodes, a, b = (upper.column(c).to_numpy()[order] for c in ("node", "a", "b"))
+        near, total = (keys >> 8) & ((1 << (8 * (top - 1))) - 1), np.zeros(len(keys))
+        for prefix, bit, level, _, _ in _nodes(keys, n, depth, top):
             p = None
             for of, zeros, ones, stay in level:
                 estimate = (np.where(bit, ones[of], zeros[of]) + 0.5) / (zeros[of] + ones[of] + 1)
                 p = estimate if p is None else stay[of] * estimate + (1 - stay[of]) * p
-            one = root_one[prefix]
-            p = root_stay[prefix] * np.where(bit, one, 1 - one) + (1 - root_stay[prefix]) * p
-            total = total + np.log10(p)
-        return total
-
-
-def weigh_trees(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, logp): the model's log10 probability of every gram's last byte after the others."""
-    grams = grams.withColumn("last", F.shiftright("key", 8).bitwiseAND(F.lit(255)).cast("int"))
-
-    def trees(table) -> _Trees:
-        return _Trees(table.column("key").to_numpy(), table.column("n").to_numpy().astype(float), depth)
+            at = np.searchsorted(nodes, (near << 8) | prefix)
+            total += np.log10(np.where(bit, a[at], 1 - b[at] - a[at]) + b[at] * p)
+        return pa.table({"key": table.column("key"), "logp": pa.array(total)})
 
-    def roots(table):
-        parts = [np.concatenate(x) for x in zip(*trees(table).roots())]
-        return pa.table(dict(zip(("node", "zeros", "ones", "weight"), map(pa.array, parts))))
-
-    found = grams.groupBy("last").applyInArrow(roots, "node long, zeros double, ones double, weight double")
-    rows = found.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weight")]).collect()
-    stay, one = np.ones(256), np.full(256, 0.5)
-    for r in rows:
-        own = log_estimate(np.array([r["zeros"]]), np.array([r["ones"]]))[0]
-        stay[r["node"]] = np.exp(own - np.logaddexp(own, r["weight"]))
-        one[r["node"]] = (r["ones"] + 0.5) / (r["zeros"] + r["ones"] + 1)
-
-    def leaves(table):
-        return pa.table({"key": table.column("key"), "logp": pa.array(trees(table).log10(stay, one))})
-
-    return grams.groupBy("last").applyInArrow(leaves, "key long, logp double")
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+    return dealt.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(leaves, "key long, logp double")
 
 
 def _collected(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     table = df.select("key", value).toArrow()
     keys, values = table.column("key").to_numpy(), table.column(value).to_numpy()
-    order = np.argsort(keys)
-    values = values[order]
     # counts that fit take half the room in every task
-    return keys[order], values.astype(np.uint32) if values.dtype == np.int64 and values.max(initial=0) < 2**32 else values
+    return keys, values.astype(np.uint32) if values.dtype == np.int64 and values.max(initial=0) < 2**32 else values
 
 
-class _Grams:
-    """Log-probabilities by gram, sorted by hashed slot; every gram asked for is in the table."""
+class _Table:
+    """Values by key, sorted by hashed slot; a key that is not there has the value 0."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.slot_bits = 22
+        self.slot_bits = max(8, min(24, len(keys).bit_length()))
         slots = self._slot(keys)
         order = np.argsort(slots, kind="stable")
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
+        # one more than the last, so that every place can be read
+        self.keys, self.values = np.r_[keys[order], np.int64(0)], np.r_[values[order].astype(np.float64), 0.0]
         self.starts = np.searchsorted(slots[order], np.arange(2**self.slot_bits + 1)).astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -208,15 +296,18 @@ class _Grams:
 
     def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
         slot = self._slot(wanted)
-        at = self.starts[slot]
-        left = np.flatnonzero(self.keys[at] != wanted)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        found = (self.keys[at] == wanted) & (at < end)
+        left = np.flatnonzero(~found & (at + 1 < end))
         while len(left):
             at[left] += 1
-            left = left[self.keys[at[left]] != wanted[left]]
-        return self.values[at]
+            found[left] = self.keys[at[left]] == wanted[left]
+            left = left[~found[left] & (at[left] + 1 < end[left])]
+        return np.where(found, self.values[at], 0.0)
 
 
-_READY: dict[str, _Grams] = {}  # the gram table that a worker has put in order, by the call it belongs to
+# the tables that a worker has put in order, by the call they belong to
+_READY: dict[str, tuple[_Table, _Table]] = {}
 
 
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -234,21 +325,20 @@ def _score_broadcast(docs: DataFrame, words: DataFrame, grams: DataFrame, tokens
         ready = _READY
         if name not in ready:
             ready.clear()
-            ready[name] = _Grams(*gram_model.value)
-        model = ready[name]
-        split = [t.lower().split() for t in batch.column("text").to_pylist()]
-        lengths = np.array([len(w) + 1 for w in split])
-        keys = signed(hash_words([w for ws in split for w in (*ws, END)]))
-        count = _lookup(*word_model.value, keys, 0)
-        base = _sums(np.log10(count + 0.5) - scale, lengths)
-        known = _sums((count > 0).astype(float), lengths)
-        sliced = []
-        for part in _slices(split):
-            codes, sizes = grams_of(part, depth)
-            sliced.append((_sums(model[codes], sizes), sizes))
-        score, sizes = (np.concatenate(x) for x in zip(*sliced))
+            ready[name] = _Table(*word_model.value), _Table(*gram_model.value)
+        counts, model = ready[name]
+        at_end = counts[np.array([END_KEY])][0]
+        parts = []
+        for data, sizes in _slices([normal(t, depth) for t in batch.column("text").to_pylist()]):
+            keys, starts = words_of(data)
+            n = np.diff(np.searchsorted(starts, np.cumsum(sizes)), prepend=0)
+            count, own = counts[keys], sizes - depth
+            base = _sums(np.log10(count + 0.5) - scale, n) + np.log10(at_end + 0.5) - scale
+            known = _sums((count > 0).astype(float), n).round().astype(np.int64) + (at_end > 0)
+            parts.append((n + 1, known, base, _sums(model[grams_of(data, sizes, depth)], own), own))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(score), pa.array(sizes)],
+            [batch.column("doc_id"), batch.column("held_out"), *columns],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
         )
 
@@ -263,8 +353,10 @@ def _score_joined(docs: DataFrame, words: DataFrame, grams: DataFrame, tokens: i
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for doc, held, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text_key", "text"))):
-            split = text.lower().split()
-            for kind, found in ((WORD, signed(hash_words([*split, END]))), (GRAM, grams_of([split], depth)[0])):
+            whole = normal(text, depth)
+            data = np.frombuffer(whole, np.uint8)
+            found_words, found_grams = np.r_[words_of(data)[0], END_KEY], grams_of(data, np.array([len(data)]), depth)
+            for kind, found in ((WORD, found_words), (GRAM, found_grams)):
                 keys, n = np.unique(found, return_counts=True)
                 parts.append((np.full(len(keys), kind, np.int32), keys, n, [doc] * len(keys), [held] * len(keys), np.full(len(keys), key)))
         kind, keys, n, doc, held, text_key = zip(*parts)
@@ -312,7 +404,7 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, most_words: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), as_bytes("text").alias("text"))
     counts = stages.write("counts", count_corpus(texts, depth))
     words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
-    grams = stages.write("grams", weigh_trees(counts.where(F.col("kind") == GRAM).select("key", "n"), depth))
+    grams = stages.write("grams", weigh_trees(stages, counts.where(F.col("kind") == GRAM).select("key", "n"), depth))
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total["n"] or 0, total["v"]
     small = distinct <= most_words and grams.count() <= most_grams

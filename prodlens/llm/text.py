@@ -99,29 +99,33 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``PART_BYTES`` of ``text`` or one row."""
+    if not batch.num_rows:
+        return
+    if "text" not in batch.schema.names:
+        yield batch
+        return
+    column = batch.column("text")
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    raw = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+    ends, at = raw[column.offset : column.offset + batch.num_rows + 1].astype(np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_BYTES, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``work`` on every Arrow batch of ``df``, in parts of at most ``PART_BYTES`` of ``text`` or one row,
     so that what a task builds from texts stays small however many rows a batch has."""
 
-    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if "text" not in batch.schema.names:
-            yield batch
-            return
-        column = batch.column("text")
-        wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
-        raw = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
-        ends, at = raw[column.offset : column.offset + batch.num_rows + 1].astype(np.int64), 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_BYTES, "right")) - 1)
-            yield batch.slice(at, stop - at)
-            at = stop
-
     user = work.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(user)
         for batch in batches:
-            for part in parts(batch) if batch.num_rows else ():
+            for part in parts_of(batch):
                 if (out := work(part)) is not None:
                     yield out
 

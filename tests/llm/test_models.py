@@ -129,17 +129,17 @@ def brute_ctw(train, texts, depth):
 LM_ROWS = [(i, " ".join(words(i, 12, 30))) for i in range(24)] + EDGE_TEXTS + [(3, " ".join(words(3, 12, 30)))]
 
 
-@pytest.mark.parametrize("limits", [(10**6, 10**6), (0, 0)])
-def test_language_model_matches_its_definition(docs_of, limits):
+@pytest.mark.parametrize("limits, depth", [((10**6, 10**6), 2), ((0, 0), 2), ((10**6, 10**6), 1), ((10**6, 10**6), 4)])
+def test_language_model_matches_its_definition(docs_of, limits, depth):
     held = F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False))
-    out = language_model.score_documents(docs_of(LM_ROWS), held, 2, *limits).collect()
+    out = language_model.score_documents(docs_of(LM_ROWS), held, depth, *limits).collect()
     assert len(out) == len(LM_ROWS)
     is_held = lambda d: d is not None and d % 4 == 1
     train = [(t or "").encode() for d, t in LM_ROWS if not is_held(d)]
     counts = Counter(w for t in train for w in [*t.lower().split(), b"\n"])
     n, v = sum(counts.values()), len(counts)
     want = []
-    for (d, t), score in zip(LM_ROWS, brute_ctw(train, [(t or "").encode() for _, t in LM_ROWS], 2)):
+    for (d, t), score in zip(LM_ROWS, brute_ctw(train, [(t or "").encode() for _, t in LM_ROWS], depth)):
         tokens = [*(t or "").encode().lower().split(), b"\n"]
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
         want.append((d is None, d or 0, is_held(d), len(tokens), sum(counts[w] > 0 for w in tokens), n, base, score))
@@ -148,6 +148,42 @@ def test_language_model_matches_its_definition(docs_of, limits):
         assert g[:6] == w[:6] and g[6:] == pytest.approx(w[6:], abs=1e-6)
 
 
+def test_words_of_a_slice_are_told_apart_by_their_bytes():
+    texts = [b"", b"a", b"a a\x00 \x00a ab", b"x" * 8 + b" " + b"x" * 9, b"y" * 64 + b" " + b"y" * 65 + b" " + b"y" * 65, " ".join(words(5, 40, 60)).encode()]
+    every = [language_model.normal(t, 3) for t in texts]
+    keys, starts = language_model.words_of(np.frombuffer(b"".join(every), np.uint8))
+    flat = [w for t in texts for w in t.split()]
+    assert len(keys) == len(flat) == len(starts) and len(set(keys)) == len(set(flat))
+    assert len(set(zip(keys, flat))) == len(set(flat))
+
+
+def test_counts_are_added_up_within_bounds(monkeypatch):
+    monkeypatch.setattr(language_model, "HELD_ROWS", 50)
+    monkeypatch.setattr(language_model, "SENT_ROWS", 7)
+    held, want, got = language_model._Counts(1), Counter(), Counter()
+    rng = np.random.default_rng(3)
+    sent = []
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 60, 30))
+        want.update(dict.fromkeys(keys.tolist(), 2))
+        sent += held.add(keys, np.full(len(keys), 2))
+        assert held.rows < 50
+    sent += held.send()
+    for batch in sent:
+        assert batch.num_rows <= 7
+        for r in batch.to_pylist():
+            got[r["key"]] += r["n"]
+    assert got == want and not list(held.send())
+
+
+def test_a_table_gives_zero_for_other_keys():
+    keys = np.arange(-500, 500, 3)
+    table = language_model._Table(keys, keys * 2 + 1.0)
+    asked = np.arange(-600, 600)
+    assert table[asked].tolist() == [2.0 * k + 1 if k in set(keys.tolist()) else 0.0 for k in asked.tolist()]
+    assert language_model._Table(keys[:0], keys[:0])[asked].tolist() == [0.0] * len(asked)
+
+
 def test_language_model_edges(docs_of):
     empty = language_model.score_documents(docs_of([]), F.lit(False), 2)
     assert empty.count() == 0
