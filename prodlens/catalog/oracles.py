@@ -658,6 +658,10 @@ BODIES = {
         SELECT year, coalesce(n, 0) AS n_rows, lo AS first_date, hi AS last_date, n IS NULL AS is_gap FROM y LEFT JOIN f ON f.anio = y.year""",
     "partition_identity": """
         SELECT anio AS year, count(*) AS n_rows, min(fecha) AS first_date, max(fecha) AS last_date FROM production GROUP BY 1""",
+    "footer_identity": """
+        SELECT anio AS year, count(*) AS n_rows, min(fecha) AS first_date, max(fecha) AS last_date FROM production GROUP BY 1""",
+    "year_refresh": """
+        SELECT anio, count(*) AS n_rows, round(sum(prod_pet), 2) AS oil_m3, 1::BIGINT AS releases FROM production GROUP BY 1""",
     "content_fingerprint": "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS sha256 FROM documents",
     "csv_quarantine": """
         SELECT CASE WHEN idpozo % 2 = 0 THEN 'a' ELSE 'b' END AS part, count(*) AS n_good, 0 AS n_bad FROM register GROUP BY 1

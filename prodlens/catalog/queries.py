@@ -19,7 +19,7 @@ from prodlens.operators import aggregates, classify, encode, filters, ranking, s
 from prodlens.plans import cubes, curves, enrich, quality, summary, views
 from prodlens.plans.enrich import MONTH, WELL
 from prodlens.plans.spec import QueryEngine
-from prodlens.sources import intake, lookup, scans, sinks
+from prodlens.sources import intake, lookup, releases, scans, sinks
 from prodlens.sources.store import EntityStore, open_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -822,6 +822,35 @@ def partition_identity(p: Panel) -> DataFrame:
     )
 
 
+@query
+def footer_identity(p: Panel) -> DataFrame:
+    """The same from the footers of the files, without reading a column."""
+    path = new_work_path(p.spark, "by-year")
+    intake.write_by_year(p.monthly_production, path)
+    files = intake.require_year_files(intake.identify_files(p.spark, [path]))
+    return files.groupBy("year").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")
+    )
+
+
+@query
+def year_refresh(p: Panel) -> DataFrame:
+    """Years published with values that were wrong in every third year, which are then published anew: rows and
+    oil of each year, and how many releases later its rows are than the first."""
+    out, rows = new_work_path(p.spark, "published"), pin(p.monthly_production)
+    third = F.col("anio") % 3 == 0
+    wrong = rows.withColumn("prod_pet", F.when(third, F.col("prod_pet") * 2 + 1).otherwise(F.col("prod_pet")))
+    releases.refresh(p.spark, wrong, out, "panel")
+    releases.refresh(p.spark, rows.where(third), out, "panel")
+    files = F.element_at(F.split(F.col("_metadata.file_path"), f"/{releases.RELEASE}="), -1)
+    panel = releases.open_table(p.spark, out, "panel")
+    return panel.groupBy("anio").agg(
+        F.count("*").alias("n_rows"),
+        F.round(F.sum("prod_pet"), 2).alias("oil_m3"),
+        F.countDistinct(F.split(files, "/")[0]).alias("releases"),
+    )
+
+
 @query
 def duplicate_years(p: Panel) -> DataFrame:
     """Yearly files of which some come twice, as copies or as shorter versions; one of each year stays."""

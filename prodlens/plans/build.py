@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -23,6 +22,7 @@ from prodlens.plans.curves import CURVE_DIMS, curve_rows, type_curve
 from prodlens.plans.enrich import MONTH, WELL, prod_monthly, well_attrs
 from prodlens.plans.quality import QualityGateError, budget_check, cube_matches_source, cubes_match
 from prodlens.plans.summary import summary_sections
+from prodlens.sources import releases
 from prodlens.sources.sinks import (
     build_manifest,
     write_labels,
@@ -62,8 +62,9 @@ def build(
 ) -> DataFrame:
     """Write every table under ``out`` and return the manifest.
 
-    Everything is written beside ``out`` first. Only after all gates have passed do the new tables
-    take the places of the old ones, so a failed build leaves the last good one as it was.
+    Everything is written to a folder of its own below ``out``. Only after all gates have passed does one
+    pointer publish all tables together (``sources.releases``; read them with its ``open_table`` and
+    ``place``), so there is no moment without tables and a failed build leaves the last good one as it was.
 
     The fact, the attributes and the cubes are written before they are used again, so no
     later step repeats a temporal join. Gates: rows before and after
@@ -72,8 +73,8 @@ def build(
     section of the summary.
     """
     out = out.rstrip("/")
-    aside = f"{out}-new-{uuid.uuid4().hex}"
-    at = lambda name: f"{aside}/{name}"
+    folder = f"releases/{releases.new_release()}"
+    at = lambda name: f"{out}/{folder}/{name}"
 
     attrs = well_attrs(
         inputs.wells, inputs.history, inputs.events, inputs.register, inputs.production,
@@ -122,20 +123,9 @@ def build(
         over = budget_check(sizes, limits).where("NOT ok").collect()
         if over:
             raise QualityGateError(f"outputs over their limit: {over}")
-    publish(spark, aside, out)
-    parquet = {n: f"{out}/{n}" for n in published[:5]}
-    manifest = with_rows(build_manifest(spark, {n: f"{out}/{n}" for n in published}), spark, parquet)
-    manifest.write.mode("overwrite").json(f"{out}/manifest")
-    return spark.read.json(f"{out}/manifest")
-
-
-def publish(spark: SparkSession, aside: str, out: str) -> None:
-    """Move the tables of a checked build over those of the last one."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm_path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm_path(out))
-    for status in fs.listStatus(jvm_path(aside)):
-        name = status.getPath().getName()
-        fs.delete(jvm_path(f"{out}/{name}"), True)
-        fs.rename(status.getPath(), jvm_path(f"{out}/{name}"))
-    fs.delete(jvm_path(aside), True)
+    parquet = {n: at(n) for n in published[:5]}
+    manifest = with_rows(build_manifest(spark, {n: at(n) for n in published}), spark, parquet)
+    manifest.write.mode("overwrite").json(at("manifest"))
+    tables_of = [*published, "well_attrs", "prod_monthly", "manifest"]
+    releases.publish(spark, out, {n: [f"{folder}/{n}"] for n in tables_of})
+    return spark.read.json(at("manifest"))

@@ -94,6 +94,62 @@ def identify_partitions(files: DataFrame, at: str = MONTH) -> DataFrame:
     return per_file.withColumn("year", lo).withColumn("one_year", lo == hi)
 
 
+def footer_dates(files: DataFrame, at: str = MONTH) -> DataFrame:
+    """Adds ``n_rows``, ``first_date`` and ``last_date`` to Parquet files given by ``path``, from their footers:
+    no column is read. A file with a row group that states no limits has NULL dates and ``stated`` false."""
+    schema = files.schema.add("n_rows", "long").add("first_date", "date").add("last_date", "date").add("stated", "boolean")
+    opened = opener()
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import datetime
+
+        import pyarrow.parquet as pq
+
+        def day(value):
+            return value.date() if isinstance(value, datetime.datetime) else value
+
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                system, place = opened(path)
+                with system.open_input_file(place) as file:
+                    footer = pq.ParquetFile(file).metadata
+                names = [footer.schema.column(i).path for i in range(footer.num_columns)]
+                groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
+                stats = [g.column(names.index(at)).statistics for g in groups if g.num_rows]
+                # a group of NULLs alone has no limits, but says so
+                blank = [s is not None and s.has_null_count and s.null_count == g.num_rows for s, g in zip(stats, (g for g in groups if g.num_rows))]
+                some = [s for s, b in zip(stats, blank) if not b]
+                stated = all(s is not None and s.has_min_max for s in some)
+                lows, highs = ([day(s.min) for s in some], [day(s.max) for s in some]) if stated else ([], [])
+                found.append((footer.num_rows, min(lows, default=None), max(highs, default=None), stated))
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.date32(), pa.date32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    n = max(1, min(files.count(), 10_000))
+    return files.repartition(n, "path").mapInArrow(limits, schema)
+
+
+def identify_files(spark: SparkSession, paths: Sequence[str], at: str = MONTH) -> DataFrame:
+    """What ``identify_partitions`` says of the files below ``paths``, from their footers. Files whose footers
+    lack the limits are scanned, and so is everything in a store that only Spark's readers know."""
+    files = file_manifest(spark, paths, hashes=False).where(F.col("file").endswith(".parquet")).select("path", "uri")
+    first = files.select("path").first()
+    if first is None or not streamable(first.path):
+        return identify_partitions(spark.read.parquet(*paths), at)
+    # written once: the footers are read by one job, and whether some must be scanned by the next
+    log = new_work_path(spark, "footers")
+    footer_dates(files, at).write.parquet(log)
+    seen = spark.read.parquet(log)
+    columns = ["uri", "n_rows", "first_date", "last_date"]
+    found = seen.where("stated").select(*columns)
+    if unstated := [r.path for r in seen.where("NOT stated").select("path").collect()]:
+        scanned = identify_partitions(spark.read.parquet(*unstated), at)
+        found = found.unionByName(scanned.select(*columns[:2], *[F.col(c).cast("date").alias(c) for c in columns[2:]]))
+    lo, hi = F.year("first_date"), F.year("last_date")
+    return found.where("n_rows > 0").withColumn("year", lo).withColumn("one_year", lo == hi)
+
+
 def require_year_files(identified: DataFrame) -> DataFrame:
     """Refuse files that span two years."""
     bad = identified.where(~F.coalesce("one_year", F.lit(False)))
@@ -179,7 +235,7 @@ def ingest(spark: SparkSession, paths: Sequence[str], out: str, at: str = MONTH)
 
     Raises on files spanning years and on missing years, before anything is written to ``out``.
     """
-    identified = require_year_files(identify_partitions(spark.read.parquet(*paths), at))
+    identified = require_year_files(identify_files(spark, paths, at))
     decided = resolve_duplicates(identified, file_manifest(spark, paths))
     # the decision is written once, so that reading the kept files and reporting agree
     log = new_work_path(spark, "intake")

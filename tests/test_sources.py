@@ -12,7 +12,7 @@ from prodlens.common import new_work_path, work_dir
 from prodlens.plans.build import BuildInputs, build
 from prodlens.plans.cubes import well_history
 from prodlens.plans.quality import QualityGateError
-from prodlens.sources import intake, lookup, scans, sinks
+from prodlens.sources import intake, lookup, releases, scans, sinks
 
 
 @pytest.fixture(scope="module")
@@ -198,12 +198,18 @@ def test_build_end_to_end(spark, panel, fact, tmp_path):
         "agg_monthly", "agg_block", "typecurve", "wells_slim", "wells", "dims", "formation_names", "summary"}
     sizes = {r.output: r.n_rows for r in manifest.select("output", "n_rows").distinct().collect()}
     assert sizes["wells_slim"] == 11 and sizes["dims"] is None
-    assert spark.read.parquet(f"{out}/typecurve").agg(F.max("wells")).first()[0] == 5
-    assert lookup.entity_history(spark, f"{out}/wells", 1).count() == 5
-    kpi = spark.read.json(f"{out}/summary/kpi").first()
+    assert releases.open_table(spark, out, "typecurve").agg(F.max("wells")).first()[0] == 5
+    assert lookup.entity_history(spark, releases.place(spark, out, "wells"), 1).count() == 5
+    kpi = spark.read.json(f"{releases.place(spark, out, 'summary')}/kpi").first()
     assert kpi.wells == 11
-    names = by_key(spark.read.json(f"{out}/formation_names"), "formprod")
+    names = by_key(spark.read.json(releases.place(spark, out, "formation_names")), "formprod")
     assert names["VMUT"].formacion == "vaca muerta"
     assert well_history(fact).columns == ["idpozo", "fecha", "oil_m3", "gas_e3m3", "water_m3", "effective_hours"]
     with pytest.raises(QualityGateError, match="limit"):
         build(spark, inputs, str(tmp_path / "tight"), ["event_id"], limits={"agg_monthly": 1})
+    # a build that fails between two tables leaves the whole old set
+    before = releases.published(spark, out)
+    with pytest.raises(QualityGateError, match="limit"):
+        build(spark, inputs, out, ["event_id"], limits={"agg_monthly": 1})
+    assert releases.published(spark, out) == before
+    assert releases.open_table(spark, out, "wells_slim").count() == 11
