@@ -67,7 +67,7 @@ URL_RULES = [
 ]
 BAD_SHARE, BAD_Z = 0.15, 1.645
 
-OP10_SQL = """
+OP10_SQL = r"""
 WITH known AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1
@@ -76,11 +76,13 @@ WITH known AS (
     translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
   FROM pages
-), hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
-    string_split(host, '.')[-1] AS suffix,
-    CASE WHEN contains(host, '.') THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain
+), sites AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(host, '^[\s\S]*@|:[0-9]*\z', '', 'g') AS site
   FROM seen LEFT JOIN known USING (page_id) GROUP BY host
+), hosts AS (
+  SELECT host, n, bad, suffix,
+    CASE WHEN length(site) > length(suffix) THEN string_split(left(site, length(site) - length(suffix) - 1), '.')[-1] || '.' || suffix ELSE site END AS domain
+  FROM (SELECT *, regexp_extract(site, '(?:^|\.)(SUFFIXES|[^.]*)\z', 1) AS suffix FROM sites)
 ), s0 AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS m FROM hosts GROUP BY suffix
 ), sk AS (SELECT coalesce(1 / least(greatest(sum(n * (bad / n - m) * (bad / n - m) / (m * (1 - m)) - 1) / sum(n - 1), 1 / 10001), 1 / 1.01::DOUBLE) - 1, 10) AS k FROM s0 WHERE n >= 2),
@@ -107,13 +109,16 @@ FROM judged
 """
 
 
+OP10_SQL = OP10_SQL.replace("SUFFIXES", "|".join(urls.PUBLIC_SUFFIXES).replace(".", r"\."))
+
+
 @registered("op10_url_filters", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose label says low quality are the bad outcomes."""
     bad = F.when(F.col("quality").isNotNull(), (F.col("quality") == 0).cast("int"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_pages(pages, labels, URL_RULES, limit=BAD_SHARE, z=BAD_Z)
+    return urls.filter_pages(pages, labels, URL_RULES, urls.PUBLIC_SUFFIXES, BAD_SHARE, BAD_Z)
 
 
 # words, distinct shingles and their number per document; the oracles of both shingle operators start with it

@@ -8,6 +8,7 @@ bad pages is above a limit, so few outcomes alone never block one.
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Sequence
 
@@ -16,6 +17,22 @@ from pyspark.sql import functions as F
 
 from prodlens.llm.storage import Stages
 
+# Public suffixes of two labels below which anybody can register a name. A user's own list
+# may take their place.
+PUBLIC_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk",
+    "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "ac.kr", "co.kr", "go.kr", "or.kr",
+    "ac.in", "co.in", "gov.in", "net.in", "org.in",
+    "ac.za", "co.za", "gov.za", "org.za",
+    "com.ar", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.pe", "com.ph", "com.pl", "com.sg",
+    "com.tr", "com.tw", "com.ua", "com.uy", "com.ve", "com.vn",
+    "edu.cn", "gov.br", "gov.cn", "net.br", "net.cn", "org.br", "org.cn",
+    "ac.il", "co.il", "co.id", "co.th", "ac.th", "or.th",
+    "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "web.app",
+)
 LEVELS = ("suffix", "domain", "host")
 DEFAULT_STRENGTH = 10.0
 BROADCAST_BYTES = 32_000_000
@@ -29,11 +46,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def host_levels(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
-    """Suffix and registered domain. The suffix is the longest of ``suffixes`` that fits, or else
-    the last label; the domain has one label more. A host that is a suffix is its own domain."""
-    suffix = F.substring_index(host, ".", -1)
-    for known in sorted(suffixes, key=len):
-        suffix = F.when((host == known) | host.endswith("." + known), F.lit(known)).otherwise(suffix)
+    """Suffix and registered domain of a host, without a user before it and a port behind. The suffix
+    is the longest of ``suffixes`` that fits, or else the last label; the domain has one label
+    more. A host that is a suffix is its own domain."""
+    host = F.regexp_replace(host, r"^[\s\S]*@|:[0-9]*\z", "")
+    # the first match from the left is the longest suffix
+    known = "".join(f"{re.escape(suffix)}|" for suffix in suffixes)
+    suffix = F.regexp_extract(host, rf"(?:^|\.)({known}[^.]*)\z", 1)
     rest = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
     domain = F.when(F.length(rest) > 0, F.concat(F.substring_index(rest, ".", -1), F.lit("."), suffix))
     return suffix, F.coalesce(domain, host)

@@ -102,6 +102,28 @@ def test_reputation_shrinks_and_blocks_only_on_evidence(spark):
     assert urls.filter_pages(page(spark, []), spark.createDataFrame(labels, "page_id long, bad int")).count() == 0
 
 
+def test_suffixes_users_and_ports(spark):
+    want = {
+        "b.co.uk": ("co.uk", "b.co.uk"), "x.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "xco.uk": ("uk", "xco.uk"),
+        "a.com:8080": ("com", "a.com"), "me:pw@w.a.com:": ("com", "a.com"), "a@b@c.io": ("io", "c.io"), "y.github.io": ("github.io", "y.github.io"),
+        "": ("", ""), "localhost:1": ("localhost", "localhost"), "a.": ("", "a."), ".com": ("com", ".com"), "a.com:80\n": ("com:80\n", "a.com:80\n"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    suffix, domain = urls.host_levels(F.col("host"), urls.PUBLIC_SUFFIXES)
+    assert {r[0]: (r[1], r[2]) for r in hosts.select("host", suffix, domain).collect()} == want
+    plain = hosts.select("host", urls.host_levels(F.col("host"))[0].alias("s")).collect()
+    assert {r.host: r.s for r in plain}["b.co.uk"] == "uk"
+
+
+def test_sites_below_a_public_suffix_do_not_share_labels(spark):
+    pages = [(i, f"http://bad.co.uk/{i}") for i in range(40)] + [(100, "http://other.co.uk/"), (101, "http://new.bad.co.uk:81/")]
+    pages += [(200 + i, f"http://good{i}.co.uk/") for i in range(40)]
+    labels = [(i, 1) for i in range(40)] + [(200 + i, 0) for i in range(40)]
+    rows = urls.filter_pages(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), (), urls.PUBLIC_SUFFIXES).collect()
+    mean = {r["host"]: r["mean"] for r in rows}
+    assert mean["other.co.uk"] < 0.6 < 0.8 < mean["new.bad.co.uk:81"]
+
+
 def test_time_of_a_long_conversation_grows_with_its_turns(spark):
     import time
 
