@@ -8,9 +8,10 @@ with equal sets are one class from the start. Then
 2. shingles are ordered by that count, rarest first, those outside the region last by hash. Two
    linked sets of n shingles share one of their first n - ceil(0.8 n) + 1, so a class whose
    first ones occur nowhere else is proved unlinked, and the rest post only the others;
-3. the classes of a posted shingle are split into bands of fitting sizes, and the first of a band
-   leads the others; a leader with all it leads, over all shingles, is a tile, so a set is
-   sent once per leader and not once per shingle;
+3. the classes of a posted shingle are split into bands of sizes, so wide that two linked sets lie in one
+   band or in neighbouring ones; one class of a band, found by an aggregate, leads it and the next band;
+   a leader with all it leads, over all shingles, is a tile, so a set is sent once per leader and
+   not once per shingle. No task needs all classes of a shingle for this;
 4. a tile compares its sets with hashed bitmaps. Each shingle flips one of 1024 bits, so the number
    of bits in which two maps differ bounds the sets' difference from below and their overlap
    from above; pairs that may still reach 0.8 are intersected exactly as sorted arrays,
@@ -23,6 +24,7 @@ missed: only pairs already connected, or excluded by a bound, are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ from prodlens.llm.text import as_bytes, list_array, map_batches, shingle_set, si
 WIDTH = 5
 REGION = np.uint64(int(0.3 * 2**64))
 MANY = 255  # counts are told apart up to here; an order needs no more
+# sizes of linked sets differ by a factor of 1.25 at most; a little more keeps clear of rounding
+BAND = 1.26
 SIGNATURE_BITS = 1024
 BLOCK = 2048
 
@@ -108,27 +112,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told(token, sets)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each class with the leader of its band, in rows sorted by (token, n, set_id).
-
-    A band starts with the class that the leader before it cannot link to for its size. A class
-    may link across two bands, so the classes of a band are also led by the leader before.
-    """
-    token = None
-    leaders: list[tuple] = []
-    for batch in batches:
-        firsts, others = [], []
-        for t, n, s in zip(*(batch.column(c).to_pylist() for c in ("token", "n", "set_id"))):
-            if t != token:
-                token, leaders = t, [(s, n)]
-            elif s != leaders[-1][0]:
-                if 4 * n > 5 * leaders[-1][1]:
-                    leaders = [leaders[-1], (s, n)]
-                for lead, _ in leaders:
-                    if lead != s:
-                        firsts.append(lead)
-                        others.append(s)
-        yield _pairs(firsts, others)
+def _led(postings: DataFrame, stages: Stages) -> DataFrame:
+    """Pairs (a, b) of each class with the leader of its band, and with that of the band below, by token."""
+    band = F.floor(F.log("n") / F.lit(math.log(BAND))).cast("int")
+    leaders = postings.groupBy("token", band.alias("band")).agg(F.min("set_id").alias("a"))
+    # written, so that the join has shuffles on both sides and the planner can split a common token's
+    leaders = stages.write("leaders", leaders)
+    led = postings.select("token", F.explode(F.array(band, band - 1)).alias("band"), F.col("set_id").alias("b"))
+    return led.join(leaders, ["token", "band"]).where("a <> b").select("a", "b").distinct()
 
 
 def _pairs(a: list, b: list) -> pa.RecordBatch:
@@ -244,8 +235,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     posted = F.concat(F.transform(F.slice("found", F.lit(1), F.greatest(need, F.lit(0))), lambda x: x["token"]), F.col("extra"))
     postings = stages.write("postings", found.select("set_id", "n", F.explode(posted).alias("token")))
 
-    tiled = postings.repartition("token").sortWithinPartitions("token", "n", "set_id")
-    pairs = stages.write("pairs", tiled.mapInArrow(_stars, "a long, b long").distinct())
+    pairs = stages.write("pairs", _led(postings, stages))
     wanted = postings.select("set_id").distinct().join(classes, "set_id").where("rep IS NOT NULL")
     wanted = stages.write("wanted", wanted.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("want")))
     chosen = texts.join(broadcast_ids(wanted), "doc_id")
@@ -263,7 +253,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     full = map_batches(chosen, whole, "set_id long, shingles binary").dropDuplicates(["set_id"])
     full = stages.write("full", full)
     edges = stages.write("edges", _links(pairs, full, stages))
-    stages.drop("pairs", "full", "wanted", "postings")
+    stages.drop("pairs", "full", "wanted", "postings", "leaders")
     found = connected_components(edges, "a", "b", stages)
     labels = classes.select("set_id").join(found, F.col("set_id") == F.col("node"), "left")
     labels = stages.write("labels", labels.select("set_id", F.coalesce("component", "set_id").alias("label")))
