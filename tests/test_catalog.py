@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import pytest
 from compare import compare, duck
 
@@ -38,3 +39,22 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, con, name):
     assert compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF) is None
+
+
+def test_national_monthly_keeps_every_cent(spark, con, tmp_path):
+    """A month of little production is not cut to nothing, and the SQL says the same."""
+    small = tmp_path / "star"
+    small.mkdir()
+    for table in ("customer", "nation", "region", "embeddings", "supplier", "lineitem"):
+        con.execute(f"COPY {table} TO '{small}/{table}.parquet'")
+    con.execute(
+        f"""COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 12.13 END AS o_totalprice)
+                  FROM orders) TO '{small}/orders.parquet'"""
+    )
+    own = duckdb.connect()
+    for table in ("customer", "nation", "region", "embeddings", "supplier", "lineitem", "orders"):
+        own.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    query, sql = entry.queries()["national_monthly"], entry.oracle_sql()["national_monthly"]
+    assert compare(spark, own, "national_monthly", query, sql, str(small)) is None
+    rows = query(spark, str(small)).collect()
+    assert any(0 < r.oil_m3 < 1000 and r.oil_m3 != int(r.oil_m3) for r in rows)
