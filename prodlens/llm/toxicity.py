@@ -47,14 +47,29 @@ LEAST_DEVIANCE, LEAST_RATIO, LEAST_SHARE = 30.0, 10.0, 0.004
 
 def _pieces(word: bytes) -> list[bytes]:
     """The codes of a word, in pieces of at most PIECE runs."""
-    letters = word.decode("utf-8", "replace")
+    digest = xxhash.xxh64_digest
+    if word.isascii():  # a run that the end cuts short is inside the run before it
+        stem, codes = digest(word[:4]), [digest(b"5" + word[i : i + 5]) for i in range(max(len(word) - 4, 1))]
+    else:
+        letters = word.decode("utf-8", "replace")
+        stem = digest(letters[:4].encode())
+        if max(letters) < "\u0800":
+            codes = [digest(b"5" + letters[i : i + 5].encode()) for i in range(max(len(letters) - 4, 1))]
+        else:
+            codes = _mixed_codes(letters)
+    if len(codes) <= PIECE:
+        return [stem + b"".join(codes)]
+    pieces = [b"".join(codes[i : i + PIECE]) for i in range(0, len(codes), PIECE)]
+    return [stem + pieces[0], *pieces[1:]]
+
+
+def _mixed_codes(letters: str) -> list[bytes]:
+    """A code for each run of a word with letters from U+0800 on."""
     runs = [letters[i : i + (2 if c >= "\u0800" else 5)] for i, c in enumerate(letters)]
     # a run that the end cuts short is inside the run before it
     runs = [r for i, r in enumerate(runs) if i == 0 or len(r) == (2 if r[0] >= "\u0800" else 5) or len(runs[i - 1]) < len(r) + 1]
     # a run of 2 letters may be all of a word and gets two codes, as the shortest Latin word does
-    codes = [xxhash.xxh64_digest(b"5" + r.encode()) + (xxhash.xxh64_digest(b"2" + r.encode()) if r[0] >= "\u0800" else b"") for r in runs]
-    pieces = [b"".join(codes[i : i + PIECE]) for i in range(0, len(codes), PIECE)]
-    return [xxhash.xxh64_digest(letters[:4].encode()) + pieces[0], *pieces[1:]]
+    return [xxhash.xxh64_digest(b"5" + r.encode()) + (xxhash.xxh64_digest(b"2" + r.encode()) if r[0] >= "\u0800" else b"") for r in runs]
 
 
 _PIECES = Memory(_pieces)

@@ -68,6 +68,27 @@ def test_toxicity_reads_whole_words(spark, docs_of, kind):
     assert sum(truth[r["doc_id"]] == r["predicted"] for r in out) >= 0.95 * len(out)
 
 
+def test_toxicity_plain_words_are_coded_directly(monkeypatch):
+    """Only words with letters from U+0800 on go through runs of two widths; all get the codes of their runs."""
+
+    def by_definition(word):
+        letters, wide = word.decode("utf-8", "replace"), lambda c: c >= "\u0800"
+        runs = [letters[i : i + (2 if wide(c) else 5)] for i, c in enumerate(letters)]
+        runs = [r for i, r in enumerate(runs) if i == 0 or len(r) == (2 if wide(r[0]) else 5) or len(runs[i - 1]) < len(r) + 1]
+        codes = [toxicity.xxhash.xxh64_digest(b"5" + r.encode()) + (toxicity.xxhash.xxh64_digest(b"2" + r.encode()) if wide(r[0]) else b"") for r in runs]
+        parts = [b"".join(codes[i : i + toxicity.PIECE]) for i in range(0, len(codes), toxicity.PIECE)]
+        return [toxicity.xxhash.xxh64_digest(letters[:4].encode()) + parts[0], *parts[1:]]
+
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abz.\u00e9\u0436\u07ff\u0800\u4e2d\U0001f600") for _ in range(rng.randint(1, 14))).encode() for _ in range(3000)]
+    some += [bytes(rng.randrange(33, 256) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    some += [letter.encode() * n for letter in ("a", "\u00e9") for n in range(1, 80)]
+    assert [toxicity._pieces(w) for w in some] == [by_definition(w) for w in some]
+    monkeypatch.setattr(toxicity, "_mixed_codes", None)
+    for word in ("plain", "sentences", "a", "caf\u00e9", "\u0436\u0436\u0436\u0436\u0436\u0436"):
+        assert toxicity._pieces(word.encode()) == by_definition(word.encode())
+
+
 def test_toxicity_codes_cover_every_letter():
     for word in ("a", "abcd", "worthless", "毒", "毒蛇虫", "x毒蛇ab", "привет", "a" * 15 + "bcdefgh" * 30):
         codes = list(toxicity.stems_of(toxicity.codes_of(word.encode())))
