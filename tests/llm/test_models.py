@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import subprocess
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -169,6 +171,45 @@ def test_language_model_matches_its_definition(docs_of, limits, depth):
         assert g[:6] == w[:6] and g[6:] == pytest.approx(w[6:], abs=1e-6)
 
 
+def test_language_model_scores_in_rounds_as_in_one(docs_of, monkeypatch):
+    held = F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False))
+    run = lambda *limits: sorted(language_model.score_documents(docs_of(LM_ROWS), held, 2, *limits).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[6]))
+    whole, written, write = run(10**6, 10**6), [], language_model.Stages.write
+    monkeypatch.setattr(language_model.Stages, "write", lambda self, label, df: written.append(label) or write(self, label, df))
+    for name, value in (("REST_BYTES", 10), ("ROUND_BYTES", 1), ("REST_ROWS", 3)):
+        monkeypatch.setattr(language_model, name, value)
+    for limits in ((40, 100), (10**6, 100), (40, 10**6)):
+        written.clear()
+        parts = run(*limits)
+        assert len(parts) == len(whole) and ("heads1" in written or limits[1] == 10**6)
+        for a, b in zip(parts, whole):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
+
+
+def test_language_model_joins_rare_words_within_its_disk(spark, docs_of):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 4 * 3000)}" for _ in range(150))) for i in range(3000)]
+    docs = docs_of(rows)
+    docs.count()
+    folders = [spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0], spark.conf.get("spark.checkpoint.dir")]
+
+    def used():
+        return int(subprocess.run(["du", "-scB1", *folders], capture_output=True, text=True).stdout.split("\n")[-2].split("\t")[0])
+
+    most, over, before = [0], threading.Event(), used()
+    watch = threading.Thread(target=lambda: [most.append(used()) for _ in iter(lambda: over.wait(0.05), True)])
+    watch.start()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as tables of some GB
+    try:
+        scored = language_model.score_documents(docs, F.col("doc_id") % 5 == 1, 5, 2000, 10**6).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        over.set()
+        watch.join()
+    assert len(scored) == len(rows)
+    assert max(*most, used()) - before < 4 * sum(len(t) for _, t in rows)
+
+
 def test_words_of_a_slice_are_told_apart_by_their_bytes():
     texts = [b"", b"a", b"a a\x00 \x00a ab", b"x" * 8 + b" " + b"x" * 9, b"y" * 64 + b" " + b"y" * 65 + b" " + b"y" * 65, " ".join(words(5, 40, 60)).encode()]
     every = [language_model.normal(t, 3) for t in texts]
